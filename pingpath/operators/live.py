@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,12 @@ from pingpath.functions import geo
 
 
 def _instant(as_of):
-    return as_of if isinstance(as_of, F.Column) else F.lit(as_of)
+    """Column for an instant: naive datetimes become TIMESTAMP_NTZ literals."""
+    if isinstance(as_of, F.Column):
+        return as_of
+    if isinstance(as_of, dt.datetime) and as_of.tzinfo is None:
+        return F.expr(f"TIMESTAMP_NTZ'{as_of.isoformat(sep=' ')}'")
+    return F.lit(as_of)
 
 
 def _seconds(n: int | float):
@@ -33,7 +40,7 @@ def live_pings(pings: DataFrame, as_of, window_s: int = 120) -> DataFrame:
 def with_age(pings: DataFrame, routes: DataFrame, as_of) -> DataFrame:
     """Live pings with route code and age in seconds, newest first (PF4)."""
     joined = pings.join(F.broadcast(routes.select("route_id", "code")), "route_id")
-    age = F.unix_micros(F.to_timestamp(_instant(as_of))) - F.unix_micros(F.to_timestamp(F.col("ts")))
+    age = F.timestamp_diff("MICROSECOND", F.col("ts"), _instant(as_of))
     return (joined.select("ping_id", "session_hash", "code", "lon", "lat", "ts",
                           (age / 1_000_000.0).alias("age_s"))
             .orderBy(F.col("ts").desc(), "ping_id"))

@@ -75,7 +75,7 @@ def raw_pings(spark: SparkSession, sf_dir: str, stop_df: DataFrame | None = None
     eid = F.col("event_id")
     ev = ev.withColumn("route_id", (eid % 6 + 1).cast("int"))
     ev = ev.join(F.broadcast(counts), "route_id", "left")  # one row per route
-    ev = ev.withColumn("seq", (F.floor(eid / 6) % F.col("cnt") + 1).cast("int"))
+    ev = ev.withColumn("seq", (F.expr("event_id div 6") % F.col("cnt") + 1).cast("int"))
     stop_pos = checked_broadcast(
         st.select("route_id", "seq", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat")),
         max_dim_rows)
