@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pingpath.functions import geo
+from pingpath.operators import cluster, dims, live, quality, stats
 from pingpath.operators import ingest as ing
-from pingpath.operators import live
+from pingpath.operators import traces as tr
 from pingpath.plans import oracle as O
 from pingpath.plans import service
 from pingpath.sources import driver
@@ -89,6 +90,172 @@ def q_live_age(spark, sf_dir):
     return live.with_age(lp, i.routes, i.as_of)
 
 
+POINT = (-103.43, 20.6)  # query point for C7 / PF10 on the derived data
+RADIUS_M = 500.0
+TERM = "ri"
+PATTERN = "a_%"
+RENAME = ("R1", "Ruta R1 corregida")
+
+
+def q_route_stats(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    per_route, _, _ = service.system_stats(i.pings, i.routes, i.as_of, P)
+    return per_route.select("code", "kind", "live_pings", "units")
+
+
+def q_live_total(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    return service.system_stats(i.pings, i.routes, i.as_of, P)[1]
+
+
+def q_dashboard(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    return service.system_stats(i.pings, i.routes, i.as_of, P)[2]
+
+
+def q_active_routes(spark, sf_dir):
+    return stats.active_routes_list(inputs(spark, sf_dir).routes)
+
+
+def q_routes_by_kind(spark, sf_dir):
+    return stats.routes_by_kind(inputs(spark, sf_dir).routes)
+
+
+def q_route_search(spark, sf_dir):
+    return stats.search_routes(inputs(spark, sf_dir).routes, TERM).select("code", "name", "kind", "active")
+
+
+def q_route_trace_stops(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    _, st = service.route_trace(i.routes, i.stops)
+    return st.select("code", F.col("name").alias("stop_name"), "seq", "lat", "lon", "is_first", "is_last")
+
+
+def q_route_geojson(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    lines, _ = service.route_trace(i.routes, i.stops)
+    return lines.select("code", "name", "kind", "geojson")
+
+
+def q_trace_endpoints(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    e = tr.endpoints_wkt(tr.build_traces(i.stops))
+    return e.join(i.routes.select("route_id", "code"), "route_id").select("code", "start_wkt", "end_wkt")
+
+
+def q_trace_length(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    t = tr.trace_length(i.stops).join(i.routes.select("route_id", "code"), "route_id")
+    return t.select("code", geo.round_half_up(F.col("length_km"), 3).alias("length_km"))
+
+
+def q_stops_per_route(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    return tr.stops_per_route(i.stops, i.routes).select("code", "n_stops", "first_stop", "last_stop")
+
+
+def q_nearest_from_point(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    n = service.nearest_from_point(i.stops, i.routes, POINT[0], POINT[1], 5, 583.0, P)
+    return n.select("code", "stop_rank", "stop_name", "distance_m", "eta_minutes")
+
+
+def q_unit_nearest_stops(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    n = service.unit_nearest_stops(i.pings, i.routes, i.stops, i.as_of, P, 2, 583.0)
+    return n.select("route_id", "cluster_id", "report_count", "stop_rank", "stop_name",
+                    F.col("distance_m").alias("dist_m"), F.col("eta_minutes").alias("eta_min"))
+
+
+def q_within_radius(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    r = live.within_radius(i.pings, POINT[0], POINT[1], RADIUS_M)
+    return r.select("ping_id", "route_id", geo.round_half_up(F.col("distance_m"), 1).alias("distance_m"))
+
+
+def q_purge_report(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    return live.purge_report(i.pings, i.as_of, 24)
+
+
+def q_sessions_like(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    kept = live.delete_sessions_like(i.pings, PATTERN)
+    return kept.agg(F.count(F.lit(1)).alias("kept"))
+
+
+def q_quality_report(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    return quality.quality_report(i.routes, i.stops)
+
+
+def q_unit_labels(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    u = service.units(i.pings, i.routes, i.as_of, P)
+    return stats.unit_labels(u, i.as_of).select("route_id", "cluster_id", "confidence", "band", "age_label")
+
+
+def q_route_bbox(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    b = stats.route_bbox(tr.build_traces(i.stops)).join(i.routes.select("route_id", "code"), "route_id")
+    return b.select("code", "south", "west", "north", "east")
+
+
+def new_stop_file(spark, sf_dir):
+    """Corrected stop lists for routes R0 and R1: wealthier suppliers, by balance."""
+    s = driver._table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 5000)
+    n = driver._table(spark, sf_dir, "nation").where(F.col("n_regionkey") <= 1)
+    j = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+    w = Window.partitionBy("n_regionkey").orderBy("s_acctbal", "s_suppkey")
+    return j.select(F.col("s_suppkey").alias("stop_id"),
+                    F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("code"),
+                    F.concat(F.lit("Nueva "), F.col("s_name")).alias("name"),
+                    (F.lit(-103.45) + F.lit(0.01) * F.col("n_nationkey")).alias("lon"),
+                    (F.lit(20.42) + F.col("s_acctbal") / F.lit(30000.0)).alias("lat"),
+                    F.row_number().over(w).cast("int").alias("seq"))
+
+
+def q_reload_stops(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    _, _, report = dims.reload_stops(i.routes, i.stops, new_stop_file(spark, sf_dir))
+    return report.select("code", "n_stops", "first_stop", "last_stop",
+                         geo.round_half_up(F.col("length_km"), 3).alias("length_km"))
+
+
+def q_routes_merged(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    n = driver._table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    new = n.select(F.concat(F.lit("R"), (k % 7).cast("string")).alias("code"),
+                   F.col("n_name").alias("name"),
+                   F.when(k % 3 == 0, "tren_ligero").when(k % 3 == 1, "autobus").otherwise("alimentador").alias("kind"),
+                   F.lit(True).alias("active"), k.alias("_order"))
+    merged = dims.insert_if_absent(i.routes.withColumn("_order", F.lit(-1)), new, "code", "_order")
+    return merged.select("code", "name", "kind", "active")
+
+
+def q_stops_after_cascade(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    kept_routes = i.routes.where(F.col("active"))
+    st = dims.cascade_delete(i.stops, kept_routes, "route_id")
+    return st.groupBy("route_id").agg(F.count(F.lit(1)).alias("n_stops"))
+
+
+def q_routes_renamed(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    patch = spark.range(1).select(F.lit(RENAME[0]).alias("code"), F.lit(RENAME[1]).alias("name"))
+    return dims.update_attribute(i.routes, patch, "code").select("code", "name", "kind", "active")
+
+
+def q_units_history(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    act = i.pings.join(F.broadcast(i.routes.where("active").select("route_id")), "route_id", "left_semi")
+    u, _ = cluster.detect_units(act.withColumn("day", F.to_date("ts")), P.eps_m, P.min_points,
+                                ["route_id", "day"])
+    return u.select("route_id", "day", "cluster_id", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"),
+                    "report_count", "session_count", "last_ts")
+
+
 QUERIES = {
     "route_status": q_route_status,
     "units": q_units,
@@ -96,6 +263,30 @@ QUERIES = {
     "ingested": q_ingested,
     "quarantine": q_quarantine,
     "live_age": q_live_age,
+    "route_stats": q_route_stats,
+    "live_total": q_live_total,
+    "dashboard": q_dashboard,
+    "active_routes": q_active_routes,
+    "routes_by_kind": q_routes_by_kind,
+    "route_search": q_route_search,
+    "route_trace_stops": q_route_trace_stops,
+    "route_geojson": q_route_geojson,
+    "trace_endpoints": q_trace_endpoints,
+    "trace_length": q_trace_length,
+    "stops_per_route": q_stops_per_route,
+    "nearest_from_point": q_nearest_from_point,
+    "unit_nearest_stops": q_unit_nearest_stops,
+    "within_radius": q_within_radius,
+    "purge_report": q_purge_report,
+    "sessions_like": q_sessions_like,
+    "quality_report": q_quality_report,
+    "unit_labels": q_unit_labels,
+    "route_bbox": q_route_bbox,
+    "reload_stops": q_reload_stops,
+    "routes_merged": q_routes_merged,
+    "stops_after_cascade": q_stops_after_cascade,
+    "routes_renamed": q_routes_renamed,
+    "units_history": q_units_history,
 }
 
 # ---------------------------------------------------------------- SQL side
@@ -126,3 +317,162 @@ SELECT p.ping_id, p.session_hash, r.code, p.lon, p.lat, p.ts,
        CAST(epoch_us({O.AS_OF}) - epoch_us(p.ts) AS DOUBLE) / 1000000e0 AS age_s
 FROM live_d p JOIN routes_d r ON r.route_id = p.route_id""",
 }
+
+_STATS = f"""
+lv_cnt AS (SELECT route_id, count(*) AS live_pings FROM live_d GROUP BY route_id),
+lv_ucnt AS (SELECT route_id, count(*) AS units FROM lv_units GROUP BY route_id),
+rstats AS (
+  SELECT r.code, r.kind, coalesce(c.live_pings, 0) AS live_pings, coalesce(u.units, 0) AS units
+  FROM routes_d r LEFT JOIN lv_cnt c ON c.route_id = r.route_id LEFT JOIN lv_ucnt u ON u.route_id = r.route_id
+  WHERE r.active)"""
+
+_TRACE_STOPS = """
+tstops AS (
+  SELECT r.code, s.name AS stop_name, s.seq, s.lat, s.lon,
+         row_number() OVER (PARTITION BY s.route_id ORDER BY s.seq, s.stop_id) = 1 AS is_first,
+         row_number() OVER (PARTITION BY s.route_id ORDER BY s.seq DESC, s.stop_id DESC) = 1 AS is_last
+  FROM stops_d s JOIN routes_d r ON r.route_id = s.route_id AND r.active)"""
+
+_SEG_LEN = f"""
+seglen AS (
+  SELECT route_id, sum({O.geodesic_sql('ax', 'ay', 'a_lat', 'bx', 'b_y', 'b_lat')}) / 1000e0 AS length_km
+  FROM seg GROUP BY route_id)"""
+
+_NEW_STOPS = """
+nstops_0 AS (
+  SELECT s.s_suppkey AS stop_id, 'R' || CAST(n.n_regionkey AS VARCHAR) AS code, 'Nueva ' || s.s_name AS name,
+         -103.45e0 + 0.01e0 * n.n_nationkey AS lon, 20.42e0 + s.s_acctbal / 30000e0 AS lat,
+         CAST(row_number() OVER (PARTITION BY n.n_regionkey ORDER BY s.s_acctbal, s.s_suppkey) AS INTEGER) AS seq
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+  WHERE s.s_acctbal > 5000 AND n.n_regionkey <= 1),
+nstops AS (SELECT n.stop_id, r.route_id, n.name, n.lon, n.lat, n.seq
+           FROM nstops_0 n JOIN routes_d r ON r.code = n.code),
+stops_r AS (SELECT * FROM stops_d WHERE route_id NOT IN (SELECT route_id FROM nstops)
+            UNION ALL SELECT * FROM nstops),
+seg_r0 AS (
+  SELECT route_id, lon AS a_lon, lat AS a_lat,
+         lead(lon) OVER (PARTITION BY route_id ORDER BY seq, stop_id) AS b_lon,
+         lead(lat) OVER (PARTITION BY route_id ORDER BY seq, stop_id) AS b_lat
+  FROM stops_r)"""
+
+ORACLE.update({
+    "route_stats": O.with_ctes(*_BASE, _UNITS, _STATS) + """
+SELECT code, kind, live_pings, units FROM rstats""",
+    "live_total": O.with_ctes(*_BASE) + f"""
+SELECT count(*) AS live_pings_total, {P.live_window_s // 60} AS window_minutes FROM pings_d
+WHERE ts >= {O.LIVE_LOWER}""",
+    "dashboard": O.with_ctes(*_BASE, _UNITS, _STATS) + """
+SELECT CAST(coalesce(sum(units), 0) AS BIGINT) AS total_units,
+       count(CASE WHEN live_pings > 0 THEN 1 END) AS routes_with_pings, count(*) AS n_routes FROM rstats""",
+    "active_routes": O.with_ctes(O.DERIVED) + """
+SELECT code, name, kind FROM routes_d WHERE active""",
+    "routes_by_kind": O.with_ctes(O.DERIVED) + """
+SELECT kind, count(*) AS n_routes, CAST(min(position) AS INTEGER) AS first_position
+FROM (SELECT kind, row_number() OVER (ORDER BY code) AS position FROM routes_d WHERE active)
+GROUP BY kind""",
+    "route_search": O.with_ctes(O.DERIVED) + f"""
+SELECT code, name, kind, active FROM routes_d
+WHERE contains(lower(code), '{TERM}') OR contains(lower(name), '{TERM}')""",
+    "route_trace_stops": O.with_ctes(O.DERIVED, _TRACE_STOPS) + """
+SELECT * FROM tstops""",
+    "route_geojson": O.with_ctes(O.DERIVED) + """
+SELECT r.code, r.name, r.kind,
+       CASE WHEN g.n >= 2 THEN '{"type":"LineString","coordinates":[' || g.coords || ']}' END AS geojson
+FROM routes_d r LEFT JOIN (
+  SELECT route_id, count(*) AS n,
+         string_agg('[' || CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ']', ',' ORDER BY seq, stop_id) AS coords
+  FROM stops_d GROUP BY route_id) g ON g.route_id = r.route_id
+WHERE r.active""",
+    "trace_endpoints": O.with_ctes(O.DERIVED) + """
+SELECT r.code,
+       'POINT(' || CAST(arg_min(s.lon, s.seq * 1e12 + s.stop_id) AS VARCHAR) || ' '
+                || CAST(arg_min(s.lat, s.seq * 1e12 + s.stop_id) AS VARCHAR) || ')' AS start_wkt,
+       'POINT(' || CAST(arg_max(s.lon, s.seq * 1e12 + s.stop_id) AS VARCHAR) || ' '
+                || CAST(arg_max(s.lat, s.seq * 1e12 + s.stop_id) AS VARCHAR) || ')' AS end_wkt
+FROM stops_d s JOIN routes_d r ON r.route_id = s.route_id
+GROUP BY r.code HAVING count(*) >= 2""",
+    "trace_length": O.with_ctes(O.DERIVED, O.SEGMENTS, _SEG_LEN) + f"""
+SELECT r.code, {O.round_sql('l.length_km', 3)} AS length_km
+FROM seglen l JOIN routes_d r ON r.route_id = l.route_id""",
+    "stops_per_route": O.with_ctes(O.DERIVED) + """
+SELECT r.code, coalesce(g.n, 0) AS n_stops, g.first_stop, g.last_stop
+FROM routes_d r LEFT JOIN (
+  SELECT route_id, count(*) AS n, arg_min(name, seq * 1e12 + stop_id) AS first_stop,
+         arg_max(name, seq * 1e12 + stop_id) AS last_stop
+  FROM stops_d GROUP BY route_id) g ON g.route_id = r.route_id""",
+    "nearest_from_point": O.with_ctes(O.DERIVED, f"""
+pt AS (SELECT route_id, code, {O.d(POINT[0])} AS lon, {O.d(POINT[1])} AS lat, route_id AS label
+       FROM routes_d WHERE active),
+kn AS ({O.knn_sql('pt', 5)})""") + f"""
+SELECT code, CAST(stop_rank AS INTEGER) AS stop_rank, stop_name, {O.round_sql('distance_raw_m')} AS distance_m,
+       {O.round_sql('distance_raw_m / 583e0')} AS eta_minutes FROM kn""",
+    "unit_nearest_stops": O.with_ctes(*_BASE, _UNITS, f"""
+kn AS ({O.knn_sql('lv_units', 2)})""") + f"""
+SELECT route_id, cluster_id, report_count, CAST(stop_rank AS INTEGER) AS stop_rank, stop_name,
+       {O.round_sql('distance_raw_m', 0)} AS dist_m, {O.round_sql('distance_raw_m / 583e0')} AS eta_min FROM kn""",
+    "within_radius": O.with_ctes(*_BASE, f"""
+pu AS ({O.utm_sql(f"(SELECT *, {O.d(POINT[0])} AS qlon, {O.d(POINT[1])} AS qlat FROM pings_d)", 'lon', 'lat', 'px', 'py')}),
+pq AS ({O.utm_sql('pu', 'qlon', 'qlat', 'qx', 'qy')}),
+pd AS (SELECT ping_id, route_id, {O.geodesic_sql('px', 'py', 'lat', 'qx', 'qy', 'qlat')} AS d FROM pq)""") + f"""
+SELECT ping_id, route_id, {O.round_sql('d')} AS distance_m FROM pd WHERE d <= {O.d(RADIUS_M)}""",
+    "purge_report": O.with_ctes(*_BASE) + f"""
+SELECT count(*) AS purged,
+       'OK: ' || CAST(count(*) AS VARCHAR) || ' pings purgados (antigüedad > 24 horas).' AS message
+FROM pings_d WHERE ts < {O.AS_OF} - to_hours(24)""",
+    "sessions_like": O.with_ctes(*_BASE) + f"""
+SELECT count(*) AS kept FROM pings_d WHERE NOT (session_hash LIKE '{PATTERN}')""",
+    "quality_report": O.with_ctes(O.DERIVED, """
+per_route AS (SELECT r.route_id, r.code, r.active, coalesce(c.n, 0) AS n_stops
+              FROM routes_d r LEFT JOIN (SELECT route_id, count(*) AS n FROM stops_d GROUP BY route_id) c
+              ON c.route_id = r.route_id)""") + """
+SELECT 'route_kind_invalid' AS "check", code AS subject, CAST(1 AS BIGINT) AS n FROM routes_d
+  WHERE kind IS NULL OR kind NOT IN ('tren_ligero', 'autobus', 'alimentador')
+UNION ALL SELECT 'route_code_duplicate', code, count(*) FROM routes_d GROUP BY code HAVING count(*) > 1
+UNION ALL SELECT 'route_id_duplicate', CAST(route_id AS VARCHAR), count(*) FROM routes_d GROUP BY route_id HAVING count(*) > 1
+UNION ALL SELECT 'route_not_null', CAST(route_id AS VARCHAR), 1 FROM routes_d WHERE code IS NULL OR name IS NULL
+UNION ALL SELECT 'stop_id_duplicate', CAST(stop_id AS VARCHAR), count(*) FROM stops_d GROUP BY stop_id HAVING count(*) > 1
+UNION ALL SELECT 'stop_orphan', CAST(stop_id AS VARCHAR), 1 FROM stops_d WHERE route_id NOT IN (SELECT route_id FROM routes_d)
+UNION ALL SELECT 'stop_seq_duplicate', CAST(route_id AS VARCHAR) || '/' || CAST(seq AS VARCHAR), count(*)
+  FROM stops_d GROUP BY route_id, seq HAVING count(*) > 1
+UNION ALL SELECT 'active_route_without_trace', code, 1 FROM per_route WHERE active AND n_stops < 2
+UNION ALL SELECT 'stops_per_route', code, n_stops FROM per_route""",
+    "unit_labels": O.with_ctes(*_BASE, _UNITS, f"""
+ul AS (SELECT *, CAST(floor(CAST(date_diff('millisecond', last_ts, {O.AS_OF}) AS DOUBLE) / 1000e0 + 5e-1) AS BIGINT) AS s
+       FROM lv_units)""") + """
+SELECT route_id, cluster_id, least(report_count / 5e0, 1e0) AS confidence,
+       CASE WHEN report_count >= 3 THEN 'high' WHEN report_count = 2 THEN 'medium' ELSE 'low' END AS band,
+       CASE WHEN last_ts IS NULL THEN 'justo ahora' WHEN s < 60 THEN 'hace ' || CAST(s AS VARCHAR) || 's'
+            ELSE 'hace ' || CAST(CAST(floor(s / 60e0 + 5e-1) AS BIGINT) AS VARCHAR) || ' min' END AS age_label
+FROM ul""",
+    "route_bbox": O.with_ctes(O.DERIVED) + """
+SELECT r.code, min(s.lat) AS south, min(s.lon) AS west, max(s.lat) AS north, max(s.lon) AS east
+FROM stops_d s JOIN routes_d r ON r.route_id = s.route_id GROUP BY r.code HAVING count(*) >= 2""",
+    "reload_stops": O.with_ctes(O.DERIVED, _NEW_STOPS, f"""
+seg_r AS ({O.utm_sql(f"({O.utm_sql('(SELECT * FROM seg_r0 WHERE b_lon IS NOT NULL)', 'a_lon', 'a_lat', 'ax', 'ay')})", 'b_lon', 'b_lat', 'bx', 'b_y')}),
+len_r AS (SELECT route_id, sum({O.geodesic_sql('ax', 'ay', 'a_lat', 'bx', 'b_y', 'b_lat')}) / 1000e0 AS length_km
+          FROM seg_r GROUP BY route_id),
+cnt_r AS (SELECT route_id, count(*) AS n, arg_min(name, seq * 1e12 + stop_id) AS first_stop,
+                 arg_max(name, seq * 1e12 + stop_id) AS last_stop FROM stops_r GROUP BY route_id)""") + f"""
+SELECT r.code, coalesce(c.n, 0) AS n_stops, c.first_stop, c.last_stop, {O.round_sql('l.length_km', 3)} AS length_km
+FROM routes_d r LEFT JOIN cnt_r c ON c.route_id = r.route_id LEFT JOIN len_r l ON l.route_id = r.route_id""",
+    "routes_merged": O.with_ctes(O.DERIVED, """
+newr AS (
+  SELECT 'R' || CAST(n_nationkey % 7 AS VARCHAR) AS code, n_name AS name,
+         CASE WHEN n_nationkey % 3 = 0 THEN 'tren_ligero' WHEN n_nationkey % 3 = 1 THEN 'autobus' ELSE 'alimentador' END AS kind,
+         true AS active, row_number() OVER (PARTITION BY 'R' || CAST(n_nationkey % 7 AS VARCHAR) ORDER BY n_nationkey) AS rn
+  FROM nation)""") + """
+SELECT code, name, kind, active FROM routes_d
+UNION ALL
+SELECT code, name, kind, active FROM newr WHERE rn = 1 AND code NOT IN (SELECT code FROM routes_d)""",
+    "stops_after_cascade": O.with_ctes(O.DERIVED) + """
+SELECT route_id, count(*) AS n_stops FROM stops_d
+WHERE route_id IN (SELECT route_id FROM routes_d WHERE active) GROUP BY route_id""",
+    "routes_renamed": O.with_ctes(O.DERIVED) + f"""
+SELECT code, CASE WHEN code = '{RENAME[0]}' THEN '{RENAME[1]}' ELSE name END AS name, kind, active FROM routes_d""",
+    "units_history": O.with_ctes(*_BASE[:3], """
+hist AS (SELECT p.*, CAST(p.ts AS DATE) AS day FROM pings_d p
+         WHERE p.route_id IN (SELECT route_id FROM routes_d WHERE active))""",
+                                 O.dbscan_sql("hist", ["route_id", "day"], "hs")) + f"""
+SELECT route_id, day, cluster_id, {O.R6('lon')} AS lon, {O.R6('lat')} AS lat, report_count, session_count, last_ts
+FROM hs_units""",
+})

@@ -141,7 +141,7 @@ seg0 AS (
          row_number() OVER (PARTITION BY route_id ORDER BY seq, stop_id) AS seg_idx
   FROM stops_d),
 seg AS ({utm_sql(f"({utm_sql('(SELECT * FROM seg0 WHERE b_lon IS NOT NULL)', 'a_lon', 'a_lat', 'ax', 'ay')})",
-                 'b_lon', 'b_lat', 'bx', 'by')}),
+                 'b_lon', 'b_lat', 'bx', 'b_y')}),
 traced AS (SELECT route_id FROM stops_d GROUP BY route_id HAVING count(*) >= 2)"""
 
 INGEST = f"""
@@ -158,7 +158,7 @@ cls0 AS (
   FROM raw_d r LEFT JOIN (SELECT code, route_id FROM routes_d WHERE active) a ON a.code = r.code),
 cls_u AS ({utm_sql('cls0', 'lon', 'lat', 'px', 'py')}),
 cdist AS (
-  SELECT c.ping_id, min({segdist_sql('c.px', 'c.py', 'c.lat', 's.ax', 's.ay', 's.bx', 's.by')}) AS trace_distance_m
+  SELECT c.ping_id, min({segdist_sql('c.px', 'c.py', 'c.lat', 's.ax', 's.ay', 's.bx', 's.b_y')}) AS trace_distance_m
   FROM cls_u c JOIN seg s ON s.route_id = c.route_id GROUP BY c.ping_id),
 cls1 AS (
   SELECT c.*, cd.trace_distance_m,

@@ -56,3 +56,38 @@ def route_status(pings: DataFrame, routes: DataFrame, stops: DataFrame, as_of,
 
 def route_status_ordered(status: DataFrame) -> DataFrame:
     return status.orderBy(F.col("last_ts").desc(), "distance_m")
+
+
+def system_stats(pings: DataFrame, routes: DataFrame, as_of, params: Params = Params()):
+    """(per-route stats, live total, dashboard totals) for the statistics screen."""
+    from pingpath.operators import stats
+    lp = live.live_pings(pings, as_of, params.live_window_s)
+    u = units(pings, routes, as_of, params)
+    per_route = stats.route_stats(lp, routes, u)
+    return per_route, stats.live_total(lp, params.live_window_s // 60), stats.dashboard(per_route)
+
+
+def route_trace(routes: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(active routes with GeoJSON line, their stops in order with first/last flags) (C4)."""
+    from pingpath.operators import traces as tr
+    act = active_routes(routes).select("route_id", "code", "name", "kind")
+    lines = act.join(tr.trace_geojson(tr.build_traces(stops)), "route_id", "left")
+    st = tr.stop_flags(stops.join(act.select("route_id", "code"), "route_id"))
+    return lines, st
+
+
+def nearest_from_point(stops: DataFrame, routes: DataFrame, lon0: float, lat0: float, k: int = 5,
+                       speed: float = 583.0, params: Params = Params()) -> DataFrame:
+    """The k nearest stops of every active route to one point, with ETA."""
+    pts = active_routes(routes).select("route_id", "code", F.lit(float(lon0)).alias("lon"),
+                                       F.lit(float(lat0)).alias("lat"))
+    ranked = nearest.nearest_stops(pts, stops, k, "degrees", params.broadcast_max_rows)
+    return nearest.with_eta(ranked, F.lit(float(speed)))
+
+
+def unit_nearest_stops(pings: DataFrame, routes: DataFrame, stops: DataFrame, as_of,
+                       params: Params = Params(), k: int = 2, speed: float = 583.0) -> DataFrame:
+    """Each vehicle with its k nearest stops, metres rounded to 0 decimals."""
+    u = units(pings, routes, as_of, params)
+    ranked = nearest.nearest_stops(u, stops, k, "degrees", params.broadcast_max_rows)
+    return nearest.with_eta(ranked, F.lit(float(speed)), digits_distance=0)
