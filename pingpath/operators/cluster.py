@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from pingpath.functions import geo
 from pingpath.operators.components import connected_components
+from pingpath.session import cut_lineage
 
 # 5x5 block minus centre and corners; FORWARD is one of each +/- pair.
 ALL_OFFSETS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)
@@ -95,7 +96,8 @@ def detect_units(pings: DataFrame, eps: float = 20.0, min_points: int = 2,
     sparse = (sparse.join(near, keys + ["rep"], "left")
               .withColumn("core", F.col("n") + F.coalesce(F.col("near_w"), F.lit(0)) >= min_points)
               .drop("near_w"))
-    flagged = dense.withColumn("core", F.lit(True)).unionByName(sparse)
+    # positions are far fewer than pings and feed every later step: materialise once
+    flagged = cut_lineage(dense.withColumn("core", F.lit(True)).unionByName(sparse))
     core = flagged.where("core")
 
     # 3. cells with core positions are graph nodes; node id = min core rep of the cell.
@@ -119,6 +121,7 @@ def detect_units(pings: DataFrame, eps: float = 20.0, min_points: int = 2,
     border_lab = non_core.join(border, keys + ["rep"]).select(*keys, "lon", "lat", "label")
     pos_label = core_lab.select(*keys, "lon", "lat", "label").unionByName(border_lab)
 
+    pos_label = cut_lineage(pos_label)
     labelled = pings.join(pos_label, keys + ["lon", "lat"], "left")
     rank = Window.partitionBy(*keys).orderBy("label")
     members = with_utm(labelled.where(F.col("label").isNotNull()))

@@ -55,8 +55,8 @@ def distance_to_trace(pings: DataFrame, stops: DataFrame, corridor_m: float = 10
         "segs", lambda s: geo.segment_distance_m(px, py, plat, s["ax"], s["ay"], s["bx"], s["by"])))
     has = F.coalesce(F.col("has_trace"), F.lit(False))
     out = p.withColumn("has_trace", has).withColumn("trace_distance_m", dist)
-    out = out.withColumn("beyond_corridor", has & (F.col("trace_distance_m").isNull()
-                                                     | (F.col("trace_distance_m") > corridor_m)))
+    out = out.withColumn("beyond_corridor",
+                         has & F.coalesce(F.col("trace_distance_m") > corridor_m, F.lit(True)))
     return out.drop("_px", "_py", "gx", "gy", "segs")
 
 

@@ -24,13 +24,14 @@ def build_traces(stops: DataFrame) -> DataFrame:
 def segments(stops: DataFrame) -> DataFrame:
     """Consecutive stop pairs per route (W5), with UTM end points."""
     w = Window.partitionBy("route_id").orderBy("seq", "stop_id")
-    s = stops.select(
+    p = geo.add_utm(stops.select("route_id", "seq", "stop_id", "lon", "lat"), "lon", "lat", "x", "y")
+    s = p.select(
         "route_id", F.row_number().over(w).alias("seg_idx"),
         F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"),
-        F.lead("lon").over(w).alias("b_lon"), F.lead("lat").over(w).alias("b_lat"))
-    s = s.where(F.col("b_lon").isNotNull())
-    s = geo.add_utm(s, "a_lon", "a_lat", "ax", "ay")
-    return geo.add_utm(s, "b_lon", "b_lat", "bx", "by")
+        F.col("x").alias("ax"), F.col("y").alias("ay"),
+        F.lead("lon").over(w).alias("b_lon"), F.lead("lat").over(w).alias("b_lat"),
+        F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by"))
+    return s.where(F.col("b_lon").isNotNull())
 
 
 def trace_length(stops: DataFrame) -> DataFrame:
