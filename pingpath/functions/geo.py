@@ -154,9 +154,8 @@ def geodesic_m(x1: Column, y1: Column, lat1: Column,
     return grid * 6.0 / (k1 + km * 4.0 + k2)
 
 
-def segment_distance_m(px: Column, py: Column, plat: Column,
-                       ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Metres from point P to segment AB (all UTM), scale taken at P."""
+def segment_grid_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Planar UTM metres from point P to segment AB."""
     dx = bx - ax
     dy = by - ay
     len2 = dx * dx + dy * dy
@@ -164,9 +163,13 @@ def segment_distance_m(px: Column, py: Column, plat: Column,
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     cx = ax + t * dx
     cy = ay + t * dy
-    grid = F.sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy))
-    k = point_scale((px + cx) / 2, plat)
-    return grid / k
+    return F.sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy))
+
+
+def segment_distance_m(px: Column, py: Column, plat: Column,
+                       ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Metres from point P to segment AB (all UTM), scale taken at P."""
+    return segment_grid_distance(px, py, ax, ay, bx, by) / point_scale(px, plat)
 
 
 def degree_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

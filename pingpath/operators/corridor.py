@@ -51,8 +51,10 @@ def distance_to_trace(pings: DataFrame, stops: DataFrame, corridor_m: float = 10
          .withColumn("gy", F.floor(F.col("_py") / cell_m)))
     p = p.join(cells, ["route_id", "gx", "gy"], "left").join(traced, "route_id", "left")
     px, py, plat = F.col("_px"), F.col("_py"), F.col("lat")
-    dist = F.array_min(F.transform(
-        "segs", lambda s: geo.segment_distance_m(px, py, plat, s["ax"], s["ay"], s["bx"], s["by"])))
+    # the scale factor is taken at the ping, so it leaves the per-segment lambda
+    grid = F.array_min(F.transform(
+        "segs", lambda s: geo.segment_grid_distance(px, py, s["ax"], s["ay"], s["bx"], s["by"])))
+    dist = grid / geo.point_scale(px, plat)
     has = F.coalesce(F.col("has_trace"), F.lit(False))
     out = p.withColumn("has_trace", has).withColumn("trace_distance_m", dist)
     out = out.withColumn("beyond_corridor",

@@ -54,11 +54,10 @@ def rate_limit(attempts: DataFrame, window_s: float, session: str = "session_has
     """
     W = int(round(window_s * 1_000_000))
     a = attempts.withColumn("_us", epoch_micros(attempts, ts))
-    a = a.withColumn("_slot", F.floor(F.col("_us") / F.lit(W)))
+    a = cut_lineage(a.withColumn("_slot", F.floor(F.col("_us") / F.lit(W))))
     v = a.where(F.col(valid) & F.col(payload_ok)).select(
         F.col(session).alias("sid"), F.col(ping_id).alias("id"),
         F.col("_us").alias("us"), F.col("_slot").alias("slot"))
-    v = cut_lineage(v)
 
     # one row per non-empty (session, slot) with its neighbours in slot order
     slots = v.groupBy("sid", "slot").agg(F.min(_key()).alias("first"), F.max(_key()).alias("last"))

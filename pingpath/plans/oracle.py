@@ -75,7 +75,7 @@ def segdist_sql(px, py, plat, ax, ay, bx, by) -> str:
     t = f"greatest(0e0, least(1e0, {t}))"
     cx, cy = f"({ax} + {t} * {dx})", f"({ay} + {t} * {dy})"
     grid = f"sqrt(({px} - {cx}) * ({px} - {cx}) + ({py} - {cy}) * ({py} - {cy}))"
-    return f"({grid} / {scale_sql(f'(({px} + {cx}) / 2)', plat)})"
+    return f"({grid} / {scale_sql(px, plat)})"
 
 
 def round_sql(x: str, digits: int = 1) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,13 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast a dimension only when its row count is within ``max_rows``.
 
     Beyond the bound the DataFrame is returned unchanged, so the planner falls
-    back to a shuffled join (and AQE may still convert it at run time).
+    back to a shuffled join (and AQE may still convert it at run time).  A side
+    that passes is cached (it is at most ``max_rows`` rows) so the count and the
+    broadcast do not compute it twice.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
