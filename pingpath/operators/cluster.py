@@ -66,6 +66,58 @@ def _neighbour_pairs(left: DataFrame, right: DataFrame, keys: list[str], offsets
     return joined.where(dx * dx + dy * dy <= F.lit(eps * eps))
 
 
+SUB = 4  # sub-cells per cell side for the edge pre-test
+
+
+def _cell_edges(core: DataFrame, keys: list[str], side: float, eps: float) -> DataFrame:
+    """Cell-to-cell edges (src, dst) between cells holding core positions.
+
+    Exact without comparing every position pair of two dense cells: each cell
+    is split into SUB x SUB sub-cells; a pair of non-empty sub-cells whose boxes
+    are entirely within eps proves the edge with no point work.  Only for cell
+    pairs that no such sub-cell pair connects are positions compared, and only
+    inside sub-cell pairs whose boxes straddle eps.
+    """
+    t = side / SUB
+    pts = core.select(*keys, "cx", "cy", "x", "y", F.col("cell_rep").alias("rep"),
+                      (F.col("x") / t - F.col("cx") * SUB).cast("int").alias("sx"),
+                      (F.col("y") / t - F.col("cy") * SUB).cast("int").alias("sy"))
+    pts = pts.withColumn("sx", F.least(F.greatest("sx", F.lit(0)), F.lit(SUB - 1))) \
+             .withColumn("sy", F.least(F.greatest("sy", F.lit(0)), F.lit(SUB - 1)))
+    sub = pts.select(*keys, "cx", "cy", "rep", "sx", "sy").distinct()
+    a = sub.select(*keys, "rep", "sx", "sy", _offsets(FORWARD_OFFSETS).alias("o"), "cx", "cy") \
+           .select(*keys, F.col("rep").alias("a_rep"), F.col("sx").alias("a_sx"), F.col("sy").alias("a_sy"),
+                   F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy"),
+                   (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
+    b = sub.select(*keys, "cx", "cy", F.col("rep").alias("b_rep"), F.col("sx").alias("b_sx"),
+                   F.col("sy").alias("b_sy"))
+    pairs = a.join(b, keys + ["cx", "cy"])
+    # sub-cell index distance between the two boxes along each axis
+    gx = F.abs(F.col("dx") * SUB + F.col("b_sx") - F.col("a_sx"))
+    gy = F.abs(F.col("dy") * SUB + F.col("b_sy") - F.col("a_sy"))
+    lo = lambda g: F.greatest(g - 1, F.lit(0)) * t
+    hi = lambda g: (g + 1) * t
+    pairs = pairs.select("*", (lo(gx) * lo(gx) + lo(gy) * lo(gy)).alias("min2"),
+                         (hi(gx) * hi(gx) + hi(gy) * hi(gy)).alias("max2"))
+    guard = 1e-6  # metres; covers rounding of positions that sit on a sub-cell border
+    pairs = pairs.where(F.col("min2") <= (eps + guard) ** 2)
+    sure = (pairs.where(F.col("max2") <= (eps - guard) ** 2)
+            .select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst")).distinct())
+    unsure = (pairs.where(F.col("max2") > (eps - guard) ** 2)
+              .join(sure.select(F.col("src").alias("a_rep"), F.col("dst").alias("b_rep")),
+                    ["a_rep", "b_rep"], "left_anti")
+              .select(*keys, "a_rep", "a_sx", "a_sy", "b_rep", "b_sx", "b_sy"))
+    pa = pts.select(*keys, F.col("rep").alias("a_rep"), F.col("sx").alias("a_sx"), F.col("sy").alias("a_sy"),
+                    F.col("x").alias("ax"), F.col("y").alias("ay"))
+    pb = pts.select(*keys, F.col("rep").alias("b_rep"), F.col("sx").alias("b_sx"), F.col("sy").alias("b_sy"),
+                    F.col("x").alias("bx"), F.col("y").alias("by"))
+    checked = unsure.join(pa, keys + ["a_rep", "a_sx", "a_sy"]).join(pb, keys + ["b_rep", "b_sx", "b_sy"])
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    found = (checked.where(dx * dx + dy * dy <= F.lit(eps * eps))
+             .select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst")).distinct())
+    return sure.unionByName(found)
+
+
 def detect_units(pings: DataFrame, eps: float = 20.0, min_points: int = 2,
                  keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Cluster pings; returns (units, labelled).
@@ -103,10 +155,7 @@ def detect_units(pings: DataFrame, eps: float = 20.0, min_points: int = 2,
     # 3. cells with core positions are graph nodes; node id = min core rep of the cell.
     cell_rep = core.groupBy(*keys, "cx", "cy").agg(F.min("rep").alias("cell_rep"))
     core = core.join(cell_rep, keys + ["cx", "cy"])
-    pairs = _neighbour_pairs(core.withColumn("rep", F.col("cell_rep")),
-                             core.withColumn("rep", F.col("cell_rep")),
-                             keys, FORWARD_OFFSETS, eps)
-    edges = pairs.select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst")).distinct()
+    edges = _cell_edges(core, keys, side, eps)
     comp = connected_components(edges)
     cell_label = (cell_rep.join(comp.withColumnRenamed("node", "cell_rep"), "cell_rep", "left")
                   .select(*keys, "cx", "cy", F.coalesce("label", "cell_rep").alias("label")))

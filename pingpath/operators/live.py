@@ -80,7 +80,7 @@ def within_radius(pings: DataFrame, lon0: float, lat0: float, radius_m: float) -
     """
     w, s, e, n = geo.bbox_around(lon0, lat0, radius_m)
     boxed = pings.where(F.col("lon").between(w, e) & F.col("lat").between(s, n))
-    px, py = geo.to_utm(F.col("lon"), F.col("lat"))
-    qx, qy = geo.to_utm(F.lit(lon0), F.lit(lat0))
-    d = geo.geodesic_m(px, py, F.col("lat"), qx, qy, F.lit(lat0))
-    return boxed.withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
+    boxed = geo.add_utm(boxed, "lon", "lat", "_px", "_py")
+    qx, qy = geo.to_utm(F.lit(lon0), F.lit(lat0))   # constant-folded by the optimizer
+    d = geo.geodesic_m(F.col("_px"), F.col("_py"), F.col("lat"), qx, qy, F.lit(lat0))
+    return boxed.withColumn("distance_m", d).drop("_px", "_py").where(F.col("distance_m") <= radius_m)

@@ -117,3 +117,14 @@ def test_components_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "src long, dst long")
     lab = {r.node: r.label for r in connected_components(edges).collect()}
     assert set(lab[i] for i in range(201)) == {0} and lab[1001] == 1000
+
+
+def test_dense_neighbour_cells_and_far_corners(spark):
+    rnd = random.Random(17)
+    # two dense blobs in neighbouring cells, and pairs of blobs at far corners of cells two apart
+    rows = [(i, 1, -103.35 + rnd.uniform(0, 25) * M_LON, 20.65 + rnd.uniform(0, 12) * M_LAT) for i in range(400)]
+    rows += [(1000 + i, 1, -103.30 + rnd.uniform(0, 0.5) * M_LON, 20.65 + rnd.uniform(0, 0.5) * M_LAT) for i in range(150)]
+    rows += [(2000 + i, 1, -103.30 + (19.0 + rnd.uniform(0, 1.5)) * M_LON, 20.65 + rnd.uniform(0, 0.5) * M_LAT)
+             for i in range(150)]
+    got, expect, _ = _run(spark, rows)
+    assert got == expect
