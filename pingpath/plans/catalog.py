@@ -256,6 +256,19 @@ def q_units_history(spark, sf_dir):
                     "report_count", "session_count", "last_ts")
 
 
+def q_audit_stamps(spark, sf_dir):
+    """Routes created at the first event; R1 renamed and R2 rewritten unchanged at as_of."""
+    i = inputs(spark, sf_dir)
+    t0 = driver._table(spark, sf_dir, "events").agg(F.min("ts")).first()[0]
+    t0c = live._instant(t0)
+    old = i.routes.withColumn("created_at", t0c).withColumn("updated_at", t0c)
+    patch = spark.range(1).select(F.lit(RENAME[0]).alias("code"), F.lit(RENAME[1]).alias("name"))
+    written = dims.update_attribute(i.routes, patch, "code").where(F.col("code").isin("R1", "R2"))
+    stamped = dims.stamp_audit(written, old, "route_id", i.as_of)
+    untouched = old.join(written.select("route_id"), "route_id", "left_anti")
+    return stamped.unionByName(untouched).select("code", "name", "created_at", "updated_at")
+
+
 QUERIES = {
     "route_status": q_route_status,
     "units": q_units,
@@ -287,6 +300,7 @@ QUERIES = {
     "stops_after_cascade": q_stops_after_cascade,
     "routes_renamed": q_routes_renamed,
     "units_history": q_units_history,
+    "audit_stamps": q_audit_stamps,
 }
 
 # ---------------------------------------------------------------- SQL side
@@ -476,3 +490,9 @@ hist AS (SELECT p.*, CAST(p.ts AS DATE) AS day FROM pings_d p
 SELECT route_id, day, cluster_id, {O.R6('lon')} AS lon, {O.R6('lat')} AS lat, report_count, session_count, last_ts
 FROM hs_units""",
 })
+
+ORACLE["audit_stamps"] = O.with_ctes(O.DERIVED) + f"""
+SELECT code, CASE WHEN code = '{RENAME[0]}' THEN '{RENAME[1]}' ELSE name END AS name,
+       (SELECT min(ts) FROM events) AS created_at,
+       CASE WHEN code IN ('R1', 'R2') THEN {O.AS_OF} ELSE (SELECT min(ts) FROM events) END AS updated_at
+FROM routes_d"""
