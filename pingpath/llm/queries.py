@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingpath.llm import decontamination, line_dedup, token_counts
+from pingpath.llm import decontamination, line_dedup, quality_rules, token_counts
 from pingpath.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), limit=1024)
 
@@ -40,11 +45,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op8_decontamination": op8_decontamination,
 }
 
 ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_quality_rules": quality_rules.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
 }
