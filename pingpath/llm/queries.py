@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingpath.llm import decontamination, line_dedup, quality_rules, sharding, token_counts
+from pingpath.llm import decontamination, line_dedup, quality_rules, sharding, token_counts, toxicity
 from pingpath.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), limit=1024)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
 }
 
