@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingpath.llm import decontamination, line_dedup, quality_rules, sharding, token_counts, toxicity
+from pingpath.llm import decontamination, line_dedup, ngram_join, quality_rules, sharding, token_counts, toxicity
 from pingpath.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLE = {

@@ -78,7 +78,7 @@ def as_strings(col: pa.Array) -> pa.Array:
     return col.fill_null("")
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int, max_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Row slices of about ``max_bytes`` of text, so temporaries stay small.
 
     A text longer than that is a slice of its own.
@@ -87,7 +87,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
+        to = min(at + max_rows, max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right"))))
         yield batch.slice(at, to - at)
         at = to
 
