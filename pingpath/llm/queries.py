@@ -15,6 +15,7 @@ from pingpath.llm import (
     decontamination,
     line_dedup,
     lm_scoring,
+    mixing,
     ngram_join,
     quality_rules,
     sharding,
@@ -74,6 +75,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
@@ -84,10 +89,12 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
