@@ -1,27 +1,52 @@
-"""Corpus pipeline: the training-data operators in production order.
+"""Corpus pipeline: from raw documents to training shards.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and reread as the next one's docs.
+All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingpath.llm import decontamination
+from pingpath.llm import decontamination, mixing, ngram_join, sharding, toxicity
 from pingpath.llm.common import staged, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, finds toxic go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents with nearly the same shingles, the smallest id stays."""
+    return ngram_join.keep_one(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a window of a benchmark item go."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The prefix of one epoch of each source that fits its share of 80 % of the tokens."""
+    return mixing.keep_mixed(docs, budget_share=0.8)
+
+
+def make_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes, equal texts together."""
+    return sharding.shard(docs, n_shards=8)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", make_shards),
 ]
 
-#: SQL for run()'s rows; SQL cannot express the trained stages.
+#: SQL for run()'s rows: SQL cannot express the trained and the packing stage.
 ORACLE_SQL = None
 
 

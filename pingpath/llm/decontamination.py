@@ -200,16 +200,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         close, OUT.replace("doc_id long", f"doc_id {doc_type}"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents with no word in a benchmark window, all columns kept.
-
-    The verdicts join back on the document id; an id whose rows disagree loses
-    all of them.  Rows with a null id are judged by a join that treats null as a
-    value.
-    """
-    bad = find_contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    bad = bad.withColumnRenamed("doc_id", "_bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
+                      block_words: int = 4_000_000) -> DataFrame:
+    """The documents with no word in a benchmark window, all columns kept, block by block."""
+    for block in _blocks(benchmark, block_words):
+        docs = _without_hits(docs, block, window)
+    return docs
+
+
+def _without_hits(docs: DataFrame, block: list[tuple], window: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Benchmark(shared.value, window)
+        for batch in batches:
+            texts = as_strings(batch.column("text")).cast(pa.binary())
+            yield batch.filter(pa.array([not machine.search(split_words(t.as_py()))[0] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 ORACLE = """

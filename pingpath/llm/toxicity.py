@@ -237,6 +237,13 @@ def judge(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """The documents whose score stays below one half, all columns kept."""
-    narrow = docs.select("doc_id", "text")
-    bad = score(narrow, train(docs, labels, **fit)).where(F.col("score") >= 0.5).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **fit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        lookup = Lookup(m.hashes)
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                yield part.filter(pa.array(m.score(part.column("text"), lookup) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
