@@ -32,7 +32,7 @@ Defined cases: null and empty texts and texts without words have the empty set,
 are linked with nothing and are their own component; a text of fewer words than
 ``n`` has one shingle, the whole sequence; equal rows are copies; rows of one doc_id
 with different texts connect those texts' components; a null doc_id has a set size
-but no component; extra columns are not read; an empty table gives an empty result.
+but no component and no links; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -323,7 +323,8 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, region_item
     return (rows.join(label, rows["id"] == label["node"], "left").join(links, "id", "left")
             .select("doc_id", F.col("size").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "id", "doc_id")).alias("component_id"),
-                    F.coalesce("links", F.lit(0)).cast("long").alias("n_links")))
+                    F.when(F.col("doc_id").isNotNull() & F.col("links").isNotNull(), F.col("links"))
+                    .otherwise(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, **limits) -> DataFrame:
