@@ -54,6 +54,8 @@ _ROW_BITS = 10
 #: Classes beyond the allowed difference; texts with that many empty classes skip those.
 _SPARE = 2
 _INTERVAL = 1.5
+#: Document ids of 8 bytes that may be broadcast to pick texts; beyond, texts are shuffled to the ids.
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,8 +309,9 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, region_item
     members = near.join(leaders, "id").select(
         F.col("leader").cast("string").alias("region"), "id", "leaders", F.lit(True).alias("own"),
         F.lit(None).cast("int").alias("side"))
-    wanted = near.select("id").distinct()
-    sets = _sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi"), n)
+    wanted = staged(near.select("id").distinct(), "join-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+    sets = _sets(docs.join(few, docs["doc_id"] == few["id"], "left_semi"), n)
     sets = staged(sets.join(classes.select("id", "f2"), ["id", "f2"], "left_semi").dropDuplicates(["id", "f2"]), "join-sets")
     found = staged(_join_regions(_bounded(members, sets, 1 - num / den, region_items), sets, num, den), "join-found")
 
