@@ -119,6 +119,28 @@ def test_components_long_path(spark):
     assert set(lab[i] for i in range(201)) == {0} and lab[1001] == 1000
 
 
+def test_components_of_a_node_with_two_lower_neighbours(spark):
+    edges = spark.createDataFrame([(703, 727), (721, 727), (1, 9), (2, 9), (2, 8)], "src long, dst long")
+    lab = {r.node: r.label for r in connected_components(edges).collect()}
+    assert lab == {703: 703, 721: 703, 727: 703, 1: 1, 2: 1, 8: 1, 9: 1}
+
+
+def test_random_graphs_match_union_find(spark):
+    rnd = random.Random(23)
+    pairs = [(g * 100 + rnd.randrange(30), g * 100 + rnd.randrange(30)) for g in range(12) for _ in range(rnd.randrange(5, 45))]
+    up = {}
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    lab = {r.node: r.label for r in connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert lab == {n: find(n) for a, b in pairs if a != b for n in (a, b)}
+
+
 def test_dense_neighbour_cells_and_far_corners(spark):
     rnd = random.Random(17)
     # two dense blobs in neighbouring cells, and pairs of blobs at far corners of cells two apart
