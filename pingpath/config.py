@@ -33,18 +33,16 @@ RATE_LIMIT_S = 10
 CORRIDOR_M = 100.0
 NEAREST_K = 3
 PURGE_HOURS = 24
-# Session hash: sha256 hex of "<uuid>:<salt>"; default salt of the service settings.
-DEFAULT_SALT = "viasync_salt_cambiar_en_produccion"
-# Statistics window reported to clients, minutes.
-STATS_WINDOW_MIN = 2
+# Session hash: sha256 hex of "<uuid>:<salt>"; the salt is a parameter without default.
 # Demo-session pattern removed before demo inserts.
 DEMO_PATTERN = "demo_%"
+# Texts: purge message (count, hours) and age labels (seconds, minutes, none).
+PURGE_MESSAGE = "OK: %s pings purgados (antigüedad > %s horas)."
+AGE_SECONDS, AGE_MINUTES, AGE_NONE = "hace %ds", "hace %d min", "justo ahora"
+# GeoJSON coordinates have at most 9 decimals.
+GEOJSON_DIGITS = 9
 # ---------------------------------------------------------------------------
 
-# Reported on the data-quality side: stop codes longer than this break the
-# route-code column type of the service.
-MAX_CODE_LEN = CODE_LEN_MAX
-
 
 @dataclass(frozen=True)
 class Params:
@@ -56,8 +54,7 @@ class Params:
     eps_m: float = EPS_M
     min_points: int = MIN_POINTS
     nearest_k: int = NEAREST_K
-    salt: str = DEFAULT_SALT
+    # secret that hashes device ids; ingest refuses to run without it or a table of daily salts
+    salt: str | None = None
     speeds: dict = field(default_factory=lambda: dict(SPEEDS_M_PER_MIN))
     default_speed: float = DEFAULT_SPEED_M_PER_MIN
-    # dimension tables up to this many rows are broadcast; larger ones shuffle
-    broadcast_max_rows: int = 2_000_000

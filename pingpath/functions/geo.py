@@ -78,25 +78,18 @@ def to_utm(lon: Column, lat: Column) -> tuple[Column, Column]:
             _lit(UTM_FALSE_NORTHING) + _lit(_KA) * north)
 
 
-def from_utm(x: Column, y: Column) -> tuple[Column, Column]:
-    """(lon, lat) degrees for UTM zone 13N (easting, northing) metres."""
-    xi = (y - _lit(UTM_FALSE_NORTHING)) / _lit(_KA)
-    eta = (x - _lit(UTM_FALSE_EASTING)) / _lit(_KA)
-    xi1 = xi
-    eta1 = eta
-    for j, b in enumerate(BETA, start=1):
-        xi1 = xi1 - _lit(b) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-        eta1 = eta1 - _lit(b) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    phi = chi
-    for j, d in enumerate(DELTA, start=1):
-        phi = phi + _lit(d) * F.sin(chi * (2 * j))
-    lam = _lit(_LON0) + F.atan(F.sinh(eta1) / F.cos(xi1))
-    return F.degrees(lam), F.degrees(phi)
+def utm_of(lon: float, lat: float) -> tuple[float, float]:
+    """(easting, northing) of one point, as plain numbers."""
+    phi, lam = math.radians(lat), math.radians(lon) - _LON0
+    t = math.sinh(math.atanh(math.sin(phi)) - _E * math.atanh(_E * math.sin(phi)))
+    xi, eta = math.atan(t / math.cos(lam)), math.atanh(math.sin(lam) / math.sqrt(1 + t * t))
+    east = eta + sum(a * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, a in enumerate(ALPHA, start=1))
+    north = xi + sum(a * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, a in enumerate(ALPHA, start=1))
+    return UTM_FALSE_EASTING + _KA * east, UTM_FALSE_NORTHING + _KA * north
 
 
 def add_utm(df, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y"):
-    """Add UTM columns in stages, so shared sub-terms are computed once per row."""
+    """Add UTM columns, written in stages for readability (the optimizer may inline them)."""
     phi = F.radians(F.col(lat))
     lam = F.radians(F.col(lon)) - _lit(_LON0)
     sphi = F.sin(phi)
@@ -166,12 +159,6 @@ def segment_grid_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Co
     return F.sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy))
 
 
-def segment_distance_m(px: Column, py: Column, plat: Column,
-                       ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Metres from point P to segment AB (all UTM), scale taken at P."""
-    return segment_grid_distance(px, py, ax, ay, bx, by) / point_scale(px, plat)
-
-
 def degree_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Planar distance in degrees (the KNN ordering of the original service)."""
     return F.sqrt((lon2 - lon1) * (lon2 - lon1) + (lat2 - lat1) * (lat2 - lat1))

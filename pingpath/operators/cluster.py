@@ -5,16 +5,16 @@ coordinates, independently per group of ``keys`` (route, or route and day).
 
 Plan, all DataFrame work:
 
-1. Project to UTM once; collapse pings at the same position of a group into
+1. Take the stored UTM position (or project once); collapse pings at the same position of a group into
    weighted positions (a parked vehicle reporting thousands of times is one row).
 2. Grid cells of side eps/sqrt(2): any two positions in a cell are within eps,
    so a cell with at least ``min_points`` pings is all core.  Only positions in
    sparse cells (fewer than ``min_points`` pings) count neighbours, over the 20
    cells of the 5x5 block without centre and corners; that work is bounded by
    ``min_points`` times the neighbour cells' size.
-3. Core-core pairs within eps over the 10 "forward" neighbour offsets give
-   cell-to-cell edges; connected components over cells (components.py) give
-   clusters.  A cluster's label is its smallest core ping id.
+3. Cells over the 10 "forward" neighbour offsets are connected where a core
+   position of one lies within eps of one of the other (``cell_components``);
+   connected components over cells (components.py) give clusters.  A cluster's label is its smallest core ping id.
 4. Border positions (not core, within eps of a core) join the cluster with the
    smallest label; the rest is noise.  With min_points = 2 there are no border
    positions.
@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from pingpath.functions import geo
 from pingpath.operators.components import connected_components
 from pingpath.session import cut_lineage
+from pingpath.sources.tables import with_xy
 
 # 5x5 block minus centre and corners; FORWARD is one of each +/- pair.
 ALL_OFFSETS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)
@@ -46,10 +47,6 @@ def _offsets(offsets) -> "F.Column":
         F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets]))
 
 
-def with_utm(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    return geo.add_utm(df, lon, lat, "x", "y")
-
-
 def _neighbour_pairs(left: DataFrame, right: DataFrame, keys: list[str], offsets,
                      eps: float) -> DataFrame:
     """Pairs (left, right) of positions in offset cells with distance <= eps."""
@@ -66,56 +63,103 @@ def _neighbour_pairs(left: DataFrame, right: DataFrame, keys: list[str], offsets
     return joined.where(dx * dx + dy * dy <= F.lit(eps * eps))
 
 
-SUB = 4  # sub-cells per cell side for the edge pre-test
+SUB = 4  # boxes per cell side for the edge pre-test; each further step has four times as many
+FINEST = SUB ** 10
+#: Positions are compared once the pairs left are at most this many a position.
+PAIRS_PER_ROW = 16
+
+
+def _boxes(pts: DataFrame, side: float, parts: int) -> DataFrame:
+    """Positions with their box (ix, iy) of ``parts`` x ``parts`` in their cell."""
+    def index(v: str, c: str):
+        i = F.floor((F.col(v) - F.col(c) * side) * (parts / side)).cast("long")
+        return F.least(F.greatest(i, F.lit(0)), F.lit(parts - 1))
+    return pts.withColumn("ix", index("x", "cx")).withColumn("iy", index("y", "cy"))
+
+
+def _box_pairs(pairs: DataFrame, side: float, parts: int, eps: float) -> DataFrame:
+    """Box pairs (a_ix, a_iy, b_ix, b_iy at cell offset dx, dy) that may hold an edge, with ``sure``."""
+    t, guard = side / parts, 1e-6  # metres; covers rounding of positions that sit on a box border
+    gx = F.abs(F.col("dx") * parts + F.col("b_ix") - F.col("a_ix"))
+    gy = F.abs(F.col("dy") * parts + F.col("b_iy") - F.col("a_iy"))
+    near = lambda g: F.greatest(g - 1, F.lit(0)) * t
+    far = lambda g: (g + 1) * t
+    return (pairs.where(near(gx) * near(gx) + near(gy) * near(gy) <= (eps + guard) ** 2)
+            .withColumn("sure", far(gx) * far(gx) + far(gy) * far(gy) <= (eps - guard) ** 2))
+
+
+def _relabel(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, label) after joining the components that ``edges`` (src, dst labels) connect."""
+    more = connected_components(edges).select(F.col("node").alias("_old"), F.col("label").alias("_new"))
+    nodes = comp.unionByName(more.select(F.col("_old").alias("node"), F.col("_old").alias("label"))).groupBy("node").agg(
+        F.min("label").alias("label"))
+    return cut_lineage(nodes.join(more, nodes["label"] == more["_old"], "left").select(
+        "node", F.coalesce("_new", "label").alias("label")))
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Box pairs whose cells are not connected yet, with the cells' labels la and lb."""
+    a = comp.select(F.col("node").alias("a"), F.col("label").alias("_la"))
+    b = comp.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
+    return (pairs.join(a, "a", "left").join(b, "b", "left")
+            .withColumn("la", F.coalesce("_la", "a")).withColumn("lb", F.coalesce("_lb", "b"))
+            .where(F.col("la") != F.col("lb")).drop("_la", "_lb"))
 
 
-def _cell_edges(core: DataFrame, keys: list[str], side: float, eps: float) -> DataFrame:
-    """Cell-to-cell edges (src, dst) between cells holding core positions.
+def cell_components(core: DataFrame, keys: list[str], side: float, eps: float) -> DataFrame:
+    """(node, label): cells with core positions (by their least ping id) and their component.
 
-    Exact without comparing every position pair of two dense cells: each cell
-    is split into SUB x SUB sub-cells; a pair of non-empty sub-cells whose boxes
-    are entirely within eps proves the edge with no point work.  Only for cell
-    pairs that no such sub-cell pair connects are positions compared, and only
-    inside sub-cell pairs whose boxes straddle eps.
+    Cells split into boxes; two boxes entirely within eps of each other prove an edge
+    without comparing positions, two boxes beyond eps exclude one.  Components are
+    formed from the sure edges first, and box pairs between cells of one component
+    need no work: in a dense strip that is nearly all of them.  What is left is split
+    into finer boxes while its pairs of positions outnumber the positions by far,
+    connecting after each step, and only then compared.
     """
-    t = side / SUB
-    pts = core.select(*keys, "cx", "cy", "x", "y", F.col("cell_rep").alias("rep"),
-                      (F.col("x") / t - F.col("cx") * SUB).cast("int").alias("sx"),
-                      (F.col("y") / t - F.col("cy") * SUB).cast("int").alias("sy"))
-    pts = pts.withColumn("sx", F.least(F.greatest("sx", F.lit(0)), F.lit(SUB - 1))) \
-             .withColumn("sy", F.least(F.greatest("sy", F.lit(0)), F.lit(SUB - 1)))
-    sub = pts.select(*keys, "cx", "cy", "rep", "sx", "sy").distinct()
-    a = sub.select(*keys, "rep", "sx", "sy", _offsets(FORWARD_OFFSETS).alias("o"), "cx", "cy") \
-           .select(*keys, F.col("rep").alias("a_rep"), F.col("sx").alias("a_sx"), F.col("sy").alias("a_sy"),
-                   F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy"),
-                   (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
-    b = sub.select(*keys, "cx", "cy", F.col("rep").alias("b_rep"), F.col("sx").alias("b_sx"),
-                   F.col("sy").alias("b_sy"))
-    pairs = a.join(b, keys + ["cx", "cy"])
-    # sub-cell index distance between the two boxes along each axis
-    gx = F.abs(F.col("dx") * SUB + F.col("b_sx") - F.col("a_sx"))
-    gy = F.abs(F.col("dy") * SUB + F.col("b_sy") - F.col("a_sy"))
-    lo = lambda g: F.greatest(g - 1, F.lit(0)) * t
-    hi = lambda g: (g + 1) * t
-    pairs = pairs.select("*", (lo(gx) * lo(gx) + lo(gy) * lo(gy)).alias("min2"),
-                         (hi(gx) * hi(gx) + hi(gy) * hi(gy)).alias("max2"))
-    guard = 1e-6  # metres; covers rounding of positions that sit on a sub-cell border
-    pairs = pairs.where(F.col("min2") <= (eps + guard) ** 2)
-    sure = (pairs.where(F.col("max2") <= (eps - guard) ** 2)
-            .select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst")).distinct())
-    unsure = (pairs.where(F.col("max2") > (eps - guard) ** 2)
-              .join(sure.select(F.col("src").alias("a_rep"), F.col("dst").alias("b_rep")),
-                    ["a_rep", "b_rep"], "left_anti")
-              .select(*keys, "a_rep", "a_sx", "a_sy", "b_rep", "b_sx", "b_sy"))
-    pa = pts.select(*keys, F.col("rep").alias("a_rep"), F.col("sx").alias("a_sx"), F.col("sy").alias("a_sy"),
-                    F.col("x").alias("ax"), F.col("y").alias("ay"))
-    pb = pts.select(*keys, F.col("rep").alias("b_rep"), F.col("sx").alias("b_sx"), F.col("sy").alias("b_sy"),
-                    F.col("x").alias("bx"), F.col("y").alias("by"))
-    checked = unsure.join(pa, keys + ["a_rep", "a_sx", "a_sy"]).join(pb, keys + ["b_rep", "b_sx", "b_sy"])
+    parts = SUB
+    pts = core.select(*keys, "cx", "cy", "x", "y", F.col("cell_rep").alias("rep"))
+    boxed = _boxes(pts, side, parts)
+    box = boxed.select(*keys, "cx", "cy", "rep", "ix", "iy").distinct()
+    left = box.select(*keys, F.col("rep").alias("a"), F.col("ix").alias("a_ix"), F.col("iy").alias("a_iy"),
+                      _offsets(FORWARD_OFFSETS).alias("o"), "cx", "cy").select(
+        *keys, "a", "a_ix", "a_iy", F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy"),
+        (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
+    right = box.select(*keys, "cx", "cy", F.col("rep").alias("b"), F.col("ix").alias("b_ix"), F.col("iy").alias("b_iy"))
+    pairs = cut_lineage(_box_pairs(left.join(right, keys + ["cx", "cy"]), side, parts, eps)
+                        .select("a", "a_ix", "a_iy", "b", "b_ix", "b_iy", "dx", "dy", "sure"))
+    comp = connected_components(pairs.where("sure").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    pts = pts.select("rep", "cx", "cy", "x", "y")
+    while True:
+        unsure = cut_lineage(_apart(pairs.where(~F.col("sure")), comp))
+        if unsure.isEmpty():
+            return comp
+        here = _boxes(pts, side, parts)
+        count = here.groupBy("rep", "ix", "iy").agg(F.count(F.lit(1)).alias("n"))
+        work = (unsure.join(count.toDF("a", "a_ix", "a_iy", "na"), ["a", "a_ix", "a_iy"])
+                .join(count.toDF("b", "b_ix", "b_iy", "nb"), ["b", "b_ix", "b_iy"])
+                .agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"), F.sum(F.col("na") + F.col("nb")).alias("rows")).first())
+        if work["pairs"] <= PAIRS_PER_ROW * work["rows"] or parts >= FINEST:
+            break
+        fine = _boxes(here.withColumnRenamed("ix", "px").withColumnRenamed("iy", "py"), side, parts * 4).select(
+            "rep", "px", "py", "ix", "iy").distinct()
+        parts *= 4
+        split = (unsure.select("a", F.col("a_ix").alias("_ax"), F.col("a_iy").alias("_ay"), "b", F.col("b_ix").alias("_bx"),
+                               F.col("b_iy").alias("_by"), "dx", "dy", "la", "lb")
+                 .join(fine.toDF("a", "_ax", "_ay", "a_ix", "a_iy"), ["a", "_ax", "_ay"])
+                 .join(fine.toDF("b", "_bx", "_by", "b_ix", "b_iy"), ["b", "_bx", "_by"]))
+        pairs = cut_lineage(_box_pairs(split, side, parts, eps).select(
+            "a", "a_ix", "a_iy", "b", "b_ix", "b_iy", "dx", "dy", "sure", "la", "lb"))
+        sure = cut_lineage(pairs.where("sure").select(F.col("la").alias("src"), F.col("lb").alias("dst")).distinct())
+        if not sure.isEmpty():
+            comp = _relabel(comp, sure)
+        pairs = pairs.drop("la", "lb")
+    a = here.select(F.col("rep").alias("a"), F.col("ix").alias("a_ix"), F.col("iy").alias("a_iy"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = here.select(F.col("rep").alias("b"), F.col("ix").alias("b_ix"), F.col("iy").alias("b_iy"), F.col("x").alias("bx"), F.col("y").alias("by"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    found = (checked.where(dx * dx + dy * dy <= F.lit(eps * eps))
-             .select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst")).distinct())
-    return sure.unionByName(found)
+    found = cut_lineage(unsure.join(a, ["a", "a_ix", "a_iy"]).join(b, ["b", "b_ix", "b_iy"])
+                        .where(dx * dx + dy * dy <= F.lit(eps * eps))
+                        .select(F.col("la").alias("src"), F.col("lb").alias("dst")).distinct())
+    return comp if found.isEmpty() else _relabel(comp, found)
 
 
 def detect_units(pings: DataFrame, eps: float = 20.0, min_points: int = 2,
@@ -130,9 +174,10 @@ def detect_units(pings: DataFrame, eps: float = 20.0, min_points: int = 2,
     keys = list(keys or ["route_id"])
     side = eps / math.sqrt(2.0)
 
+    pings = with_xy(pings)
     positions = (pings.groupBy(*keys, "lon", "lat")
-                 .agg(F.min("ping_id").alias("rep"), F.count(F.lit(1)).alias("w")))
-    positions = with_utm(positions)
+                 .agg(F.min("ping_id").alias("rep"), F.count(F.lit(1)).alias("w"),
+                      F.min("x").alias("x"), F.min("y").alias("y")))
     positions = (positions.withColumn("cx", F.floor(F.col("x") / side))
                  .withColumn("cy", F.floor(F.col("y") / side)))
 
@@ -155,8 +200,8 @@ def detect_units(pings: DataFrame, eps: float = 20.0, min_points: int = 2,
     # 3. cells with core positions are graph nodes; node id = min core rep of the cell.
     cell_rep = core.groupBy(*keys, "cx", "cy").agg(F.min("rep").alias("cell_rep"))
     core = core.join(cell_rep, keys + ["cx", "cy"])
-    edges = _cell_edges(core, keys, side, eps)
-    comp = connected_components(edges)
+    core = cut_lineage(core)
+    comp = cell_components(core, keys, side, eps)
     cell_label = (cell_rep.join(comp.withColumnRenamed("node", "cell_rep"), "cell_rep", "left")
                   .select(*keys, "cx", "cy", F.coalesce("label", "cell_rep").alias("label")))
     core_lab = core.join(cell_label, keys + ["cx", "cy"]).select(*keys, "lon", "lat", "x", "y", "cx", "cy", "label")
@@ -171,9 +216,9 @@ def detect_units(pings: DataFrame, eps: float = 20.0, min_points: int = 2,
     pos_label = core_lab.select(*keys, "lon", "lat", "label").unionByName(border_lab)
 
     pos_label = cut_lineage(pos_label)
-    labelled = pings.join(pos_label, keys + ["lon", "lat"], "left")
+    labelled = pings.join(pos_label, keys + ["lon", "lat"], "left")  # x, y come with the pings
     rank = Window.partitionBy(*keys).orderBy("label")
-    members = with_utm(labelled.where(F.col("label").isNotNull()))
+    members = labelled.where(F.col("label").isNotNull())
     units = (members.groupBy(*keys, "label")
              .agg(F.count(F.lit(1)).alias("report_count"),
                   F.countDistinct("session_hash").alias("session_count"),

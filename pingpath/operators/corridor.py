@@ -1,24 +1,23 @@
 """Distance from each ping to its route's line (J4) without a pings x segments join.
 
-Every trace segment is registered in the coarse grid cells (side ``cell_m``)
-that its corridor-wide buffer touches; segments are folded into one array per
-(route, cell).  That table is dimension-sized, so it is broadcast behind a row
-check and every ping looks up its own cell: the ping side is never shuffled and
-each ping measures only the few segments near it.  A ping whose cell holds no
-segment of its route is farther than the corridor from every segment, so its
-distance is reported as NULL with ``beyond_corridor`` true.
+Every trace segment is registered in the grid cells that its corridor-wide buffer
+touches; segments are folded into one array per (route, cell).  Cells are about as
+long as a segment (and no smaller than the corridor), so the segments of a cell stay
+few however densely a route's stops lie.  The table is written once, so the planner
+broadcasts it while it is small: then the ping side is never shuffled and each ping
+measures only the few segments near it.  A ping whose cell holds no segment of its
+route is farther than the corridor from every segment, so its distance is reported
+as NULL with ``beyond_corridor`` true.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingpath.functions import geo
 from pingpath.operators.traces import segments
-from pingpath.session import checked_broadcast
+from pingpath.session import materialise
 
 
 def segment_cells(stops: DataFrame, corridor_m: float, cell_m: float = 500.0) -> DataFrame:
@@ -38,19 +37,27 @@ def routes_with_trace(stops: DataFrame) -> DataFrame:
     return stops.groupBy("route_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("route_id")
 
 
+def cell_size(stops: DataFrame, corridor_m: float) -> float:
+    """Median segment length, at least the corridor: one number of the whole table."""
+    length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    middle = segments(stops).agg(F.percentile_approx(length, 0.5)).first()[0]
+    return max(float(corridor_m), float(middle or 0.0))
+
+
 def distance_to_trace(pings: DataFrame, stops: DataFrame, corridor_m: float = 100.0,
-                      cell_m: float = 500.0, max_dim_rows: int = 2_000_000) -> DataFrame:
-    """Adds has_trace, trace_distance_m (NULL when none is near) and beyond_corridor.
+                      cell_m: float | None = None) -> DataFrame:
+    """Adds x, y (UTM), has_trace, trace_distance_m (NULL when none is near) and beyond_corridor.
 
     ``pings`` needs route_id, lon, lat.  The result keeps every input row.
     """
-    cells = checked_broadcast(segment_cells(stops, corridor_m, cell_m), max_dim_rows)
-    traced = checked_broadcast(routes_with_trace(stops).withColumn("has_trace", F.lit(True)), max_dim_rows)
-    p = geo.add_utm(pings, "lon", "lat", "_px", "_py")
-    p = (p.withColumn("gx", F.floor(F.col("_px") / cell_m))
-         .withColumn("gy", F.floor(F.col("_py") / cell_m)))
+    cell_m = cell_m or cell_size(stops, corridor_m)
+    cells = materialise(segment_cells(stops, corridor_m, cell_m), "corridor-cells")
+    traced = materialise(routes_with_trace(stops).withColumn("has_trace", F.lit(True)), "corridor-traced")
+    p = geo.add_utm(pings, "lon", "lat", "x", "y")
+    p = (p.withColumn("gx", F.floor(F.col("x") / cell_m))
+         .withColumn("gy", F.floor(F.col("y") / cell_m)))
     p = p.join(cells, ["route_id", "gx", "gy"], "left").join(traced, "route_id", "left")
-    px, py, plat = F.col("_px"), F.col("_py"), F.col("lat")
+    px, py, plat = F.col("x"), F.col("y"), F.col("lat")
     # the scale factor is taken at the ping, so it leaves the per-segment lambda
     grid = F.array_min(F.transform(
         "segs", lambda s: geo.segment_grid_distance(px, py, s["ax"], s["ay"], s["bx"], s["by"])))
@@ -59,8 +66,4 @@ def distance_to_trace(pings: DataFrame, stops: DataFrame, corridor_m: float = 10
     out = p.withColumn("has_trace", has).withColumn("trace_distance_m", dist)
     out = out.withColumn("beyond_corridor",
                          has & F.coalesce(F.col("trace_distance_m") > corridor_m, F.lit(True)))
-    return out.drop("_px", "_py", "gx", "gy", "segs")
-
-
-def corridor_cell_size(corridor_m: float) -> float:
-    return max(250.0, 5 * math.ceil(corridor_m))
+    return out.drop("gx", "gy", "segs")

@@ -16,7 +16,7 @@ from pingpath.operators.live import _instant
 
 def resolve_codes(rows: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows carrying a route ``code`` -> (with route_id, unresolved rows) (IO4, J8)."""
-    keyed = rows.join(F.broadcast(routes.select("code", "route_id")), "code", "left")
+    keyed = rows.join(routes.select("code", "route_id"), "code", "left")
     return (keyed.where(F.col("route_id").isNotNull()).drop("code"),
             keyed.where(F.col("route_id").isNull()).drop("route_id"))
 
@@ -84,13 +84,19 @@ def stamp_audit(new: DataFrame, old: DataFrame, key: str, as_of) -> DataFrame:
 def reload_stops(routes: DataFrame, stops: DataFrame, new_stops_by_code: DataFrame, as_of=None):
     """Replace the stops of the routes named in ``new_stops_by_code``.
 
-    Returns (routes with rebuilt traces, new stops, report) where report has
-    code, n_stops, length_km for every route.
+    Returns (routes with rebuilt traces, new stops, report, unresolved rows): the
+    report has code, n_stops, length_km for every route, the unresolved rows name a
+    code that no route has.  If the routes carry audit columns and ``as_of`` is
+    given, the routes whose stops were replaced are stamped (IO12).
     """
-    resolved, _ = resolve_codes(new_stops_by_code, routes)
+    resolved, unresolved = resolve_codes(new_stops_by_code, routes)
     new_stops = replace_by_key(stops, resolved.select(*stops.columns), "route_id")
     new_routes = update_from_aggregate(routes, new_stops)
+    if as_of is not None and "updated_at" in routes.columns:
+        touched = resolved.select("route_id").distinct()
+        written = stamp_audit(new_routes.join(touched, "route_id", "left_semi"), routes, "route_id", as_of)
+        new_routes = new_routes.join(touched, "route_id", "left_anti").unionByName(written)
     report = (tr.stops_per_route(new_stops, routes)
               .join(tr.trace_length(new_stops), "route_id", "left")
               .select("route_id", "code", "n_stops", "first_stop", "last_stop", "length_km"))
-    return new_routes, new_stops, report
+    return new_routes, new_stops, report, unresolved

@@ -3,7 +3,9 @@
 Checks run in the service's order and the first failing one names the reason:
 
 1. payload: device id 8..64 chars (``payload_uuid``), route code 1..10 chars
-   (``payload_code``), lat/lon inside the inclusive bounds (``payload_bounds``);
+   (``payload_code``), lat/lon inside the inclusive bounds (``payload_bounds``),
+   an instant (``payload_ts``; the service stamps one, a table may lack it), a
+   salt for its day (``payload_salt``, only with daily salts);
 2. rate limit: a stored ping of the same session less than W earlier (``rate``);
 3. route: the code names no active route (``route``);
 4. corridor: farther than the corridor from the route line (``corridor``);
@@ -23,24 +25,28 @@ from pingpath import config as C
 from pingpath.config import Params
 from pingpath.functions import geo
 from pingpath.operators.corridor import distance_to_trace
-from pingpath.operators.ratelimit import rate_limit
-from pingpath.session import checked_broadcast, cut_lineage
+from pingpath.operators.ratelimit import decide, epoch_micros
+from pingpath.session import materialise
+
+CHECKED = ["ping_id", "session_hash", "code", "route_id", "lon", "lat", "x", "y", "ts"]
 
 
 def anonymise(raw: DataFrame, salt: str | None = None, salts: DataFrame | None = None) -> DataFrame:
     """Replace ``uuid`` by ``session_hash``.
 
-    With ``salts`` (day DATE, salt STRING) each day uses its own salt, as a
-    daily rotating salt would; otherwise one fixed salt.
+    With ``salts`` (day DATE, salt STRING) each day uses its own salt, as a daily
+    rotating salt would; a day without one has no hash and no row of it can be
+    stored.  Otherwise ``salt`` is required.
     """
+    if salts is None and not salt:
+        raise ValueError("a salt (or a table of daily salts) is required")
     if salts is not None:
-        raw = raw.withColumn("_day", F.to_date("ts")).join(
-            F.broadcast(salts.withColumnRenamed("day", "_day").withColumnRenamed("salt", "_salt")),
-            "_day", "left")
-        s = F.coalesce(F.col("_salt"), F.lit(salt or C.DEFAULT_SALT))
+        daily = salts.select(F.col("day").alias("_day"), F.col("salt").alias("_salt"))
+        raw = raw.withColumn("_day", F.to_date("ts")).join(daily, "_day", "left")
+        s = F.col("_salt")
     else:
-        s = F.lit(salt or C.DEFAULT_SALT)
-    out = raw.withColumn("session_hash", F.sha2(F.concat_ws(":", F.col("uuid"), s), 256))
+        s = F.lit(salt)
+    out = raw.withColumn("session_hash", F.sha2(F.concat(F.col("uuid"), F.lit(":"), s), 256))
     return out.drop("uuid", "_day", "_salt")
 
 
@@ -51,43 +57,70 @@ def payload_reason():
             .when(F.col("code").isNull() | ~code_len.between(C.CODE_LEN_MIN, C.CODE_LEN_MAX), "payload_code")
             .when(F.col("lat").isNull() | F.col("lon").isNull()
                   | ~F.col("lat").between(C.PAYLOAD_LAT_MIN, C.PAYLOAD_LAT_MAX)
-                  | ~F.col("lon").between(C.PAYLOAD_LON_MIN, C.PAYLOAD_LON_MAX), "payload_bounds"))
+                  | ~F.col("lon").between(C.PAYLOAD_LON_MIN, C.PAYLOAD_LON_MAX), "payload_bounds")
+            .when(F.col("ts").isNull(), "payload_ts"))
 
 
-def classify(raw: DataFrame, routes: DataFrame, stops: DataFrame, params: Params = Params(),
-             salts: DataFrame | None = None) -> DataFrame:
-    """Every attempt with route_id, session_hash, trace distance and reject_reason (NULL = accepted)."""
-    df = raw.withColumn("_payload", payload_reason())
-    df = anonymise(df, params.salt, salts)
-    active = checked_broadcast(
-        routes.where(F.col("active")).select("code", "route_id"), params.broadcast_max_rows)
-    df = df.join(active, "code", "left")
-    df = distance_to_trace(df, stops, params.corridor_m, max_dim_rows=params.broadcast_max_rows)
+def check(raw: DataFrame, routes: DataFrame, stops: DataFrame, params: Params,
+          salts: DataFrame | None = None) -> DataFrame:
+    """Every attempt with the outcome of all checks that look at one row (``CHECKED`` + reasons).
+
+    Rows meet the routes and the segments of their grid cell; the planner
+    broadcasts those dimensions by their measured size.
+    """
+    df = anonymise(raw.withColumn("_payload", payload_reason()), params.salt, salts)
+    active = routes.where(F.col("active")).select("code", "route_id")
+    df = distance_to_trace(df.join(active, "code", "left"), stops, params.corridor_m)
+    payload = F.coalesce(F.col("_payload"), F.when(F.col("session_hash").isNull(), "payload_salt"))
     stateless = (F.when(F.col("route_id").isNull(), "route")
                  .when(F.col("beyond_corridor"), "corridor")
                  .when(~geo.in_envelope(F.col("lon"), F.col("lat")), "envelope"))
-    df = df.withColumn("_stateless", stateless)
-    df = df.withColumn("payload_ok", F.col("_payload").isNull()) \
-           .withColumn("valid", F.col("_stateless").isNull())
-    df = rate_limit(df, params.rate_limit_s)
-    reason = (F.when(~F.col("payload_ok"), F.col("_payload"))
+    return df.select(*CHECKED, "trace_distance_m", payload.alias("payload_reason"), stateless.alias("stateless_reason"))
+
+
+def attempts_of(checked: DataFrame) -> DataFrame:
+    """The narrow rows the rate limit works on."""
+    return checked.select(F.col("session_hash").alias("sid"), F.col("ping_id").alias("id"),
+                          epoch_micros(checked, "ts").alias("us"),
+                          F.col("payload_reason").isNull().alias("payload_ok"),
+                          F.col("stateless_reason").isNull().alias("valid"))
+
+
+def with_reason(checked: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``checked`` with reject_reason; NULL only for rows the rate limit accepted."""
+    d = decisions.select(F.col("id").alias("ping_id"), "accepted", "rate_limited")
+    reason = (F.when(F.col("payload_reason").isNotNull(), F.col("payload_reason"))
               .when(F.col("rate_limited"), F.lit("rate"))
               .when(F.col("accepted"), F.lit(None).cast("string"))
-              .otherwise(F.col("_stateless")))
-    return df.withColumn("reject_reason", reason).drop("_payload", "_stateless", "payload_ok", "valid",
-                                                       "accepted", "rate_limited", "beyond_corridor")
+              .otherwise(F.coalesce(F.col("stateless_reason"), F.lit("rate"))))
+    return (checked.join(d, "ping_id", "left").withColumn("reject_reason", reason)
+            .drop("payload_reason", "stateless_reason", "accepted", "rate_limited"))
 
 
-def ingest(raw: DataFrame, routes: DataFrame, stops: DataFrame, params: Params = Params(),
-           salts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted pings, rejected attempts) from raw attempts.
+def classify(raw: DataFrame, routes: DataFrame, stops: DataFrame, params: Params,
+             salts: DataFrame | None = None) -> DataFrame:
+    """Every attempt with route_id, session_hash, trace distance and reject_reason (NULL = accepted).
 
-    Both outputs read one checkpointed classification, so writing the two
-    sinks does not run the validation twice.
+    The checks of single rows are written once, columnar; the rate limit reads four
+    narrow columns of them, and its decisions join back once.
     """
-    cls = cut_lineage(classify(raw, routes, stops, params, salts))
-    accepted = cls.where(F.col("reject_reason").isNull()).select(
-        "ping_id", "session_hash", F.col("route_id").cast("int").alias("route_id"), "lon", "lat", "ts")
-    rejected = cls.where(F.col("reject_reason").isNotNull()).select(
+    checked = materialise(check(raw, routes, stops, params, salts), "ingest-checked")
+    decisions = materialise(decide(attempts_of(checked), params.rate_limit_s), "ingest-decisions")
+    return with_reason(checked, decisions)
+
+
+def accepted_rows(classified: DataFrame) -> DataFrame:
+    return classified.where(F.col("reject_reason").isNull()).select(
+        "ping_id", "session_hash", F.col("route_id").cast("int").alias("route_id"), "lon", "lat", "ts", "x", "y")
+
+
+def rejected_rows(classified: DataFrame) -> DataFrame:
+    return classified.where(F.col("reject_reason").isNotNull()).select(
         "ping_id", "session_hash", "code", "lon", "lat", "ts", "reject_reason")
-    return accepted, rejected
+
+
+def ingest(raw: DataFrame, routes: DataFrame, stops: DataFrame, params: Params,
+           salts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted pings with UTM x and y, rejected attempts) from raw attempts."""
+    classified = classify(raw, routes, stops, params, salts)
+    return accepted_rows(classified), rejected_rows(classified)

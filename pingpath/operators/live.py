@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pingpath.config import DEMO_PATTERN, PURGE_MESSAGE
 from pingpath.functions import geo
+from pingpath.session import materialise
+from pingpath.sources.tables import STORE, read_pings, with_xy, write_pings
 
 
 def _instant(as_of):
@@ -39,35 +42,63 @@ def live_pings(pings: DataFrame, as_of, window_s: int = 120) -> DataFrame:
 
 def with_age(pings: DataFrame, routes: DataFrame, as_of) -> DataFrame:
     """Live pings with route code and age in seconds, newest first (PF4)."""
-    joined = pings.join(F.broadcast(routes.select("route_id", "code")), "route_id")
+    joined = pings.join(routes.select("route_id", "code"), "route_id")
     age = F.timestamp_diff("MICROSECOND", F.col("ts"), _instant(as_of))
     return (joined.select("ping_id", "session_hash", "code", "lon", "lat", "ts",
                           (age / 1_000_000.0).alias("age_s"))
             .orderBy(F.col("ts").desc(), "ping_id"))
 
 
+def _purge_cut(as_of, hours: int):
+    return _instant(as_of) - F.make_dt_interval(hours=F.lit(int(hours)))
+
+
 def purge(pings: DataFrame, as_of, hours: int = 24) -> tuple[DataFrame, DataFrame]:
     """Split into (kept, purged) by ``ts < as_of - hours`` (strict).
 
-    Write ``kept`` back with dynamic partition overwrite: only months that hold
-    purged rows are rewritten, older months that are wholly purged are dropped.
+    On a month-partitioned store the kept rows lie in the month of the cut and
+    later ones, the purged rows in it and earlier ones.
     """
-    cut = _instant(as_of) - F.make_dt_interval(hours=F.lit(int(hours)))
+    cut = _purge_cut(as_of, hours)
     old = F.col("ts") < cut
-    return pings.where(~old | F.col("ts").isNull()), pings.where(old)
+    kept, purged = pings.where(~old | F.col("ts").isNull()), pings.where(old)
+    if "month" in pings.columns:
+        month = F.date_format(cut, "yyyy-MM")
+        kept, purged = kept.where(F.col("month") >= month), purged.where(F.col("month") <= month)
+    return kept, purged
+
+
+def purge_store(spark: SparkSession, path: str, as_of, hours: int = 24) -> DataFrame:
+    """Delete expired pings from the month-partitioned store at ``path`` (IO7); returns the report.
+
+    Months wholly before the cut are dropped as folders; of the month of the cut only
+    the kept rows are written again; later months are not touched.  The kept rows are
+    written beside the store first, so a job that ends midway loses nothing and can
+    run again.
+    """
+    boundary = spark.range(1).select(F.date_format(_purge_cut(as_of, hours), "yyyy-MM")).first()[0]
+    stored = read_pings(spark, path)
+    report = materialise(purge_report(stored, as_of, hours), "purge-report")
+    kept = materialise(purge(stored.where(F.col("month") == boundary), as_of, hours)[0], "purge-kept", STORE)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("month=") and name[6:] <= boundary:
+            fs.delete(status.getPath(), True)
+    if not kept.isEmpty():
+        write_pings(kept.drop("month"), path)
+    return report
 
 
 def purge_report(pings: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """One row: number purged and the service's message text (IO7)."""
     _, purged = purge(pings, as_of, hours)
     n = purged.agg(F.count(F.lit(1)).alias("purged"))
-    return n.select(
-        "purged",
-        F.format_string("OK: %s pings purgados (antigüedad > %s horas).",
-                        F.col("purged"), F.lit(int(hours))).alias("message"))
+    return n.select("purged", F.format_string(PURGE_MESSAGE, F.col("purged"), F.lit(int(hours))).alias("message"))
 
 
-def delete_sessions_like(pings: DataFrame, pattern: str = "demo_%") -> DataFrame:
+def delete_sessions_like(pings: DataFrame, pattern: str = DEMO_PATTERN) -> DataFrame:
     """Rows kept after ``DELETE ... WHERE session_hash LIKE pattern`` (IO8)."""
     return pings.where(~F.col("session_hash").like(pattern))
 
@@ -75,12 +106,11 @@ def delete_sessions_like(pings: DataFrame, pattern: str = "demo_%") -> DataFrame
 def within_radius(pings: DataFrame, lon0: float, lat0: float, radius_m: float) -> DataFrame:
     """Pings within ``radius_m`` metres of a point (PF10).
 
-    A lon/lat box goes first so Parquet can skip row groups; the exact
-    ellipsoidal test runs on what is left.
+    A lon/lat box goes first so Parquet can skip row groups; the exact ellipsoidal
+    test runs on what is left, from the stored UTM positions.
     """
     w, s, e, n = geo.bbox_around(lon0, lat0, radius_m)
-    boxed = pings.where(F.col("lon").between(w, e) & F.col("lat").between(s, n))
-    boxed = geo.add_utm(boxed, "lon", "lat", "_px", "_py")
-    qx, qy = geo.to_utm(F.lit(lon0), F.lit(lat0))   # constant-folded by the optimizer
-    d = geo.geodesic_m(F.col("_px"), F.col("_py"), F.col("lat"), qx, qy, F.lit(lat0))
-    return boxed.withColumn("distance_m", d).drop("_px", "_py").where(F.col("distance_m") <= radius_m)
+    boxed = with_xy(pings.where(F.col("lon").between(w, e) & F.col("lat").between(s, n)))
+    qx, qy = geo.utm_of(lon0, lat0)
+    d = geo.geodesic_m(F.col("x"), F.col("y"), F.col("lat"), F.lit(qx), F.lit(qy), F.lit(lat0))
+    return boxed.withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)

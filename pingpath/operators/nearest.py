@@ -1,22 +1,25 @@
 """Nearest stops per vehicle with distance and ETA.
 
-The stops of each route are folded into one array per route (a dimension of a
-few thousand entries at most), broadcast behind a row-count check, and every
-unit ranks its route's array with ``array_sort`` + ``slice``.  The unit side is
-never shuffled for this step and no window is needed.  Ranking follows the
-original service: planar distance in degrees (``metric="degrees"``), ties by
+Stops and points meet in the cells of a grid per route: a point looks at the nine
+cells around it and is done when ``k`` stops lie within one cell side, the radius
+those cells cover for certain.  The first side is the median hop between stops; the
+few points left go on with four times the side, until the grid covers everything.
+Work per point follows the stops near it, not those of its route.  Ranking follows
+the original service: planar distance in degrees (``metric="degrees"``), ties by
 stop order; ``metric="metres"`` ranks by ellipsoidal metres instead.  Reported
 distances are always metres.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingpath.config import DEFAULT_SPEED_M_PER_MIN, SPEEDS_M_PER_MIN
 from pingpath.functions import geo
-from pingpath.session import checked_broadcast
+from pingpath.session import materialise
 
 
 def speed_of(kind_col, speeds: dict | None = None, default: float = DEFAULT_SPEED_M_PER_MIN):
@@ -28,47 +31,82 @@ def speed_of(kind_col, speeds: dict | None = None, default: float = DEFAULT_SPEE
     return F.lit(float(default)) if expr is None else expr.otherwise(F.lit(float(default)))
 
 
-def stops_by_route(stops: DataFrame) -> DataFrame:
-    return stops.groupBy("route_id").agg(F.collect_list(F.struct(
-        F.col("seq"), F.col("stop_id"), F.col("name"), F.col("lon"), F.col("lat"))).alias("stops"))
+def _degrees_apart(metric: str, lat):
+    """Degrees that a metric's unit of distance spans at most."""
+    if metric == "metres":  # metres per degree are least along a parallel
+        return F.lit(1.0) / (F.lit(110_000.0) * F.cos(F.radians(F.abs(lat) + 1.0)))
+    return F.lit(1.0)
 
 
-def _rank_key(metric: str, lon, lat):
-    def key(s):
-        if metric == "metres":
-            sx, sy = geo.to_utm(s["lon"], s["lat"])
-            ux, uy = geo.to_utm(lon, lat)
-            return geo.geodesic_m(ux, uy, lat, sx, sy, s["lat"])
-        return geo.degree_distance(lon, lat, s["lon"], s["lat"])
-    return key
+def cell_degrees(stops: DataFrame) -> tuple[float, float]:
+    """(first cell side, extent) in degrees: the median hop between stops, and the spread of all."""
+    w = Window.partitionBy("route_id").orderBy("seq", "stop_id")
+    hop = geo.degree_distance(F.col("lon"), F.col("lat"), F.lead("lon").over(w), F.lead("lat").over(w))
+    r = stops.select("lon", "lat", hop.alias("hop")).agg(
+        F.percentile_approx("hop", 0.5), F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).first()
+    extent = math.hypot(r[1] or 0.0, r[2] or 0.0)
+    return max(r[0] or 0.0, extent / 1024, 1e-6), extent
 
 
-def nearest_stops(points: DataFrame, stops: DataFrame, k: int = 3, metric: str = "degrees",
-                  max_dim_rows: int = 2_000_000) -> DataFrame:
+def nearest_stops(points: DataFrame, stops: DataFrame, k: int = 3, metric: str = "degrees") -> DataFrame:
     """For each row of ``points`` (route_id, lon, lat, ...) its ``k`` nearest stops.
 
     Adds stop_rank (1..k), stop_id, stop_name, stop_seq, stop_lon, stop_lat,
     distance_raw_m.  Points on a route without stops disappear (inner join).
     """
-    per_route = checked_broadcast(stops_by_route(stops), max_dim_rows)
-    joined = points.join(per_route, "route_id")
-    key = _rank_key(metric, F.col("lon"), F.col("lat"))
-    ranked = F.slice(F.array_sort(F.transform(
-        "stops", lambda s: F.struct(key(s).alias("d"), s["seq"].alias("seq"), s["stop_id"].alias("stop_id"),
-                                    s["name"].alias("name"), s["lon"].alias("lon"), s["lat"].alias("lat")))),
-        1, k)
-    exploded = joined.select("*", F.posexplode(ranked).alias("pos", "s")).drop("stops")
-    exploded = exploded.withColumn("_slon", F.col("s.lon")).withColumn("_slat", F.col("s.lat"))
-    exploded = geo.add_utm(geo.add_utm(exploded, "lon", "lat", "_ux", "_uy"), "_slon", "_slat", "_sx", "_sy")
-    ux, uy, sx, sy = F.col("_ux"), F.col("_uy"), F.col("_sx"), F.col("_sy")
-    return exploded.select(
-        *[c for c in points.columns],
-        (F.col("pos") + 1).cast("int").alias("stop_rank"),
-        F.col("s.stop_id").alias("stop_id"), F.col("s.name").alias("stop_name"),
-        F.col("s.seq").alias("stop_seq"), F.col("s.lon").alias("stop_lon"),
-        F.col("s.lat").alias("stop_lat"),
-        geo.geodesic_m(ux, uy, F.col("lat"), sx, sy, F.col("s.lat")).alias("distance_raw_m"),
-    )
+    side, extent = cell_degrees(stops)
+    st = stops.select("route_id", F.col("seq").alias("stop_seq"), "stop_id", F.col("name").alias("stop_name"),
+                      F.col("lon").alias("stop_lon"), F.col("lat").alias("stop_lat"))
+    open_ = materialise(points.withColumn("_row", F.monotonically_increasing_id()), "nearest-points")
+    far = open_.agg(F.max(F.abs("lon")), F.max(F.abs("lat"))).first()
+    done = None
+    while True:
+        last = side > 2 * extent
+        found = materialise(_within(open_, st, side, k, metric, points.columns, last), "nearest-found")
+        done = found if done is None else done.unionByName(found)
+        if last or far[0] is None:
+            break
+        open_ = materialise(open_.join(found.select("_row").distinct(), "_row", "left_anti"), "nearest-open")
+        if open_.isEmpty():
+            break
+        side *= 4
+    a = geo.add_utm(geo.add_utm(done, "lon", "lat", "_ux", "_uy"), "stop_lon", "stop_lat", "_sx", "_sy")
+    distance = geo.geodesic_m(F.col("_ux"), F.col("_uy"), F.col("lat"), F.col("_sx"), F.col("_sy"), F.col("stop_lat"))
+    return a.select(*points.columns, "stop_rank", "stop_id", "stop_name", "stop_seq", "stop_lon", "stop_lat",
+                    distance.alias("distance_raw_m"))
+
+
+def _within(points: DataFrame, st: DataFrame, side: float, k: int, metric: str, columns: list[str], last: bool) -> DataFrame:
+    """The k nearest stops of the points that have k within one cell side (of all points if ``last``)."""
+    cell = lambda c: F.floor(F.col(c) / side)
+    if last:
+        pairs = points.join(st, "route_id")
+    else:
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        p = points.select("*", around.alias("_o")).select(
+            *points.columns, (cell("lon") + F.col("_o.i")).alias("_gx"), (cell("lat") + F.col("_o.j")).alias("_gy"))
+        pairs = p.join(st.withColumn("_gx", cell("stop_lon")).withColumn("_gy", cell("stop_lat")), ["route_id", "_gx", "_gy"])
+    if metric == "metres":
+        ux, uy = geo.to_utm(F.col("lon"), F.col("lat"))
+        sx, sy = geo.to_utm(F.col("stop_lon"), F.col("stop_lat"))
+        d = geo.geodesic_m(ux, uy, F.col("lat"), sx, sy, F.col("stop_lat"))
+    else:
+        d = geo.degree_distance(F.col("lon"), F.col("lat"), F.col("stop_lon"), F.col("stop_lat"))
+    pairs = pairs.withColumn("_d", d)
+    if not last:
+        pairs = pairs.where(F.col("_d") * _degrees_apart(metric, F.col("lat")) <= side)
+    order = Window.partitionBy("_row").orderBy("_d", "stop_seq", "stop_id")
+    ranked = pairs.withColumn("stop_rank", F.row_number().over(order)).where(F.col("stop_rank") <= k)
+    if not last:
+        ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_row"))).where(F.col("_n") >= k)
+    return ranked.select("_row", *columns, F.col("stop_rank").cast("int").alias("stop_rank"),
+                         "stop_id", "stop_name", "stop_seq", "stop_lon", "stop_lat")
+
+
+def nearest_of_point(stops: DataFrame, lon0: float, lat0: float, k: int = 5) -> DataFrame:
+    """The k stops nearest to one point, whatever their route: order and limit."""
+    d = geo.degree_distance(F.lit(lon0), F.lit(lat0), F.col("lon"), F.col("lat"))
+    return stops.withColumn("distance_deg", d).orderBy("distance_deg", "seq", "stop_id").limit(k)
 
 
 def with_eta(df: DataFrame, speed, digits_distance: int = 1, digits_eta: int = 1) -> DataFrame:

@@ -9,18 +9,21 @@ put a flooding device's whole history into one task.
 
 Exact and distributed instead, in bounded pieces:
 
-* time slots of width W: at most one accepted attempt per (session, slot);
-* next(i) = first valid attempt at or after ts_i + W.  It lies in slot_i + 1 or
-  is the first attempt of a later non-empty slot, so it is found with windows
-  over (session, slot) - a device's attempts in one slot - and a window over the
-  one-row-per-non-empty-slot table;
+* of the valid attempts of a session at one instant only the one of the least id
+  can be accepted, so instants are pre-aggregated;
+* "previous valid attempt" and "first valid attempt at or after ts + W" are looked
+  up in a tree of time: seconds, 1,000 seconds, 11.6 days.  A window holds the
+  instants of one second, the seconds of one 1,000 seconds, and so on, so none
+  holds a session or a slot of W, however much one device id floods;
 * an attempt whose previous valid attempt is at least W earlier (or that has
   none) starts a burst and is always accepted; inside a burst the accepted
   attempts are the chain start, next(start), next(next(start)), ...;
 * that chain is expanded by pointer doubling: jump tables next^(2^k) are joined
   on attempt id (unique, so no hot key) until empty, then the starts are pushed
-  through the tables from the longest jump down.  Rounds grow with log2 of the
-  longest burst, and every jump table is checkpointed.
+  through the tables from the longest jump down.  Pointers lead forward in time,
+  so the tables run empty after log2 of the longest burst.
+
+Only (session, id, instant, flags) takes part; rows meet the decision once, by id.
 """
 
 from __future__ import annotations
@@ -29,7 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pingpath.session import cut_lineage
+from pingpath.session import materialise
+
+#: Widths of the time tree's levels in microseconds; each holds 1,000 of the one before.
+LEVELS = (10**6, 10**9, 10**12)
 
 
 def epoch_micros(df: DataFrame, col: str):
@@ -39,119 +45,93 @@ def epoch_micros(df: DataFrame, col: str):
     return F.unix_micros(F.col(col))
 
 
-def _key(us: str = "us", pid: str = "id"):
-    return F.struct(F.col(us).alias("us"), F.col(pid).alias("id"))
+def _around(rows: DataFrame, keys: list[str], order: list[str], first: str, last: str) -> DataFrame:
+    """Adds ``before`` (greatest ``last`` of the rows before) and ``after`` (least ``first`` behind)."""
+    up = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    down = (Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+            .rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", F.max(last).over(up)).withColumn("after", F.min(first).over(down))
 
 
-def rate_limit(attempts: DataFrame, window_s: float, session: str = "session_hash",
-               ping_id: str = "ping_id", ts: str = "ts", payload_ok: str = "payload_ok",
-               valid: str = "valid", max_rounds: int = 64) -> DataFrame:
-    """Adds ``accepted`` and ``rate_limited`` to every attempt.
+def neighbours(points: DataFrame) -> DataFrame:
+    """Adds ``before`` and ``after`` (struct us, id): the valid attempts next to each point.
 
-    ``valid`` = the attempt passes every check except the rate limit;
-    ``payload_ok`` = it passes the payload check, which runs before the rate
-    limit (attempts failing it are neither accepted nor rate limited).
+    ``points`` has sid, us, kind (0 a query, 1 a valid attempt), id.  A query at an
+    attempt's instant stands before it.
+    """
+    found = F.when(F.col("kind") == 1, F.struct("us", "id"))
+    rows = points.withColumn("first", found).withColumn("last", found)
+    bucket = [F.floor(F.col("us") / w).alias(f"b{i}") for i, w in enumerate(LEVELS)]
+    rows = rows.select("*", *bucket)
+    tables, keys = [], ["sid"] + [f"b{i}" for i in reversed(range(len(LEVELS)))]
+    below = rows
+    for i in range(len(LEVELS)):
+        below = below.groupBy(*keys[:len(keys) - i]).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        tables.append(below)
+    above = None
+    for i in reversed(range(len(LEVELS))):
+        here = _around(tables[i], keys[:len(keys) - i - 1], [f"b{i}"], "first", "last").drop("first", "last")
+        above = here if above is None else _inherit(here, above, keys[:len(keys) - i - 1])
+    return _inherit(_around(rows, keys, ["us", "kind", "id"], "first", "last").drop("first", "last"), above, keys)
+
+
+def _inherit(rows: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+    """Where a row has no neighbour inside its bucket, the bucket's neighbour counts."""
+    up = above.select(*keys, F.col("before").alias("_before"), F.col("after").alias("_after"))
+    return (rows.join(up, keys).withColumn("before", F.coalesce("before", "_before"))
+            .withColumn("after", F.coalesce("after", "_after")).drop("_before", "_after"))
+
+
+def decide(attempts: DataFrame, window_s: float) -> DataFrame:
+    """(id, accepted, rate_limited) of attempts (sid, id, us, payload_ok, valid).
+
+    ``valid``: the attempt passes every check except the rate limit; ``payload_ok``:
+    it passes the payload check, which runs before the rate limit.  Attempts without
+    an instant or a session are neither accepted nor rate limited.
     """
-    W = int(round(window_s * 1_000_000))
-    a = attempts.withColumn("_us", epoch_micros(attempts, ts))
-    a = cut_lineage(a.withColumn("_slot", F.floor(F.col("_us") / F.lit(W))))
-    v = a.where(F.col(valid) & F.col(payload_ok)).select(
-        F.col(session).alias("sid"), F.col(ping_id).alias("id"),
-        F.col("_us").alias("us"), F.col("_slot").alias("slot"))
-
-    # one row per non-empty (session, slot) with its neighbours in slot order
-    slots = v.groupBy("sid", "slot").agg(F.min(_key()).alias("first"), F.max(_key()).alias("last"))
-    ws = Window.partitionBy("sid").orderBy("slot")
-    slots = slots.select("sid", "slot", "first",
-                         F.lag("last").over(ws).alias("prev_last"),
-                         F.lead("slot").over(ws).alias("next_slot"),
-                         F.lead("first").over(ws).alias("next_first"))
-    slots = cut_lineage(slots)
-
-    # previous valid attempt -> burst starts
-    win_slot = Window.partitionBy("sid", "slot").orderBy("us", "id")
-    nodes = v.select("*", F.lag(_key()).over(win_slot).alias("prev_in"))
-    nodes = nodes.join(slots.select("sid", "slot", "prev_last", "next_slot", "next_first"), ["sid", "slot"])
-    prev = F.coalesce(F.col("prev_in"), F.col("prev_last"))
-    nodes = nodes.withColumn("start", prev.isNull() | (F.col("us") - prev["us"] >= W))
-
-    # next(i): first valid attempt at or after us_i + W
-    data = v.select("sid", "slot", F.col("us").alias("t"), F.lit(0).alias("kind"),
-                    F.col("id").alias("did"), F.lit(None).cast("long").alias("qid"))
-    queries = v.select("sid", (F.col("slot") + 1).alias("slot"), (F.col("us") + W).alias("t"),
-                       F.lit(1).alias("kind"), F.lit(None).cast("long").alias("did"),
-                       F.col("id").alias("qid"))
-    wq = (Window.partitionBy("sid", "slot").orderBy(F.col("t").desc(), F.col("kind"))
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = (data.unionByName(queries)
-             .select("kind", "qid", F.min(F.when(F.col("kind") == 0, _key("t", "did"))).over(wq).alias("hit"))
-             .where(F.col("kind") == 1)
-             .select(F.col("qid").alias("id"), F.col("hit")["id"].alias("hit_id")))
-    nodes = nodes.join(found, "id", "left")
-    later = slots.select("sid", F.col("slot").alias("q_slot"), F.col("next_first").alias("q_next_first"))
-    nodes = nodes.join(later, (nodes.sid == later.sid) & (nodes.next_slot == later.q_slot)
-                       & (nodes.next_slot == nodes.slot + 1), "left").drop(later.sid)
-    fallback = F.when(F.col("next_slot") == F.col("slot") + 1, F.col("q_next_first")["id"]) \
-                .otherwise(F.col("next_first")["id"])
-    nodes = nodes.withColumn("nxt", F.coalesce(F.col("hit_id"), fallback))
-    nodes = cut_lineage(nodes.select("id", "start", "nxt"))
+    wait = int(round(window_s * 1_000_000))
+    timed = attempts.where(F.col("us").isNotNull() & F.col("sid").isNotNull())
+    v = (timed.where(F.col("valid") & F.col("payload_ok")).groupBy("sid", "us").agg(F.min("id").alias("id")))
+    v = materialise(v, "rate-valid")
+    points = v.select("sid", "us", F.lit(1).alias("kind"), "id").unionByName(
+        v.select("sid", (F.col("us") + wait).alias("us"), F.lit(0).alias("kind"), "id"))
+    near = neighbours(points)
+    nodes = near.groupBy("id").agg(
+        F.max(F.when(F.col("kind") == 1, F.col("before")["us"])).alias("prev_us"),
+        F.max(F.when(F.col("kind") == 1, F.col("us"))).alias("us"),
+        F.max(F.when(F.col("kind") == 0, F.col("after")["id"])).alias("next"))
+    nodes = materialise(nodes.select(
+        "id", "next", F.coalesce(F.col("us") - F.col("prev_us") >= wait, F.lit(True)).alias("start")), "rate-nodes")
 
     # next pointers inside a burst (a pointer to a burst start is dropped)
     starts = nodes.where("start").select("id")
-    jump = (nodes.where(F.col("nxt").isNotNull()).select("id", "nxt")
-            .join(starts.select(F.col("id").alias("nxt")), "nxt", "left_anti")
-            .select("id", F.col("nxt").alias("to")))
-    jump = cut_lineage(jump)
-
+    jump = (nodes.where(F.col("next").isNotNull()).select("id", F.col("next").alias("to"))
+            .join(starts.withColumnRenamed("id", "to"), "to", "left_anti").select("id", "to"))
     tables = []
-    for _ in range(max_rounds):
-        if jump.limit(1).count() == 0:
+    while True:
+        jump = materialise(jump, "rate-jump")
+        if jump.isEmpty():
             break
         tables.append(jump)
-        nxt = jump.select(F.col("id").alias("to"), F.col("to").alias("to2"))
-        jump = cut_lineage(jump.join(nxt, "to").select("id", F.col("to2").alias("to")))
-    else:
-        raise RuntimeError("rate limit: pointer doubling did not finish")
-
-    acc = starts
+        jump = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select(
+            "id", F.col("to2").alias("to"))
+    accepted = starts
     for table in reversed(tables):
-        step = acc.join(table, "id").select(F.col("to").alias("id"))
-        acc = cut_lineage(acc.unionByName(step).distinct())
-
-    # rate_limited: an accepted attempt of the session earlier than i within W
-    acc_rows = cut_lineage(v.join(acc, "id").select("sid", "slot", F.col("us").alias("a_us"),
-                                                   F.col("id").alias("a_id")))
-    out = a.join(acc.select(F.col("id").alias(ping_id), F.lit(True).alias("accepted")), ping_id, "left")
-    out = out.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-    blocked = None
-    for shift in (0, 1):
-        r = acc_rows.select(F.col("sid").alias(f"_s{shift}"), (F.col("slot") + shift).alias(f"_k{shift}"),
-                            F.col("a_us").alias(f"_u{shift}"), F.col("a_id").alias(f"_i{shift}"))
-        out = out.join(r, (F.col(session) == F.col(f"_s{shift}")) & (F.col("_slot") == F.col(f"_k{shift}")), "left")
-        u, i = F.col(f"_u{shift}"), F.col(f"_i{shift}")
-        earlier = (u < F.col("_us")) | ((u == F.col("_us")) & (i < F.col(ping_id)))
-        hit = u.isNotNull() & earlier & (u > F.col("_us") - W)
-        blocked = hit if blocked is None else (blocked | hit)
-        out = out.withColumn(f"_b{shift}", hit)
-    out = out.withColumn("rate_limited", F.col(payload_ok) & ~F.col("accepted")
-                         & (F.coalesce(F.col("_b0"), F.lit(False)) | F.coalesce(F.col("_b1"), F.lit(False))))
-    return out.drop("_us", "_slot", "_s0", "_k0", "_u0", "_i0", "_s1", "_k1", "_u1", "_i1", "_b0", "_b1")
-
-
-def rate_limit_reference(rows, window_s: float):
-    """Plain sequential fold for tests: rows = [(session, id, ts_seconds, payload_ok, valid)]."""
-    out = {}
-    last = {}
-    for s, i, t, pok, ok in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
-        if not pok:
-            out[i] = (False, False)
-            continue
-        if s in last and last[s] > t - window_s:
-            out[i] = (False, True)
-            continue
-        if ok:
-            last[s] = t
-            out[i] = (True, False)
-        else:
-            out[i] = (False, False)
-    return out
+        accepted = materialise(accepted.unionByName(
+            accepted.join(table, "id").select(F.col("to").alias("id"))).distinct(), "rate-accepted")
+    accepted = materialise(v.join(accepted, "id"), "rate-stored")
+
+    # rate limited: an accepted attempt of the session, not after this one, less than W ago;
+    # of the accepted attempts at most one lies in a slot of W
+    slot = F.floor(F.col("us") / max(wait, 1))
+    out = timed.select("id", "sid", "us", "payload_ok", slot.alias("slot"))
+    blocked = F.lit(False)
+    for back in (0, 1):
+        a = accepted.select(F.col("sid").alias(f"s{back}"), (slot + back).alias(f"k{back}"),
+                            F.col("us").alias(f"u{back}"), F.col("id").alias(f"i{back}"))
+        out = out.join(a, (F.col("sid") == F.col(f"s{back}")) & (F.col("slot") == F.col(f"k{back}")), "left")
+        u, i = F.col(f"u{back}"), F.col(f"i{back}")
+        earlier = (u < F.col("us")) | ((u == F.col("us")) & (i < F.col("id")))
+        blocked = blocked | F.coalesce(earlier & (u > F.col("us") - wait), F.lit(False))
+    own = F.coalesce(F.col("i0") == F.col("id"), F.lit(False))
+    return out.select("id", own.alias("accepted"), (F.col("payload_ok") & ~own & blocked).alias("rate_limited"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pingpath.config import AGE_MINUTES, AGE_NONE, AGE_SECONDS, GEOJSON_DIGITS
 from pingpath.operators.live import _instant
 
 
@@ -50,22 +51,20 @@ def search_routes(routes: DataFrame, term: str) -> DataFrame:
 def routes_by_kind(routes: DataFrame, term: str = "") -> DataFrame:
     """Active routes grouped by kind in order of first appearance by code.
 
-    The route list is a dimension; the single ordered window over it is tiny.
+    Kinds are ranked by their least code, after grouping: one row a kind.
     """
     lst = search_routes(active_routes_list(routes), term) if term else active_routes_list(routes)
-    pos = lst.withColumn("position", F.row_number().over(Window.orderBy("code")))
-    return (pos.groupBy("kind").agg(F.count(F.lit(1)).alias("n_routes"),
-                                    F.min("position").alias("first_position"))
-            .orderBy("first_position"))
+    kinds = lst.groupBy("kind").agg(F.count(F.lit(1)).alias("n_routes"), F.min("code").alias("first_code"))
+    return kinds.withColumn("position", F.row_number().over(Window.orderBy("first_code"))).orderBy("position")
 
 
 def unit_labels(units: DataFrame, as_of) -> DataFrame:
     """Confidence share and band, and the 'hace Ns / N min' age label (PF12)."""
     ms = F.timestamp_diff("MILLISECOND", F.col("last_ts"), _instant(as_of))
     s = F.floor(ms / 1000.0 + 0.5).cast("long")
-    label = F.when(F.col("last_ts").isNull(), F.lit("justo ahora")).when(
-        s < 60, F.format_string("hace %ds", s)).otherwise(
-        F.format_string("hace %d min", F.floor(s / 60.0 + 0.5).cast("long")))
+    label = F.when(F.col("last_ts").isNull(), F.lit(AGE_NONE)).when(
+        s < 60, F.format_string(AGE_SECONDS, s)).otherwise(
+        F.format_string(AGE_MINUTES, F.floor(s / 60.0 + 0.5).cast("long")))
     band = (F.when(F.col("report_count") >= 3, "high").when(F.col("report_count") == 2, "medium")
             .otherwise("low"))
     return units.select("*", F.least(F.col("report_count") / 5.0, F.lit(1.0)).alias("confidence"),
@@ -73,8 +72,9 @@ def unit_labels(units: DataFrame, as_of) -> DataFrame:
 
 
 def route_bbox(traces: DataFrame) -> DataFrame:
-    """Bounds of each trace as [lat, lon] corners, only with 2+ points (PF13)."""
-    pts = traces.where(F.size("trace") >= 2).select("route_id", F.explode("trace").alias("p"))
-    return pts.groupBy("route_id").agg(
-        F.min("p.lat").alias("south"), F.min("p.lon").alias("west"),
-        F.max("p.lat").alias("north"), F.max("p.lon").alias("east"))
+    """Bounds of each trace and its points as [lat, lon] pairs, only with 2+ points (PF13)."""
+    lat, lon = F.col("trace.lat"), F.col("trace.lon")
+    return traces.where(F.size("trace") >= 2).select(
+        "route_id", F.array_min(lat).alias("south"), F.array_min(lon).alias("west"),
+        F.array_max(lat).alias("north"), F.array_max(lon).alias("east"),
+        F.transform("trace", lambda p: F.array(F.round(p["lat"], GEOJSON_DIGITS), F.round(p["lon"], GEOJSON_DIGITS))).alias("latlon"))

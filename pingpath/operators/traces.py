@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pingpath.config import GEOJSON_DIGITS
 from pingpath.functions import geo
 
 
@@ -51,9 +52,13 @@ def stop_flags(stops: DataFrame) -> DataFrame:
 
 def trace_geojson(traces: DataFrame) -> DataFrame:
     """GeoJSON LineString text per route, NULL without a trace (IO13)."""
-    coords = F.transform("trace", lambda p: F.array(p["lon"], p["lat"]))
-    gj = F.to_json(F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates")))
-    return traces.select("route_id", F.when(F.col("trace").isNotNull(), gj).alias("geojson"))
+    return traces.select("route_id", F.to_json(geojson_line(F.col("trace"))).alias("geojson"))
+
+
+def geojson_line(trace):
+    """LineString struct of a trace, coordinates with at most 9 decimals; NULL without a trace."""
+    coords = F.transform(trace, lambda p: F.array(F.round(p["lon"], GEOJSON_DIGITS), F.round(p["lat"], GEOJSON_DIGITS)))
+    return F.when(trace.isNotNull(), F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates")))
 
 
 def _wkt_point(lon, lat):

@@ -8,47 +8,72 @@ column names equal the oracle's.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pingpath.functions import geo
-from pingpath.operators import cluster, dims, live, quality, stats
+from pingpath.operators import cluster, dims, live, nearest, quality, stats
 from pingpath.operators import ingest as ing
 from pingpath.operators import traces as tr
 from pingpath.plans import oracle as O
 from pingpath.plans import service
+from pingpath.session import ensure_checkpoint_dir, materialise
 from pingpath.sources import driver
+from pingpath.sources.tables import PING_COLUMNS, STORE, read_pings, write_pings
+from pingpath.streaming import live_stream as stream
 
 P = driver.DRIVER_PARAMS
 
 
 @dataclass
-class Inputs:
+class Dims:
     routes: DataFrame
     stops: DataFrame
-    raw: DataFrame
     as_of: object
+
+
+@dataclass
+class Facts(Dims):
     pings: DataFrame
     rejected: DataFrame
+    store: str
 
 
 _MEMO: dict = {}
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """Derived tables plus one ingest run, shared by the queries of a session."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+def _once(kind: str, spark: SparkSession, sf_dir: str, make):
+    key = (kind, id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _MEMO:
-        routes = driver.routes(spark, sf_dir)
-        stops = driver.stops(spark, sf_dir)
-        raw = driver.raw_pings(spark, sf_dir, stops)
-        accepted, rejected = ing.ingest(raw, routes, stops, P)
-        _MEMO[key] = Inputs(routes, stops, raw, driver.as_of(spark, sf_dir), accepted, rejected)
+        _MEMO[key] = make()
     return _MEMO[key]
 
 
+def dimensions(spark: SparkSession, sf_dir: str) -> Dims:
+    """Routes and stops, derived once; queries on them run no ingest."""
+    return _once("dims", spark, sf_dir, lambda: Dims(
+        materialise(driver.routes(spark, sf_dir), "routes"), materialise(driver.stops(spark, sf_dir), "stops"),
+        driver.as_of(spark, sf_dir)))
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> Facts:
+    """One ingest run into the month-partitioned store and the quarantine, shared by the queries of a session."""
+    def make() -> Facts:
+        d = dimensions(spark, sf_dir)
+        accepted, rejected = ing.ingest(driver.raw_pings(spark, sf_dir, d.stops), d.routes, d.stops, P)
+        store = new_folder(spark, "pings")
+        write_pings(accepted, store)
+        return Facts(d.routes, d.stops, d.as_of, read_pings(spark, store), materialise(rejected, "quarantine"), store)
+    return _once("facts", spark, sf_dir, make)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(c):
     return geo.round_half_up(c, 6)
 
@@ -77,7 +102,7 @@ def q_noise(spark, sf_dir):
 
 
 def q_ingested(spark, sf_dir):
-    return inputs(spark, sf_dir).pings
+    return inputs(spark, sf_dir).pings.select(*PING_COLUMNS)
 
 
 def q_quarantine(spark, sf_dir):
@@ -105,7 +130,73 @@ def q_route_stats(spark, sf_dir):
 
 def q_live_total(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return service.system_stats(i.pings, i.routes, i.as_of, P)[1]
+    return stats.live_total(live.live_pings(i.pings, i.as_of, P.live_window_s), P.live_window_s // 60)
+
+
+def q_route_status_ordered(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    st = service.route_status(i.pings, i.routes, i.stops, i.as_of, P)
+    return service.route_status_ordered(st).select("code", "position", "cluster_id", "last_ts", "stop_name", "distance_m")
+
+
+def _answer_rows(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    st = service.route_status(i.pings, i.routes, i.stops, i.as_of, P)
+    return st.withColumn("lat", r6(F.col("lat"))).withColumn("lon", r6(F.col("lon"))), i.routes
+
+
+def q_route_answer(spark, sf_dir):
+    return service.route_answers(*_answer_rows(spark, sf_dir))
+
+
+def q_route_answer_first_stop(spark, sf_dir):
+    return service.route_answers(*_answer_rows(spark, sf_dir), max_stops=1)
+
+
+def q_route_payload(spark, sf_dir):
+    d = dimensions(spark, sf_dir)
+    return service.route_payloads(d.routes, d.stops)
+
+
+def q_nearest_k_of_point(spark, sf_dir):
+    d = dimensions(spark, sf_dir)
+    return nearest.nearest_of_point(d.stops, *POINT, 7).select("stop_id", "route_id", "name", r6(F.col("distance_deg")).alias("distance_deg"))
+
+
+def q_purge_kept(spark, sf_dir):
+    """What a purge to one day leaves in a copy of the store."""
+    i = inputs(spark, sf_dir)
+    store = new_folder(spark, "purged")
+    write_pings(i.pings.drop("month"), store)
+    live.purge_store(spark, store, i.as_of, 24)
+    return read_pings(spark, store).select(*PING_COLUMNS)
+
+
+def q_stream_ingested(spark, sf_dir):
+    """The events as a stream, triggered until all are read: the newest decision of every attempt."""
+    d = dimensions(spark, sf_dir)
+    root = new_folder(spark, "stream")
+    events = driver._table(spark, sf_dir, "events")
+    body = stream.ingest_body(spark, root, d.routes, d.stops, P)
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    _drain(source, lambda batch, n: body(driver.attempts_from_events(batch, d.stops), n), f"{root}/progress", "append")
+    return stream.current(spark, root).select("ping_id", "session_hash", "code", "lon", "lat", "ts", "reject_reason")
+
+
+def q_stream_counts(spark, sf_dir):
+    """Sliding two-minute counts of the stored pings as a stream, newest count of each window."""
+    i = inputs(spark, sf_dir)
+    root = new_folder(spark, "counts")
+    counts = stream.live_counts(spark.readStream.schema(STORE).parquet(i.store))
+    _drain(counts, stream.counts_body(spark, root), f"{root}/progress", "update")
+    return stream.current_counts(spark, root).select(
+        F.unix_seconds("window_start").alias("window_start_s"), "route_id", "pings")
+
+
+def _drain(df, body, progress: str, mode: str) -> None:
+    q = (df.writeStream.outputMode(mode).foreachBatch(body).option("checkpointLocation", progress)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def q_dashboard(spark, sf_dir):
@@ -114,48 +205,48 @@ def q_dashboard(spark, sf_dir):
 
 
 def q_active_routes(spark, sf_dir):
-    return stats.active_routes_list(inputs(spark, sf_dir).routes)
+    return stats.active_routes_list(dimensions(spark, sf_dir).routes)
 
 
 def q_routes_by_kind(spark, sf_dir):
-    return stats.routes_by_kind(inputs(spark, sf_dir).routes)
+    return stats.routes_by_kind(dimensions(spark, sf_dir).routes)
 
 
 def q_route_search(spark, sf_dir):
-    return stats.search_routes(inputs(spark, sf_dir).routes, TERM).select("code", "name", "kind", "active")
+    return stats.search_routes(dimensions(spark, sf_dir).routes, TERM).select("code", "name", "kind", "active")
 
 
 def q_route_trace_stops(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     _, st = service.route_trace(i.routes, i.stops)
     return st.select("code", F.col("name").alias("stop_name"), "seq", "lat", "lon", "is_first", "is_last")
 
 
 def q_route_geojson(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     lines, _ = service.route_trace(i.routes, i.stops)
     return lines.select("code", "name", "kind", "geojson")
 
 
 def q_trace_endpoints(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     e = tr.endpoints_wkt(tr.build_traces(i.stops))
     return e.join(i.routes.select("route_id", "code"), "route_id").select("code", "start_wkt", "end_wkt")
 
 
 def q_trace_length(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     t = tr.trace_length(i.stops).join(i.routes.select("route_id", "code"), "route_id")
     return t.select("code", geo.round_half_up(F.col("length_km"), 3).alias("length_km"))
 
 
 def q_stops_per_route(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     return tr.stops_per_route(i.stops, i.routes).select("code", "n_stops", "first_stop", "last_stop")
 
 
 def q_nearest_from_point(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     n = service.nearest_from_point(i.stops, i.routes, POINT[0], POINT[1], 5, 583.0, P)
     return n.select("code", "stop_rank", "stop_name", "distance_m", "eta_minutes")
 
@@ -180,13 +271,22 @@ def q_purge_report(spark, sf_dir):
 
 def q_sessions_like(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    kept = live.delete_sessions_like(i.pings, PATTERN)
-    return kept.agg(F.count(F.lit(1)).alias("kept"))
+    return live.delete_sessions_like(i.pings, PATTERN).select("ping_id", "session_hash")
 
 
 def q_quality_report(spark, sf_dir):
+    """The checks on the tables with defects mixed in, so that every one of them has rows."""
     i = inputs(spark, sf_dir)
-    return quality.quality_report(i.routes, i.stops)
+    routes = i.routes.unionByName(i.routes.where("route_id = 2").withColumn("route_id", F.lit(102))).unionByName(
+        i.routes.where("route_id = 3").withColumn("code", F.lit("R2b")).withColumn("name", F.lit(None).cast("string")))
+    stops = (i.stops.unionByName(i.stops.where("stop_id % 7 = 0").withColumn("route_id", F.col("route_id") + 200))
+             .unionByName(i.stops.where("stop_id % 11 = 0").withColumn("stop_id", F.col("stop_id") + 1_000_000)
+                          .withColumn("lon", F.lit(None).cast("double"))))
+    pings = i.pings.select(*PING_COLUMNS)
+    pings = (pings.unionByName(pings.where("ping_id % 50 = 1").withColumn("route_id", F.col("route_id") + 200))
+             .unionByName(pings.where("ping_id % 40 = 3").withColumn("ping_id", F.col("ping_id") + 10_000_000)
+                          .withColumn("session_hash", F.lit(None).cast("string")).withColumn("lat", F.lit(20.40))))
+    return quality.quality_report(routes, stops, pings)
 
 
 def q_unit_labels(spark, sf_dir):
@@ -196,19 +296,20 @@ def q_unit_labels(spark, sf_dir):
 
 
 def q_route_bbox(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     b = stats.route_bbox(tr.build_traces(i.stops)).join(i.routes.select("route_id", "code"), "route_id")
-    return b.select("code", "south", "west", "north", "east")
+    return b.select("code", "south", "west", "north", "east", F.to_json("latlon").alias("latlon"))
 
 
 def new_stop_file(spark, sf_dir):
-    """Corrected stop lists for routes R0 and R1: wealthier suppliers, by balance."""
-    s = driver._table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 5000)
+    """Corrected stop lists for routes R0 and R1, by balance; one supplier in ten names no route."""
+    s = driver._table(spark, sf_dir, "supplier")
     n = driver._table(spark, sf_dir, "nation").where(F.col("n_regionkey") <= 1)
-    j = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+    j = s.join(n, s.s_nationkey == n.n_nationkey)
     w = Window.partitionBy("n_regionkey").orderBy("s_acctbal", "s_suppkey")
     return j.select(F.col("s_suppkey").alias("stop_id"),
-                    F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("code"),
+                    F.when(F.col("s_suppkey") % 10 == 3, F.lit("RX")).otherwise(
+                        F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))).alias("code"),
                     F.concat(F.lit("Nueva "), F.col("s_name")).alias("name"),
                     (F.lit(-103.45) + F.lit(0.01) * F.col("n_nationkey")).alias("lon"),
                     (F.lit(20.42) + F.col("s_acctbal") / F.lit(30000.0)).alias("lat"),
@@ -216,14 +317,26 @@ def new_stop_file(spark, sf_dir):
 
 
 def q_reload_stops(spark, sf_dir):
-    i = inputs(spark, sf_dir)
-    _, _, report = dims.reload_stops(i.routes, i.stops, new_stop_file(spark, sf_dir))
-    return report.select("code", "n_stops", "first_stop", "last_stop",
-                         geo.round_half_up(F.col("length_km"), 3).alias("length_km"))
+    """The reloaded routes: stops, length, rebuilt line and audit stamp."""
+    i = dimensions(spark, sf_dir)
+    t0 = live._instant(driver._table(spark, sf_dir, "events").agg(F.min("ts")).first()[0])
+    routes = i.routes.withColumn("created_at", t0).withColumn("updated_at", t0).withColumn("trace", F.lit(None).cast(
+        "array<struct<lon:double,lat:double>>"))
+    new_routes, _, report, _ = dims.reload_stops(routes, i.stops, new_stop_file(spark, sf_dir), i.as_of)
+    lines = tr.trace_geojson(new_routes.select("route_id", "trace")).join(new_routes.select("route_id", "updated_at"), "route_id")
+    return report.join(lines, "route_id").select(
+        "code", "n_stops", "first_stop", "last_stop", geo.round_half_up(F.col("length_km"), 3).alias("length_km"),
+        F.md5(F.col("geojson").cast("binary")).alias("line_md5"), "updated_at")
+
+
+def q_reload_unresolved(spark, sf_dir):
+    """Rows of the stop file that name no route."""
+    i = dimensions(spark, sf_dir)
+    return dims.reload_stops(i.routes, i.stops, new_stop_file(spark, sf_dir))[3].select("stop_id", "code", "name")
 
 
 def q_routes_merged(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     n = driver._table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     new = n.select(F.concat(F.lit("R"), (k % 7).cast("string")).alias("code"),
@@ -235,21 +348,21 @@ def q_routes_merged(spark, sf_dir):
 
 
 def q_stops_after_cascade(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     kept_routes = i.routes.where(F.col("active"))
     st = dims.cascade_delete(i.stops, kept_routes, "route_id")
     return st.groupBy("route_id").agg(F.count(F.lit(1)).alias("n_stops"))
 
 
 def q_routes_renamed(spark, sf_dir):
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     patch = spark.range(1).select(F.lit(RENAME[0]).alias("code"), F.lit(RENAME[1]).alias("name"))
     return dims.update_attribute(i.routes, patch, "code").select("code", "name", "kind", "active")
 
 
 def q_units_history(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    act = i.pings.join(F.broadcast(i.routes.where("active").select("route_id")), "route_id", "left_semi")
+    act = i.pings.join(i.routes.where("active").select("route_id"), "route_id", "left_semi").drop("month")
     u, _ = cluster.detect_units(act.withColumn("day", F.to_date("ts")), P.eps_m, P.min_points,
                                 ["route_id", "day"])
     return u.select("route_id", "day", "cluster_id", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"),
@@ -258,7 +371,7 @@ def q_units_history(spark, sf_dir):
 
 def q_audit_stamps(spark, sf_dir):
     """Routes created at the first event; R1 renamed and R2 rewritten unchanged at as_of."""
-    i = inputs(spark, sf_dir)
+    i = dimensions(spark, sf_dir)
     t0 = driver._table(spark, sf_dir, "events").agg(F.min("ts")).first()[0]
     t0c = live._instant(t0)
     old = i.routes.withColumn("created_at", t0c).withColumn("updated_at", t0c)
@@ -278,6 +391,15 @@ QUERIES = {
     "live_age": q_live_age,
     "route_stats": q_route_stats,
     "live_total": q_live_total,
+    "route_status_ordered": q_route_status_ordered,
+    "route_answer": q_route_answer,
+    "route_answer_first_stop": q_route_answer_first_stop,
+    "route_payload": q_route_payload,
+    "nearest_k_of_point": q_nearest_k_of_point,
+    "purge_kept": q_purge_kept,
+    "reload_unresolved": q_reload_unresolved,
+    "stream_ingested": q_stream_ingested,
+    "stream_counts": q_stream_counts,
     "dashboard": q_dashboard,
     "active_routes": q_active_routes,
     "routes_by_kind": q_routes_by_kind,
@@ -354,11 +476,12 @@ seglen AS (
 
 _NEW_STOPS = """
 nstops_0 AS (
-  SELECT s.s_suppkey AS stop_id, 'R' || CAST(n.n_regionkey AS VARCHAR) AS code, 'Nueva ' || s.s_name AS name,
+  SELECT s.s_suppkey AS stop_id, CASE WHEN s.s_suppkey % 10 = 3 THEN 'RX' ELSE 'R' || CAST(n.n_regionkey AS VARCHAR) END AS code,
+         'Nueva ' || s.s_name AS name,
          -103.45e0 + 0.01e0 * n.n_nationkey AS lon, 20.42e0 + s.s_acctbal / 30000e0 AS lat,
          CAST(row_number() OVER (PARTITION BY n.n_regionkey ORDER BY s.s_acctbal, s.s_suppkey) AS INTEGER) AS seq
   FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
-  WHERE s.s_acctbal > 5000 AND n.n_regionkey <= 1),
+  WHERE n.n_regionkey <= 1),
 nstops AS (SELECT n.stop_id, r.route_id, n.name, n.lon, n.lat, n.seq
            FROM nstops_0 n JOIN routes_d r ON r.code = n.code),
 stops_r AS (SELECT * FROM stops_d WHERE route_id NOT IN (SELECT route_id FROM nstops)
@@ -381,9 +504,8 @@ SELECT CAST(coalesce(sum(units), 0) AS BIGINT) AS total_units,
     "active_routes": O.with_ctes(O.DERIVED) + """
 SELECT code, name, kind FROM routes_d WHERE active""",
     "routes_by_kind": O.with_ctes(O.DERIVED) + """
-SELECT kind, count(*) AS n_routes, CAST(min(position) AS INTEGER) AS first_position
-FROM (SELECT kind, row_number() OVER (ORDER BY code) AS position FROM routes_d WHERE active)
-GROUP BY kind""",
+SELECT kind, n_routes, first_code, CAST(row_number() OVER (ORDER BY first_code) AS INTEGER) AS position
+FROM (SELECT kind, count(*) AS n_routes, min(code) AS first_code FROM routes_d WHERE active GROUP BY kind)""",
     "route_search": O.with_ctes(O.DERIVED) + f"""
 SELECT code, name, kind, active FROM routes_d
 WHERE contains(lower(code), '{TERM}') OR contains(lower(name), '{TERM}')""",
@@ -394,7 +516,7 @@ SELECT r.code, r.name, r.kind,
        CASE WHEN g.n >= 2 THEN '{"type":"LineString","coordinates":[' || g.coords || ']}' END AS geojson
 FROM routes_d r LEFT JOIN (
   SELECT route_id, count(*) AS n,
-         string_agg('[' || CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ']', ',' ORDER BY seq, stop_id) AS coords
+         string_agg('[' || CAST(round(lon, 9) AS VARCHAR) || ',' || CAST(round(lat, 9) AS VARCHAR) || ']', ',' ORDER BY seq, stop_id) AS coords
   FROM stops_d GROUP BY route_id) g ON g.route_id = r.route_id
 WHERE r.active""",
     "trace_endpoints": O.with_ctes(O.DERIVED) + """
@@ -434,20 +556,35 @@ SELECT count(*) AS purged,
        'OK: ' || CAST(count(*) AS VARCHAR) || ' pings purgados (antigüedad > 24 horas).' AS message
 FROM pings_d WHERE ts < {O.AS_OF} - to_hours(24)""",
     "sessions_like": O.with_ctes(*_BASE) + f"""
-SELECT count(*) AS kept FROM pings_d WHERE NOT (session_hash LIKE '{PATTERN}')""",
-    "quality_report": O.with_ctes(O.DERIVED, """
+SELECT ping_id, session_hash FROM pings_d WHERE NOT (session_hash LIKE '{PATTERN}')""",
+    "quality_report": O.with_ctes(*_BASE, """
+routes_q AS (SELECT * FROM routes_d UNION ALL SELECT 102, code, name, kind, active FROM routes_d WHERE route_id = 2
+             UNION ALL SELECT route_id, 'R2b', NULL, kind, active FROM routes_d WHERE route_id = 3),
+stops_q AS (SELECT stop_id, route_id, lon, lat, seq FROM stops_d
+            UNION ALL SELECT stop_id, route_id + 200, lon, lat, seq FROM stops_d WHERE stop_id % 7 = 0
+            UNION ALL SELECT stop_id + 1000000, route_id, NULL, lat, seq FROM stops_d WHERE stop_id % 11 = 0),
+pings_q AS (SELECT * FROM pings_d
+            UNION ALL SELECT ping_id, session_hash, route_id + 200, lon, lat, ts FROM pings_d WHERE ping_id % 50 = 1
+            UNION ALL SELECT ping_id + 10000000, NULL, route_id, lon, 20.40e0, ts FROM pings_d WHERE ping_id % 40 = 3),
 per_route AS (SELECT r.route_id, r.code, r.active, coalesce(c.n, 0) AS n_stops
-              FROM routes_d r LEFT JOIN (SELECT route_id, count(*) AS n FROM stops_d GROUP BY route_id) c
-              ON c.route_id = r.route_id)""") + """
-SELECT 'route_kind_invalid' AS "check", code AS subject, CAST(1 AS BIGINT) AS n FROM routes_d
+              FROM routes_q r LEFT JOIN (SELECT route_id, count(*) AS n FROM stops_q GROUP BY route_id) c
+              ON c.route_id = r.route_id)""") + f"""
+SELECT 'route_kind_invalid' AS "check", code AS subject, CAST(1 AS BIGINT) AS n FROM routes_q
   WHERE kind IS NULL OR kind NOT IN ('tren_ligero', 'autobus', 'alimentador')
-UNION ALL SELECT 'route_code_duplicate', code, count(*) FROM routes_d GROUP BY code HAVING count(*) > 1
-UNION ALL SELECT 'route_id_duplicate', CAST(route_id AS VARCHAR), count(*) FROM routes_d GROUP BY route_id HAVING count(*) > 1
-UNION ALL SELECT 'route_not_null', CAST(route_id AS VARCHAR), 1 FROM routes_d WHERE code IS NULL OR name IS NULL
-UNION ALL SELECT 'stop_id_duplicate', CAST(stop_id AS VARCHAR), count(*) FROM stops_d GROUP BY stop_id HAVING count(*) > 1
-UNION ALL SELECT 'stop_orphan', CAST(stop_id AS VARCHAR), 1 FROM stops_d WHERE route_id NOT IN (SELECT route_id FROM routes_d)
+UNION ALL SELECT 'route_code_duplicate', code, count(*) FROM routes_q GROUP BY code HAVING count(*) > 1
+UNION ALL SELECT 'route_id_duplicate', CAST(route_id AS VARCHAR), count(*) FROM routes_q GROUP BY route_id HAVING count(*) > 1
+UNION ALL SELECT 'route_not_null', CAST(route_id AS VARCHAR), 1 FROM routes_q WHERE code IS NULL OR name IS NULL
+UNION ALL SELECT 'stop_id_duplicate', CAST(stop_id AS VARCHAR), count(*) FROM stops_q GROUP BY stop_id HAVING count(*) > 1
+UNION ALL SELECT 'stop_not_null', CAST(stop_id AS VARCHAR), 1 FROM stops_q WHERE route_id IS NULL OR lon IS NULL OR lat IS NULL
+UNION ALL SELECT 'stop_orphan', CAST(stop_id AS VARCHAR), 1 FROM stops_q WHERE route_id NOT IN (SELECT route_id FROM routes_q)
 UNION ALL SELECT 'stop_seq_duplicate', CAST(route_id AS VARCHAR) || '/' || CAST(seq AS VARCHAR), count(*)
-  FROM stops_d GROUP BY route_id, seq HAVING count(*) > 1
+  FROM stops_q GROUP BY route_id, seq HAVING count(*) > 1
+UNION ALL SELECT 'ping_id_duplicate', CAST(ping_id AS VARCHAR), count(*) FROM pings_q GROUP BY ping_id HAVING count(*) > 1
+UNION ALL SELECT 'ping_not_null', CAST(ping_id AS VARCHAR), 1 FROM pings_q
+  WHERE session_hash IS NULL OR route_id IS NULL OR lon IS NULL OR lat IS NULL OR ts IS NULL
+UNION ALL SELECT 'ping_orphan', CAST(ping_id AS VARCHAR), 1 FROM pings_q WHERE route_id NOT IN (SELECT route_id FROM routes_q)
+UNION ALL SELECT 'ping_outside', CAST(ping_id AS VARCHAR), 1 FROM pings_q
+  WHERE NOT (lon > {O.d(O.W)} AND lon < {O.d(O.E)} AND lat > {O.d(O.S)} AND lat < {O.d(O.N)})
 UNION ALL SELECT 'active_route_without_trace', code, 1 FROM per_route WHERE active AND n_stops < 2
 UNION ALL SELECT 'stops_per_route', code, n_stops FROM per_route""",
     "unit_labels": O.with_ctes(*_BASE, _UNITS, f"""
@@ -459,7 +596,8 @@ SELECT route_id, cluster_id, least(report_count / 5e0, 1e0) AS confidence,
             ELSE 'hace ' || CAST(CAST(floor(s / 60e0 + 5e-1) AS BIGINT) AS VARCHAR) || ' min' END AS age_label
 FROM ul""",
     "route_bbox": O.with_ctes(O.DERIVED) + """
-SELECT r.code, min(s.lat) AS south, min(s.lon) AS west, max(s.lat) AS north, max(s.lon) AS east
+SELECT r.code, min(s.lat) AS south, min(s.lon) AS west, max(s.lat) AS north, max(s.lon) AS east,
+       '[' || string_agg('[' || CAST(round(s.lat, 9) AS VARCHAR) || ',' || CAST(round(s.lon, 9) AS VARCHAR) || ']', ',' ORDER BY s.seq, s.stop_id) || ']' AS latlon
 FROM stops_d s JOIN routes_d r ON r.route_id = s.route_id GROUP BY r.code HAVING count(*) >= 2""",
     "reload_stops": O.with_ctes(O.DERIVED, _NEW_STOPS, f"""
 seg_r AS ({O.utm_sql(f"({O.utm_sql('(SELECT * FROM seg_r0 WHERE b_lon IS NOT NULL)', 'a_lon', 'a_lat', 'ax', 'ay')})", 'b_lon', 'b_lat', 'bx', 'b_y')}),
@@ -467,8 +605,12 @@ len_r AS (SELECT route_id, sum({O.geodesic_sql('ax', 'ay', 'a_lat', 'bx', 'b_y',
           FROM seg_r GROUP BY route_id),
 cnt_r AS (SELECT route_id, count(*) AS n, arg_min(name, seq * 1e12 + stop_id) AS first_stop,
                  arg_max(name, seq * 1e12 + stop_id) AS last_stop FROM stops_r GROUP BY route_id)""") + f"""
-SELECT r.code, coalesce(c.n, 0) AS n_stops, c.first_stop, c.last_stop, {O.round_sql('l.length_km', 3)} AS length_km
-FROM routes_d r LEFT JOIN cnt_r c ON c.route_id = r.route_id LEFT JOIN len_r l ON l.route_id = r.route_id""",
+SELECT r.code, coalesce(c.n, 0) AS n_stops, c.first_stop, c.last_stop, {O.round_sql('l.length_km', 3)} AS length_km,
+       CASE WHEN c.n >= 2 THEN md5('{{"type":"LineString","coordinates":[' || g.coords || ']}}') END AS line_md5,
+       CASE WHEN r.route_id IN (SELECT route_id FROM nstops) THEN {O.AS_OF} ELSE (SELECT min(ts) FROM events) END AS updated_at
+FROM routes_d r LEFT JOIN cnt_r c ON c.route_id = r.route_id LEFT JOIN len_r l ON l.route_id = r.route_id
+LEFT JOIN (SELECT route_id, string_agg('[' || CAST(round(lon, 9) AS VARCHAR) || ',' || CAST(round(lat, 9) AS VARCHAR) || ']', ',' ORDER BY seq, stop_id) AS coords
+           FROM stops_r GROUP BY route_id) g ON g.route_id = r.route_id""",
     "routes_merged": O.with_ctes(O.DERIVED, """
 newr AS (
   SELECT 'R' || CAST(n_nationkey % 7 AS VARCHAR) AS code, n_name AS name,
@@ -496,3 +638,58 @@ SELECT code, CASE WHEN code = '{RENAME[0]}' THEN '{RENAME[1]}' ELSE name END AS
        (SELECT min(ts) FROM events) AS created_at,
        CASE WHEN code IN ('R1', 'R2') THEN {O.AS_OF} ELSE (SELECT min(ts) FROM events) END AS updated_at
 FROM routes_d"""
+
+_STATUS = f"""
+st AS ({O.knn_sql('lv_units', P.nearest_k)}),
+status AS (SELECT r.route_id, r.code, st.cluster_id, {O.R6('st.lat')} AS lat, {O.R6('st.lon')} AS lon, st.report_count, st.last_ts,
+                  CAST(st.stop_rank AS INTEGER) AS stop_rank, st.stop_name, {O.round_sql('st.distance_raw_m')} AS distance_m,
+                  {O.round_sql(f'st.distance_raw_m / ({O.SPEED})')} AS eta_minutes
+           FROM st JOIN routes_d r ON r.route_id = st.route_id AND r.active)"""
+
+
+def _answers(max_stops: int) -> str:
+    return f"""
+SELECT r.code, coalesce(u.total, 0) AS total,
+       '{{"ruta":"' || r.code || '","unidades":[' || coalesce(u.units, '') || '],"total":' || coalesce(u.total, 0) || '}}' AS answer
+FROM routes_d r LEFT JOIN (
+  SELECT route_id, CAST(count(*) AS INTEGER) AS total, string_agg(unit, ',' ORDER BY last_ts DESC, near, cluster_id) AS units FROM (
+    SELECT route_id, cluster_id, max(last_ts) AS last_ts, min(distance_m) AS near,
+      '{{"unidad_id":' || cluster_id || ',"posicion":{{"lat":' || any_value(lat) || ',"lon":' || any_value(lon) || '}},"confianza":' || any_value(report_count)
+      || ',"ultima_actualizacion":"' || strftime(max(last_ts), '%Y-%m-%dT%H:%M:%S.%f') || '","proximas_paradas":['
+      || string_agg('{{"nombre":"' || stop_name || '","distancia_m":' || distance_m || ',"eta_minutos":' || eta_minutes || '}}', ',' ORDER BY distance_m, stop_rank)
+         FILTER (k <= {max_stops}) || ']}}' AS unit
+    FROM (SELECT *, row_number() OVER (PARTITION BY route_id, cluster_id ORDER BY distance_m, stop_rank) AS k FROM status)
+    GROUP BY route_id, cluster_id) GROUP BY route_id) u ON u.route_id = r.route_id
+WHERE r.active"""
+
+
+ORACLE.update({
+    "route_status_ordered": O.with_ctes(*_BASE, _UNITS, _STATUS) + """
+SELECT code, CAST(row_number() OVER (PARTITION BY code ORDER BY last_ts DESC, distance_m, cluster_id, stop_rank) AS INTEGER) AS position,
+       cluster_id, last_ts, stop_name, distance_m FROM status""",
+    "route_answer": O.with_ctes(*_BASE, _UNITS, _STATUS) + _answers(P.nearest_k),
+    "route_answer_first_stop": O.with_ctes(*_BASE, _UNITS, _STATUS) + _answers(1),
+    "route_payload": O.with_ctes(O.DERIVED) + """
+SELECT r.code, '{"clave":"' || r.code || '","nombre":"' || r.name || '","tipo":"' || r.kind || '","trazado":'
+       || CASE WHEN g.n >= 2 THEN '{"type":"LineString","coordinates":[' || g.coords || ']}' ELSE 'null' END
+       || ',"paradas":[' || coalesce(g.items, '') || ']}' AS payload
+FROM routes_d r LEFT JOIN (
+  SELECT route_id, count(*) AS n,
+         string_agg('[' || CAST(round(lon, 9) AS VARCHAR) || ',' || CAST(round(lat, 9) AS VARCHAR) || ']', ',' ORDER BY seq, stop_id) AS coords,
+         string_agg('{"nombre":"' || name || '","orden":' || seq || ',"lat":' || lat || ',"lon":' || lon || '}', ',' ORDER BY seq, stop_id) AS items
+  FROM stops_d GROUP BY route_id) g ON g.route_id = r.route_id
+WHERE r.active""",
+    "nearest_k_of_point": O.with_ctes(O.DERIVED) + f"""
+SELECT stop_id, route_id, name, {O.R6(O.degdist_sql(O.d(POINT[0]), O.d(POINT[1]), 'lon', 'lat'))} AS distance_deg
+FROM stops_d ORDER BY {O.degdist_sql(O.d(POINT[0]), O.d(POINT[1]), 'lon', 'lat')}, seq, stop_id LIMIT 7""",
+    "purge_kept": O.with_ctes(*_BASE) + f"""
+SELECT ping_id, session_hash, route_id, lon, lat, ts FROM pings_d WHERE NOT (ts < {O.AS_OF} - to_hours(24))""",
+    "reload_unresolved": O.with_ctes(O.DERIVED, _NEW_STOPS) + """
+SELECT stop_id, code, name FROM nstops_0 WHERE code NOT IN (SELECT code FROM routes_d)""",
+    "stream_ingested": O.with_ctes(*_BASE) + """
+SELECT ping_id, session_hash, code, lon, lat, ts, reject_reason FROM cls""",
+    "stream_counts": O.with_ctes(*_BASE) + """
+SELECT s AS window_start_s, route_id, count(*) AS pings FROM (
+  SELECT route_id, unnest(range((CAST(epoch_us(ts) AS BIGINT) // 30000000) * 30 - 90, (CAST(epoch_us(ts) AS BIGINT) // 30000000) * 30 + 30, 30)) AS s FROM pings_d)
+GROUP BY s, route_id""",
+})

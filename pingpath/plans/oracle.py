@@ -102,7 +102,8 @@ routes_d AS (
          CASE WHEN r_regionkey % 3 = 0 THEN 'tren_ligero' WHEN r_regionkey % 3 = 1 THEN 'autobus'
               ELSE 'alimentador' END AS kind,
          r_regionkey <> 4 AS active
-  FROM region),
+  FROM region
+  UNION ALL SELECT 6, 'R5', r_name || ' BIS', 'teleferico', true FROM region WHERE r_regionkey = 0),
 stops_0 AS (
   SELECT s_suppkey AS stop_id, CAST(n_regionkey + 1 AS INTEGER) AS route_id, s_name AS name, n_regionkey,
          row_number() OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) AS seq,
@@ -123,14 +124,16 @@ ev2 AS (
   FROM ev LEFT JOIN cnts c ON c.route_id = ev.route_id),
 raw_d AS (
   SELECT ev2.event_id AS ping_id,
-         'device-' || lpad(CAST(ev2.user_id AS VARCHAR), 6, '0') AS uuid,
-         'R' || CAST(ev2.event_id % 6 AS VARCHAR) AS code,
+         CASE WHEN ev2.event_id % 97 = 3 THEN 'd-' || CAST(ev2.user_id % 1000 AS VARCHAR)
+              ELSE 'device-' || repeat('0', greatest(0, 6 - length(CAST(ev2.user_id AS VARCHAR)))) || CAST(ev2.user_id AS VARCHAR) END AS uuid,
+         'R' || CAST(ev2.event_id % 6 AS VARCHAR) || CASE WHEN ev2.event_id % 89 = 7 THEN '-TOO-LONG' ELSE '' END AS code,
          CASE WHEN ev2.event_type = 'error'
               THEN coalesce(s.lon, -103.35e0) + ((ev2.event_id * 7) % 5 - 2) * 0.00005e0 + 0.005e0
               ELSE coalesce(s.lon, -103.35e0) + ((ev2.event_id * 7) % 5 - 2) * 0.00005e0 END AS lon,
          CASE WHEN ev2.value > 150 THEN 20.39e0
+              WHEN ev2.route_id = 6 AND ev2.event_id % 11 = 5 THEN 20.40e0
               ELSE coalesce(s.lat, 20.6e0) + ((ev2.event_id * 11) % 7 - 3) * 0.00004e0 END AS lat,
-         ev2.ts
+         CASE WHEN ev2.event_id % 83 <> 11 THEN ev2.ts END AS ts
   FROM ev2 LEFT JOIN stops_d s ON s.route_id = ev2.route_id AND s.seq = ev2.seq)"""
 
 SEGMENTS = f"""
@@ -153,6 +156,7 @@ cls0 AS (
               WHEN r.lat IS NULL OR r.lon IS NULL
                    OR r.lat NOT BETWEEN {d(C.PAYLOAD_LAT_MIN)} AND {d(C.PAYLOAD_LAT_MAX)}
                    OR r.lon NOT BETWEEN {d(C.PAYLOAD_LON_MIN)} AND {d(C.PAYLOAD_LON_MAX)} THEN 'payload_bounds'
+              WHEN r.ts IS NULL THEN 'payload_ts'
          END AS payload_reason,
          a.route_id
   FROM raw_d r LEFT JOIN (SELECT code, route_id FROM routes_d WHERE active) a ON a.code = r.code),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def build_session(master: str | None = None, app: str = "pingpath",
@@ -62,17 +62,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a dimension only when its row count is within ``max_rows``.
+def materialise(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Beyond the bound the DataFrame is returned unchanged, so the planner falls
-    back to a shuffled join (and AQE may still convert it at run time).  A side
-    that passes is cached (it is at most ``max_rows`` rows) so the count and the
-    broadcast do not compute it twice.
+    Cuts lineage like a reliable checkpoint, but columnar: later reads prune
+    columns.  The planner knows the bytes of what it reads back, so it broadcasts
+    a dimension exactly while that is below its threshold and shuffles otherwise.
     """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = cached.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

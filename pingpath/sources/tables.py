@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pingpath.functions import geo
+
 ROUTES = T.StructType([
     T.StructField("route_id", T.IntegerType(), False),
     T.StructField("code", T.StringType(), False),
@@ -43,6 +45,10 @@ PINGS = T.StructType([
 
 PING_COLUMNS = [f.name for f in PINGS.fields]
 
+#: The stored fact table: pings with their UTM position, by month.
+STORE = T.StructType([*PINGS.fields, T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()),
+                      T.StructField("month", T.StringType())])
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Parquet scan with an explicit schema (no inference on large inputs)."""
@@ -57,24 +63,22 @@ def month_of(ts) -> "F.Column":
 
 
 def write_pings(pings: DataFrame, path: str, mode: str = "append") -> None:
-    """Month-partitioned ping store, rows sorted by (route, ts) inside files.
+    """Month-partitioned ping store, rows ranged by (month, route, ts) over files.
 
-    Sorting inside each file gives tight Parquet min/max statistics on ts and
-    route_id, which is what row-group skipping needs for the live window.
+    Ranges give tight Parquet min/max statistics on route_id and ts, which is what
+    row-group skipping needs for the live window, and cut a busy route's month into
+    as many files as it needs.
     """
-    (pings.withColumn("month", month_of(F.col("ts")))
-     .repartition("month", "route_id")
-     .sortWithinPartitions("route_id", "ts")
+    (with_xy(pings).withColumn("month", month_of(F.col("ts")))
+     .repartitionByRange("month", "route_id", "ts")
+     .sortWithinPartitions("month", "route_id", "ts")
      .write.mode(mode).partitionBy("month").parquet(path))
 
 
-def read_pings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def with_xy(pings: DataFrame) -> DataFrame:
+    """Pings with their UTM position, added where a source has none."""
+    return pings if "x" in pings.columns else geo.add_utm(pings, "lon", "lat", "x", "y")
 
 
-def months_between_predicate(ts_from, ts_to=None):
-    """Partition-column predicate implied by a ts range (for pruning)."""
-    cond = F.col("month") >= F.date_format(ts_from, "yyyy-MM")
-    if ts_to is not None:
-        cond = cond & (F.col("month") <= F.date_format(ts_to, "yyyy-MM"))
-    return cond
+def read_pings(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, STORE)

@@ -1,38 +1,51 @@
-"""Structured Streaming twins of the batch jobs (ST1-ST4).
-
-* ``ingest_stream`` (ST1 + ST3): raw attempts from a file source -> the same
-  stateless checks as the batch ingest (static route and corridor tables are
-  stream-static broadcast joins) -> the rate limit as per-session state
-  (``applyInPandasWithState``: the state is the last accepted ts; the group
-  timeout drops idle sessions) -> accepted pings and rejected attempts, written
-  by ``foreachBatch`` to the month-partitioned store and the quarantine.
-* ``live_counts`` (ST2): pings per route in 2-minute windows sliding by 30 s,
-  with a watermark; rows later than the watermark leave these counts but are
-  still stored by ``ingest_stream`` (ST4).
-* ``refresh_units`` (ST2): a ``foreachBatch`` body that re-clusters the live
-  window of the stored pings and overwrites the units snapshot.
+"""Structured Streaming twins of the batch jobs (ST1-ST5).
+
+* ``ingest_body`` (ST1, ST3, ST4): a ``foreachBatch`` body that gives the batch
+  job's answer whatever the order of arrival.  The state of the rate limit is the
+  stored decisions themselves.  A decision depends only on earlier attempts of its
+  session, so a new attempt at t changes decisions from t on at most: the body
+  decides the new attempts again together with the stored attempts of the same
+  sessions from their earliest new instant on, seeded with the last accepted ping
+  before it.  In order, that is the new rows alone; a late row brings its session's
+  later attempts back.  Nothing is dropped for being late, and no watermark, timeout
+  or in-memory state is involved.
+* Each trigger writes its rows under its batch id, replacing what an earlier try of
+  the same batch left, so a retried batch stores nothing twice.  A row decided again
+  has a newer version; ``current`` takes the newest of each ping.
+* ``live_counts`` (ST2): pings per route in 2-minute windows sliding by 30 s, with a
+  watermark; rows later than it leave these counts only.  ``counts_body`` keeps the
+  newest count of each window, by batch id too.
+* ``refresh_units`` (ST2): a ``foreachBatch`` body that clusters the live window of the
+  stored pings again into a new snapshot.  Its clock is the newest instant seen so
+  far, so a late batch does not turn it back.
+* Expiry (ST5) is ``operators.live.purge_store`` on the published store.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from pingpath.config import Params
 from pingpath.operators import cluster, live
-from pingpath.operators.corridor import distance_to_trace
-from pingpath.operators.ingest import anonymise, payload_reason
-from pingpath.functions import geo
-from pingpath.session import checked_broadcast
-from pingpath.sources.tables import RAW_PINGS, write_pings
+from pingpath.operators.ingest import accepted_rows, attempts_of, check, rejected_rows, with_reason
+from pingpath.operators.ratelimit import decide, epoch_micros
+from pingpath.session import materialise
+from pingpath.sources.tables import RAW_PINGS, read_pings, write_pings
 
-OUT_SCHEMA = ("ping_id long, session_hash string, route_id int, code string, lon double, lat double, "
-              "ts timestamp_ntz, reject_reason string")
-STATE_SCHEMA = "last_us long"
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_ROW = {"ping_id": T.LongType(), "session_hash": T.StringType(), "code": T.StringType(), "route_id": T.IntegerType(),
+        "lon": T.DoubleType(), "lat": T.DoubleType(), "x": T.DoubleType(), "y": T.DoubleType(),
+        "ts": T.TimestampNTZType(), "trace_distance_m": T.DoubleType()}
+CHECKED = _struct(**_ROW, payload_reason=T.StringType(), stateless_reason=T.StringType())
+CLASSIFIED = _struct(**_ROW, reject_reason=T.StringType())
+COUNTS = _struct(window_start=T.TimestampType(), window_end=T.TimestampType(), route_id=T.IntegerType(), pings=T.LongType())
 
 
 def read_raw_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -42,79 +55,72 @@ def read_raw_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
     return r.parquet(path)
 
 
-def _stateless(raw: DataFrame, routes: DataFrame, stops: DataFrame, params: Params) -> DataFrame:
-    df = raw.withColumn("_payload", payload_reason())
-    df = anonymise(df, params.salt)
-    active = checked_broadcast(routes.where(F.col("active")).select("code", "route_id"),
-                               params.broadcast_max_rows)
-    df = df.join(active, "code", "left")
-    df = distance_to_trace(df, stops, params.corridor_m, max_dim_rows=params.broadcast_max_rows)
-    stateless = (F.when(F.col("route_id").isNull(), "route")
-                 .when(F.col("beyond_corridor"), "corridor")
-                 .when(~geo.in_envelope(F.col("lon"), F.col("lat")), "envelope"))
-    return df.select("ping_id", "session_hash", "route_id", "code", "lon", "lat", "ts",
-                     F.col("_payload").alias("payload_reason"), stateless.alias("stateless_reason"))
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _rate_fold(window_s: float):
-    window_us = int(round(window_s * 1_000_000))
+def _versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows under ``path`` with the batch that wrote them; none if nothing was written yet."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    if not _exists(spark, path):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)
+
+
+def _put(rows: DataFrame, path: str, batch_id: int, schema: T.StructType) -> None:
+    """Write the rows of one batch in the place of an earlier try."""
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def _newest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), "batch").alias("_v"))
+    return latest.select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in columns])
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """Every attempt stored so far with its newest decision (reject_reason NULL = accepted)."""
+    return _newest(_versions(spark, f"{root}/classified", CLASSIFIED), ["ping_id"], CLASSIFIED.fieldNames())
+
+
+def stored_pings(spark: SparkSession, root: str) -> DataFrame:
+    return accepted_rows(current(spark, root))
+
+
+def quarantine(spark: SparkSession, root: str) -> DataFrame:
+    return rejected_rows(current(spark, root))
 
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        rows["_us"] = rows["ts"].astype("datetime64[us]").astype("int64")
-        rows = rows.sort_values(["_us", "ping_id"], kind="mergesort")
-        reasons = []
-        for us, payload, stateless in zip(rows["_us"], rows["payload_reason"], rows["stateless_reason"]):
-            if isinstance(payload, str):
-                reasons.append(payload)
-            elif last is not None and last > us - window_us:
-                reasons.append("rate")
-            elif isinstance(stateless, str):
-                reasons.append(stateless)
-            else:
-                reasons.append(None)
-                last = int(us)
-        rows["reject_reason"] = reasons
-        if last is not None:
-            state.update((last,))
-            # evict once event time passes the end of the session's current slot
-            state.setTimeoutTimestamp(last // 1000 + window_us // 1000 + 1)
-        yield rows.drop(columns=["_us", "payload_reason", "stateless_reason", "event_time"])
-
-    return fold
-
-
-def ingest_stream(raw: DataFrame, routes: DataFrame, stops: DataFrame, params: Params = Params(),
-                  lateness_s: int = 600) -> DataFrame:
-    """Streaming classification: every attempt with reject_reason (NULL = accepted).
-
-    Session state (last accepted ts) expires by event time; attempts older than
-    the watermark (``lateness_s`` behind the newest) are dropped by the
-    stateful operator, so ``lateness_s`` must cover the sources' delay.
-    """
-    checked = _stateless(raw, routes, stops, params)
-    checked = checked.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark(
-        "event_time", f"{int(max(lateness_s, params.rate_limit_s))} seconds")
-    return checked.groupBy("session_hash").applyInPandasWithState(
-        _rate_fold(params.rate_limit_s), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
-def write_both(pings_path: str, quarantine_path: str):
-    """foreachBatch body: accepted rows to the ping store, the rest to quarantine."""
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.persist()
-        write_pings(batch.where(F.col("reject_reason").isNull())
-                    .select("ping_id", "session_hash", "route_id", "lon", "lat", "ts"), pings_path)
-        (batch.where(F.col("reject_reason").isNotNull())
-         .select("ping_id", "session_hash", "code", "lon", "lat", "ts", "reject_reason")
-         .write.mode("append").parquet(quarantine_path))
-        batch.unpersist()
-    return sink
+
+def publish(spark: SparkSession, root: str, path: str) -> None:
+    """Write the accepted pings as a month-partitioned store for the batch jobs."""
+    write_pings(stored_pings(spark, root), path, mode="overwrite")
+
+
+def ingest_body(spark: SparkSession, root: str, routes: DataFrame, stops: DataFrame, params: Params,
+                salts: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: store the attempts of a batch and every decision it changes."""
+    wait = int(round(params.rate_limit_s * 1_000_000))
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        _put(check(batch, routes, stops, params, salts), f"{root}/checked", batch_id, CHECKED)
+        stored = _versions(spark, f"{root}/checked", CHECKED).where(F.col("batch") <= batch_id)
+        us = epoch_micros(stored, "ts")
+        new = stored.where(F.col("batch") == batch_id)
+        since = (new.where(F.col("ts").isNotNull() & F.col("session_hash").isNotNull())
+                 .groupBy(F.col("session_hash").alias("_s")).agg(F.min(us).alias("_from")))
+        before = stored.where(F.col("batch") < batch_id)
+        again = before.join(since, (before["session_hash"] == F.col("_s")) & (us >= F.col("_from"))).drop("_s", "_from")
+        rows = materialise(new.unionByName(again).drop("batch"), "stream-rows")
+        decided = _newest(_versions(spark, f"{root}/classified", CLASSIFIED).where(F.col("batch") < batch_id),
+                          ["ping_id"], CLASSIFIED.fieldNames()).where(F.col("reject_reason").isNull())
+        at = epoch_micros(decided, "ts")
+        seeds = (decided.join(since, (decided["session_hash"] == F.col("_s")) & (at < F.col("_from")) & (at > F.col("_from") - wait))
+                 .select(F.col("session_hash").alias("sid"), F.col("ping_id").alias("id"), at.alias("us"),
+                         F.lit(True).alias("payload_ok"), F.lit(True).alias("valid")))
+        decisions = materialise(decide(attempts_of(rows).unionByName(seeds), params.rate_limit_s), "stream-decisions")
+        _put(with_reason(rows, decisions), f"{root}/classified", batch_id, CLASSIFIED)
+
+    return body
 
 
 def live_counts(pings: DataFrame, window: str = "2 minutes", slide: str = "30 seconds",
@@ -128,16 +134,39 @@ def live_counts(pings: DataFrame, window: str = "2 minutes", slide: str = "30 se
                     "route_id", "pings"))
 
 
+def counts_body(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body for ``live_counts`` in update mode."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        _put(batch, f"{root}/counts", batch_id, COUNTS)
+    return body
+
+
+def current_counts(spark: SparkSession, root: str) -> DataFrame:
+    return _newest(_versions(spark, f"{root}/counts", COUNTS), ["window_start", "window_end", "route_id"], COUNTS.fieldNames())
+
+
 def refresh_units(spark: SparkSession, pings_path: str, routes: DataFrame, units_path: str,
-                  params: Params = Params()):
-    """foreachBatch body: recluster the live window of the store, overwrite the snapshot."""
-    def body(batch: DataFrame, epoch_id: int) -> None:
-        stored = spark.read.parquet(pings_path)
-        as_of = batch.agg(F.max("ts")).first()[0]
+                  params: Params) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: cluster the live window of the store into a snapshot per batch."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        seen = [batch.agg(F.max("ts")).first()[0]]
+        if _exists(spark, units_path):
+            older = spark.read.parquet(units_path)
+            seen.append(older.where(F.col("batch") < batch_id).agg(F.max("as_of")).first()[0])
+        as_of = max((t for t in seen if t is not None), default=None)
         if as_of is None:
             return
-        lp = live.live_pings(stored, as_of, params.live_window_s)
-        lp = lp.join(F.broadcast(routes.where("active").select("route_id")), "route_id", "left_semi")
+        lp = live.live_pings(read_pings(spark, pings_path), as_of, params.live_window_s)
+        lp = lp.join(routes.where("active").select("route_id"), "route_id", "left_semi")
         units, _ = cluster.detect_units(lp.drop("month"), params.eps_m, params.min_points, ["route_id"])
-        units.withColumn("as_of", F.lit(as_of)).write.mode("overwrite").parquet(units_path)
+        clock = spark.createDataFrame([(as_of,)], "as_of timestamp_ntz")  # stays when there are no units
+        out = units.withColumn("as_of", F.lit(as_of)).unionByName(clock, allowMissingColumns=True)
+        out.write.mode("overwrite").parquet(f"{units_path}/batch={batch_id}")
     return body
+
+
+def current_units(spark: SparkSession, units_path: str) -> DataFrame:
+    """The newest snapshot of the units."""
+    rows = spark.read.parquet(units_path)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where((F.col("batch") == last) & F.col("cluster_id").isNotNull()).drop("batch")

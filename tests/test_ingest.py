@@ -2,6 +2,7 @@
 import datetime as dt
 
 import fixtures as fx
+import pytest
 from pyspark.sql import functions as F
 
 from pingpath.config import Params
@@ -17,9 +18,12 @@ def _routes(spark):
     return fx.routes_df(spark).unionByName(spark.createDataFrame(extra, ROUTES))
 
 
-def _reasons(spark, rows, params=Params()):
+SALTED = Params(salt="s")
+
+
+def _reasons(spark, rows, params=SALTED):
     raw = spark.createDataFrame(
-        [(i, u, c, lon, lat, T0 + dt.timedelta(seconds=s)) for i, (u, c, lon, lat, s) in enumerate(rows)], RAW_PINGS)
+        [(i, u, c, lon, lat, None if s is None else T0 + dt.timedelta(seconds=s)) for i, (u, c, lon, lat, s) in enumerate(rows)], RAW_PINGS)
     out = classify(raw, _routes(spark), fx.stops_df(spark), params)
     return [r.reject_reason for r in out.orderBy("ping_id").collect()]
 
@@ -54,6 +58,23 @@ def test_rate_limit_order(spark):
     assert _reasons(spark, rows) == [None, "rate"]
 
 
+def test_a_row_without_an_instant_changes_nothing(spark):
+    p = (-103.3547, 20.6747)
+    rows = [(OK, "L1", *p, None), (OK, "L1", *p, 0), (OK, "L1", *p, 3), (OK, "L1", *p, 6), (OK, "L1", *p, None), (OK, "L1", *p, 11)]
+    assert _reasons(spark, rows) == ["payload_ts", None, "rate", "rate", "payload_ts", None]
+
+
+def test_salt_is_required_and_a_day_without_one_is_refused(spark):
+    raw = spark.createDataFrame([(1, OK, "L1", -103.3547, 20.6747, T0), (2, OK, "L1", -103.3547, 20.6747, T0 + dt.timedelta(days=1))], RAW_PINGS)
+    with pytest.raises(ValueError):
+        classify(raw, _routes(spark), fx.stops_df(spark), Params())
+    salts = spark.createDataFrame([(T0.date(), "monday")], "day date, salt string")
+    got = {r.ping_id: r for r in classify(raw, _routes(spark), fx.stops_df(spark), Params(), salts).collect()}
+    import hashlib
+    assert got[1].session_hash == hashlib.sha256(f"{OK}:monday".encode()).hexdigest() and got[1].reject_reason is None
+    assert got[2].session_hash is None and got[2].reject_reason == "payload_salt"
+
+
 def test_hash_and_outputs(spark):
     raw = spark.createDataFrame([(1, OK, "L1", -103.3547, 20.6747, T0), (2, "other-device", "ZZ", -103.3547, 20.6747, T0)], RAW_PINGS)
     acc, rej = ingest(raw, _routes(spark), fx.stops_df(spark), Params(salt="s"))

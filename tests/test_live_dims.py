@@ -73,7 +73,9 @@ def test_traces_and_reload(spark):
     assert upd.where("route_id = 4").first().trace is None
     new = spark.createDataFrame([("A04", "a", -103.40, 20.60, 1), ("A04", "b", -103.41, 20.59, 2)],
                                 "code string, name string, lon double, lat double, seq int").withColumn("stop_id", F.lit(99).cast("long"))
-    _, new_stops, report = dims.reload_stops(routes, stops, new)
+    lost = spark.createDataFrame([("NO", "c", -103.40, 20.60, 1)], "code string, name string, lon double, lat double, seq int").withColumn("stop_id", F.lit(100).cast("long"))
+    _, new_stops, report, unresolved = dims.reload_stops(routes, stops, new.unionByName(lost))
+    assert [(r.stop_id, r.code) for r in unresolved.collect()] == [(100, "NO")]
     rep = {r.code: r.n_stops for r in report.collect()}
     assert rep == {"L1": 20, "L3": 5, "C-09": 6, "A04": 2}
 

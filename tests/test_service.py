@@ -99,6 +99,7 @@ def test_labels_and_search(spark):
     assert got[(1, 2)] == ("medium", "hace 40s", 0.4)
     assert [r.code for r in stats.search_routes(routes, "tren").collect()] == ["L1", "L3"]
     kinds = [(r.kind, r.n_routes) for r in stats.routes_by_kind(routes).collect()]
+    assert [r.position for r in stats.routes_by_kind(routes).collect()] == [1, 2, 3]
     assert kinds == [("alimentador", 1), ("autobus", 1), ("tren_ligero", 2)]
 
 
@@ -106,3 +107,54 @@ def test_radius(spark):
     pings = fx.demo_pings_df(spark)
     got = live.within_radius(pings, -103.3547, 20.6747, 500.0).select("session_hash").collect()
     assert sorted(r.session_hash for r in got) == ["demo_a1", "demo_a2", "demo_a3", "demo_a4"]
+
+
+def test_nested_answers(spark):
+    """Golden nested answer: units newest first, stops by distance, empty and unknown routes."""
+    import json
+
+    import pytest
+    pings, routes, stops = _demo(spark)
+    status = service.route_status(pings, routes, stops, fx.AS_OF)
+    answers = service.route_answers(status, routes)
+    l1 = json.loads(service.answer_for(answers, "L1"))
+    assert l1["ruta"] == "L1" and l1["total"] == 3
+    assert [(u["unidad_id"], u["confianza"]) for u in l1["unidades"]] == [(0, 4), (1, 3), (2, 2)]
+    assert [s["nombre"] for s in l1["unidades"][0]["proximas_paradas"]] == ["Juárez", "Refugio", "Mexicaltzingo"]
+    assert l1["unidades"][0]["proximas_paradas"][0] == {"nombre": "Juárez", "distancia_m": 5.5, "eta_minutos": 0.0}
+    assert json.loads(service.answer_for(answers, "A04")) == {"ruta": "A04", "unidades": [], "total": 0}
+    with pytest.raises(LookupError):
+        service.answer_for(answers, "ZZ")
+    first = json.loads(service.answer_for(service.route_answers(status, routes, max_stops=1), "L1"))
+    assert [len(u["proximas_paradas"]) for u in first["unidades"]] == [1, 1, 1]
+
+
+def test_route_payload(spark):
+    import json
+    _, routes, stops = _demo(spark)
+    got = {r.code: json.loads(r.payload) for r in service.route_payloads(routes, stops.where("route_id <> 4")).collect()}
+    assert got["L3"]["trazado"]["coordinates"][0] == [-103.3175, 20.655] and len(got["L3"]["paradas"]) == 5
+    assert got["A04"]["trazado"] is None and got["A04"]["paradas"] == []
+
+
+def test_nearest_stops_match_a_full_ranking(spark):
+    """The grid gives what ranking every stop of the route gives, for near, far and lone points."""
+    import random
+
+    from pingpath.operators import nearest
+    rnd = random.Random(4)
+    stops = [(i, i % 3 + 1, f"p{i}", -103.4 + rnd.random() * 0.1, 20.5 + rnd.random() * 0.1, i) for i in range(300)]
+    stops += [(900, 4, "lone", -103.2, 20.8, 1)]
+    points = [(i, i % 5 + 1, -103.5 + rnd.random() * 0.3, 20.4 + rnd.random() * 0.4) for i in range(60)]
+    st = spark.createDataFrame(stops, "stop_id long, route_id int, name string, lon double, lat double, seq int")
+    pt = spark.createDataFrame(points, "point long, route_id int, lon double, lat double")
+    got = {}
+    for r in nearest.nearest_stops(pt, st, 3).collect():
+        got.setdefault(r.point, {})[r.stop_rank] = r.stop_id
+    want = {}
+    for i, route, lon, lat in points:
+        ranked = sorted((((s[3] - lon) ** 2 + (s[4] - lat) ** 2) ** 0.5, s[5], s[0]) for s in stops if s[1] == route)
+        if ranked:
+            want[i] = {k + 1: r[2] for k, r in enumerate(ranked[:3])}
+    assert got == want
+    assert [r.stop_id for r in nearest.nearest_of_point(st, -103.2, 20.8, 1).collect()] == [900]

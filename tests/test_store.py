@@ -19,3 +19,29 @@ def test_live_window_prunes_and_pushes_down(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(month" in plan and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
     assert "ReadSchema: struct<ts:timestamp_ntz,ping_id:bigint>" in plan or "ReadSchema: struct<ping_id:bigint,ts:timestamp_ntz>" in plan
     assert lp.count() == 10
+
+
+def test_purge_deletes_expired_months_and_keeps_the_rest(spark, tmp_path):
+    rows = [(i, f"s{i}", 1, -103.35, 20.65, fx.AS_OF - dt.timedelta(days=d, seconds=i))
+            for i, d in enumerate([0, 0, 0.5, 0.9, 1, 1.0, 2, 30, 70, 100, 400])]
+    path = str(tmp_path / "pings")
+    write_pings(spark.createDataFrame(rows, PINGS), path)
+    cut = fx.AS_OF - dt.timedelta(hours=24)
+    report = live.purge_store(spark, path, fx.AS_OF, 24).first()
+    want = sorted(r[0] for r in rows if r[5] >= cut)
+    assert sorted(r.ping_id for r in read_pings(spark, path).collect()) == want
+    assert report.purged == len(rows) - len(want)
+    assert live.purge_store(spark, path, fx.AS_OF, 24).first().purged == 0
+    assert sorted(r.ping_id for r in read_pings(spark, path).collect()) == want
+
+
+def test_a_busy_route_month_has_several_files(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id AS ping_id", "'s' AS session_hash", "1 AS route_id", "-103.35D AS lon", "20.65D AS lat",
+                                          "TIMESTAMP_NTZ'2026-05-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts")
+    path = str(tmp_path / "busy")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_pings(rows, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "busy" / "month=2026-05").glob("*.parquet"))) > 1

@@ -1,62 +1,123 @@
-"""Streaming ingest equals the batch ingest on the same attempts; windowed counts run."""
+"""Streaming ingest gives the batch answer whatever the order of arrival; counts and units by value."""
 import datetime as dt
-import tempfile
+import random
 
 import fixtures as fx
+import pytest
 from pyspark.sql import functions as F
 
 from pingpath.config import Params
+from pingpath.operators import cluster, live
 from pingpath.operators.ingest import classify
-from pingpath.sources.tables import RAW_PINGS
+from pingpath.sources.tables import PINGS, RAW_PINGS, read_pings, write_pings
 from pingpath.streaming import live_stream as ls
 
 T0 = dt.datetime(2026, 5, 1, 12, 0, 0)
+P = Params(salt="s")
+JUAREZ = (-103.3547, 20.6747)
 
 
-def _attempts(spark):
+def _raw(spark, rows):
+    return spark.createDataFrame([(i, dev, code, lon, lat, None if s is None else T0 + dt.timedelta(seconds=s))
+                                  for i, dev, code, lon, lat, s in rows], RAW_PINGS)
+
+
+def _attempts():
     rows, i = [], 0
     for dev, code, lon, lat, secs in [
-        ("device-a", "L1", -103.3547, 20.6747, [0, 6, 12, 15, 22]),
-        ("device-b", "L1", -103.32, 20.67, [0]), ("device-b", "L1", -103.3550, 20.6667, [3, 14]),
+        ("device-a", "L1", *JUAREZ, [0, 6, 12, 15, 22, 5_000, 5_001]),
+        ("device-b", "L1", -103.32, 20.67, [0, 5_001]), ("device-b", "L1", -103.3550, 20.6667, [3, 14]),
         ("device-c", "C-09", -103.3997, 20.5747, [1, 2, 30]), ("dev", "L3", -103.3275, 20.66, [4]),
-        ("device-d", "ZZ", -103.3275, 20.66, [5]), ("device-e", "L3", -103.3275, 20.66, [5, 16]),
+        ("device-d", "ZZ", -103.3275, 20.66, [5]), ("device-e", "L3", -103.3275, 20.66, [5, 16, None]),
+        ("device-f", "L1", *JUAREZ, [300, 100, 303, 309, 311, 95]),
     ]:
         for s in secs:
-            rows.append((i, dev, code, lon, lat, T0 + dt.timedelta(seconds=s)))
+            rows.append((i, dev, code, lon, lat, s))
             i += 1
-    return spark.createDataFrame(rows, RAW_PINGS)
+    return rows
+
+
+def _stream(spark, tmp_path, files, name="run"):
+    """Write each list of rows as one file, in order, and run the stream one file at a time."""
+    src, root = str(tmp_path / f"{name}-raw"), str(tmp_path / f"{name}-store")
+    body = ls.ingest_body(spark, root, fx.routes_df(spark), fx.stops_df(spark), P)
+    for k, rows in enumerate(files):
+        _raw(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        q = (ls.read_raw_stream(spark, src, 1).writeStream.foreachBatch(body)
+             .option("checkpointLocation", str(tmp_path / f"{name}-progress")).trigger(availableNow=True).start())
+        q.awaitTermination(300)
+        assert q.lastProgress is None or q.lastProgress["batchId"] >= k
+    return root, body
+
+
+def _batch(spark, rows):
+    got = classify(_raw(spark, rows), fx.routes_df(spark), fx.stops_df(spark), P)
+    return {r.ping_id: r.reject_reason for r in got.collect()}
+
+
+def _now(spark, root):
+    rows = ls.current(spark, root).collect()
+    assert len(rows) == len({r.ping_id for r in rows})
+    return {r.ping_id: r.reject_reason for r in rows}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    raw = _attempts(spark)
-    src = str(tmp_path / "raw")
-    raw.coalesce(1).write.parquet(src)
-    routes, stops = fx.routes_df(spark), fx.stops_df(spark)
-    stream = ls.ingest_stream(ls.read_raw_stream(spark, src), routes, stops, Params())
-    q = (stream.writeStream.format("memory").queryName("ingest_out").outputMode("append")
-         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_any_order_of_arrival_equals_the_batch(spark, tmp_path, seed):
+    """Late rows (5,000 s behind), out-of-order rows, idle sessions that return, in several files."""
+    rows = _attempts()
+    want = _batch(spark, rows)
+    shuffled = list(rows)
+    if seed is None:
+        shuffled.sort(key=lambda r: (r[5] is None, -(r[5] or 0)))  # newest first: every file is late
+    else:
+        random.Random(seed).shuffle(shuffled)
+    root, _ = _stream(spark, tmp_path, [shuffled[i::3] for i in range(3)])
+    assert _now(spark, root) == want
+    stored = {i for i, reason in want.items() if reason is None}
+    assert {r.ping_id for r in ls.stored_pings(spark, root).collect()} == stored
+    assert {r.ping_id for r in ls.quarantine(spark, root).collect()} == set(want) - stored
+
+
+def test_a_retried_batch_stores_nothing_twice(spark, tmp_path):
+    rows = _attempts()
+    root, body = _stream(spark, tmp_path, [rows[:12], rows[12:]])
+    before = _now(spark, root)
+    body(_raw(spark, rows[12:]), 1)  # the engine hands the last batch over again
+    assert _now(spark, root) == before == _batch(spark, rows)
+    ls.publish(spark, root, str(tmp_path / "store"))
+    assert read_pings(spark, str(tmp_path / "store")).count() == sum(r is None for r in before.values())
+
+
+def test_live_counts_by_value(spark, tmp_path):
+    secs = [0, 10, 29, 30, 31, 119, 120, 500]
+    rows = [(i, "s", 1 + i % 2, -103.35, 20.65, T0 + dt.timedelta(seconds=s)) for i, s in enumerate(secs)]
+    store, root = str(tmp_path / "pings"), str(tmp_path / "counts")
+    write_pings(spark.createDataFrame(rows, PINGS), store)
+    counts = ls.live_counts(spark.readStream.schema(read_pings(spark, store).schema).parquet(store))
+    q = (counts.writeStream.outputMode("update").foreachBatch(ls.counts_body(spark, root))
+         .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start())
     q.awaitTermination(300)
-    got = {r.ping_id: r.reject_reason for r in spark.table("ingest_out").collect()}
-    want = {r.ping_id: r.reject_reason for r in classify(raw, routes, stops, Params()).collect()}
+    got = {(r.s, r.route_id): r.pings for r in ls.current_counts(spark, root).select(
+        F.unix_seconds("window_start").alias("s"), "route_id", "pings").collect()}
+    base = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
+    want = {}
+    for i, s in enumerate(secs):
+        for k in range(4):
+            key = (base + s - s % 30 - 30 * k, 1 + i % 2)
+            want[key] = want.get(key, 0) + 1
     assert got == want
-    assert list(got.values()).count(None) == 9
-
-
-def test_foreach_batch_sinks_and_live_counts(spark, tmp_path):
-    raw = _attempts(spark)
-    src = str(tmp_path / "raw")
-    raw.coalesce(1).write.parquet(src)
-    routes, stops = fx.routes_df(spark), fx.stops_df(spark)
-    stream = ls.ingest_stream(ls.read_raw_stream(spark, src), routes, stops, Params())
-    pings_path, quarantine = str(tmp_path / "pings"), str(tmp_path / "quarantine")
-    q = (stream.writeStream.foreachBatch(ls.write_both(pings_path, quarantine))
-         .option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    stored = spark.read.parquet(pings_path)
-    assert stored.count() == 9 and "month" in stored.columns
-    assert spark.read.parquet(quarantine).count() == raw.count() - 9
-    counts = ls.live_counts(spark.readStream.schema(stored.schema).parquet(pings_path))
-    q2 = (counts.writeStream.format("memory").queryName("live_counts").outputMode("append")
-          .option("checkpointLocation", str(tmp_path / "ck3")).trigger(availableNow=True).start())
-    q2.awaitTermination(300)
-    assert spark.table("live_counts").columns == ["window_start", "window_end", "route_id", "pings"]
+
+
+def test_refreshed_units_equal_the_batch_and_the_clock_never_goes_back(spark, tmp_path):
+    store, units = str(tmp_path / "pings"), str(tmp_path / "units")
+    pings, routes = fx.demo_pings_df(spark), fx.routes_df(spark)
+    write_pings(pings, store)
+    body = ls.refresh_units(spark, store, routes, units, P)
+    body(pings, 0)
+    as_of = pings.agg(F.max("ts")).first()[0]
+    want, _ = cluster.detect_units(live.live_pings(pings, as_of, P.live_window_s), P.eps_m, P.min_points, ["route_id"])
+    key = lambda df: sorted((r.route_id, r.cluster_id, r.report_count, r.last_ts) for r in df.collect())
+    assert key(ls.current_units(spark, units)) == key(want) and len(key(want)) >= 5
+    body(pings.where("session_hash = 'demo_noise'"), 1)  # a late batch
+    again = ls.current_units(spark, units)
+    assert key(again) == key(want) and {r.as_of for r in again.collect()} == {as_of}
