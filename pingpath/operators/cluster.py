@@ -106,7 +106,8 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
             .where(F.col("la") != F.col("lb")).drop("_la", "_lb"))
 
 
-def cell_components(core: DataFrame, keys: list[str], side: float, eps: float) -> DataFrame:
+def cell_components(core: DataFrame, keys: list[str], side: float, eps: float,
+                    compared: list[int] | None = None) -> DataFrame:
     """(node, label): cells with core positions (by their least ping id) and their component.
 
     Cells split into boxes; two boxes entirely within eps of each other prove an edge
@@ -114,7 +115,8 @@ def cell_components(core: DataFrame, keys: list[str], side: float, eps: float) -
     formed from the sure edges first, and box pairs between cells of one component
     need no work: in a dense strip that is nearly all of them.  What is left is split
     into finer boxes while its pairs of positions outnumber the positions by far,
-    connecting after each step, and only then compared.
+    connecting after each step, and only then compared.  ``compared`` gets the number
+    of position pairs compared.
     """
     parts = SUB
     pts = core.select(*keys, "cx", "cy", "x", "y", F.col("cell_rep").alias("rep"))
@@ -139,6 +141,8 @@ def cell_components(core: DataFrame, keys: list[str], side: float, eps: float) -
                 .join(count.toDF("b", "b_ix", "b_iy", "nb"), ["b", "b_ix", "b_iy"])
                 .agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"), F.sum(F.col("na") + F.col("nb")).alias("rows")).first())
         if work["pairs"] <= PAIRS_PER_ROW * work["rows"] or parts >= FINEST:
+            if compared is not None:
+                compared.append(work["pairs"])
             break
         fine = _boxes(here.withColumnRenamed("ix", "px").withColumnRenamed("iy", "py"), side, parts * 4).select(
             "rep", "px", "py", "ix", "iy").distinct()

@@ -3,8 +3,10 @@ import datetime as dt
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from pingpath.functions import geo
-from pingpath.operators.cluster import detect_units
+from pingpath.operators.cluster import cell_components, detect_units
 from pingpath.operators.components import connected_components
 
 T0 = dt.datetime(2026, 5, 1, 12, 0, 0)
@@ -150,3 +152,41 @@ def test_dense_neighbour_cells_and_far_corners(spark):
              for i in range(150)]
     got, expect, _ = _run(spark, rows)
     assert got == expect
+
+
+def _core(spark, rows, eps):
+    """Core positions (id, x, y) with their cells, as the clustering hands them over."""
+    side = eps / math.sqrt(2)
+    df = spark.createDataFrame(rows, "rep long, x double, y double").withColumn("route_id", F.lit(1))
+    df = df.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    reps = df.groupBy("cx", "cy").agg(F.min("rep").alias("cell_rep"))
+    return df.join(reps, ["cx", "cy"]), side
+
+
+def test_compared_pairs_do_not_grow_with_the_square(spark):
+    """A dense 40 x 10 m strip: ten times the positions, not a hundred times the pairs."""
+    work = {}
+    for n in (10_000, 100_000):
+        rnd = random.Random(n)
+        core, side = _core(spark, [(i, 1000 + rnd.random() * 40, 2000 + rnd.random() * 10) for i in range(n)], 20.0)
+        compared = []
+        comp = cell_components(core, ["route_id"], side, 20.0, compared)
+        assert {r.label for r in comp.collect()} == {0}
+        work[n] = sum(compared)
+    assert work[100_000] <= 12 * max(work[10_000], 10_000)
+
+
+def test_two_dense_blobs_about_eps_apart(spark):
+    """Finer boxes settle nearly all pairs; the answer is that of comparing all."""
+    for gap in (19.95, 20.05):
+        rnd = random.Random(5)
+        a = [(1000 + rnd.random() * 3, 2000 + rnd.random() * 3) for _ in range(1500)]
+        far = max(x for x, _ in a)
+        b = [(far + gap + rnd.random() * 3, 2000 + rnd.random() * 3) for _ in range(1500)]
+        core, side = _core(spark, [(i, x, y) for i, (x, y) in enumerate(a + b)], 20.0)
+        compared = []
+        labels = {r.node: r.label for r in cell_components(core, ["route_id"], side, 20.0, compared).collect()}
+        nearest = min(math.dist(p, q) for p in a for q in b)
+        groups = {labels.get(r.cell_rep, r.cell_rep) for r in core.select("cell_rep").distinct().collect()}
+        assert len(groups) == (1 if nearest <= 20.0 else 2)
+        assert sum(compared) < 0.1 * len(a) * len(b)
