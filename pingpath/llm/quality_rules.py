@@ -43,7 +43,7 @@ RATES = {
     "marks": ("n_marks", "word_chars", 10_000, 200, False),
     "word_length": ("word_chars", "n_words", 100, 100, True),
     "dup_lines": ("n_dup_lines", "n_lines", 10_000, 4_000, False),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 4_000, False),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 4_800, False),
 }
 
 
