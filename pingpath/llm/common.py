@@ -31,6 +31,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast (about 120 bytes each once hashed, 30 MB); more are joined by shuffling both sides.
+MAX_BROADCAST_IDS = 250_000
+
+
+def by_id(ids: DataFrame, name: str) -> DataFrame:
+    """A one-column table of ids, staged, marked for broadcast if its counted size allows.
+
+    Picking documents by few ids then moves no text.
+    """
+    kept = staged(ids, name)
+    return F.broadcast(kept) if kept.count() <= MAX_BROADCAST_IDS else kept
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lowered, everything else as it is; all-ASCII strings take the fast built-in."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingpath.llm.common import SLICE_BYTES, staged
+from pingpath.llm.common import SLICE_BYTES, by_id, staged
 from pingpath.llm.jaccard_regions import Members, cells, components, linked_pairs
 from pingpath.llm.wordtable import NOT_SPACE, U64, mix, slices, words
 from pingpath.operators.components import connected_components
@@ -54,8 +54,6 @@ _ROW_BITS = 10
 #: Classes beyond the allowed difference; texts with that many empty classes skip those.
 _SPARE = 2
 _INTERVAL = 1.5
-#: Document ids of 8 bytes that may be broadcast to pick texts; beyond, texts are shuffled to the ids.
-MAX_BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,9 +307,8 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, region_item
     members = near.join(leaders, "id").select(
         F.col("leader").cast("string").alias("region"), "id", "leaders", F.lit(True).alias("own"),
         F.lit(None).cast("int").alias("side"))
-    wanted = staged(near.select("id").distinct(), "join-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
-    sets = _sets(docs.join(few, docs["doc_id"] == few["id"], "left_semi"), n)
+    wanted = by_id(near.select("id").distinct(), "join-wanted")
+    sets = _sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi"), n)
     sets = staged(sets.join(classes.select("id", "f2"), ["id", "f2"], "left_semi").dropDuplicates(["id", "f2"]), "join-sets")
     found = staged(_join_regions(_bounded(members, sets, 1 - num / den, region_items), sets, num, den), "join-found")
 
@@ -333,7 +330,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, region_item
 def keep_one(docs: DataFrame, **limits) -> DataFrame:
     """One document of each component, the one of the smallest id; all columns kept."""
     joined = staged(join(docs, **limits).select("doc_id", "component_id"), "join-result")
-    lose = joined.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost")).distinct()
+    lose = by_id(joined.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost")).distinct(), "join-lost")
     left = docs.join(lose, docs["doc_id"] == lose["_lost"], "left_anti")
     again = joined.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
