@@ -319,12 +319,15 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, region_item
              .unionByName(rows.join(twins, "doc_id").where(F.col("id") != F.col("low"))
                           .select(F.col("id").alias("src"), F.col("low").alias("dst"))))
     label = connected_components(edges)
-    links = found.groupBy("id").agg(F.sum("links").alias("links")).where(F.col("links") > 0)
-    return (rows.join(label, rows["id"] == label["node"], "left").join(links, "id", "left")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    # One row a class, so that copies meet it in a plain join whose large keys can be split.
+    known = staged(classes.join(label, classes["id"] == label["node"], "left").join(links, "id", "left")
+                   .select("size", "f1", "f2", "id", "label", "links"), "join-known")
+    own = F.col("doc_id").isNotNull()
+    return (signed.select("doc_id", "size", "f1", "f2").join(known, ["size", "f1", "f2"], "left")
             .select("doc_id", F.col("size").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "id", "doc_id")).alias("component_id"),
-                    F.when(F.col("doc_id").isNotNull() & F.col("links").isNotNull(), F.col("links"))
-                    .otherwise(0).cast("long").alias("n_links")))
+                    F.when(own, F.coalesce("label", "id", "doc_id")).alias("component_id"),
+                    F.when(own & F.col("links").isNotNull(), F.col("links")).otherwise(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, **limits) -> DataFrame:
