@@ -2,7 +2,7 @@
 
 Stops and points meet in the cells of a grid per route: a point looks at the nine
 cells around it and is done when ``k`` stops lie within one cell side, the radius
-those cells cover for certain.  The first side is the median hop between stops; the
+those cells cover for certain.  The first side is ``k`` times the median hop between stops; the
 few points left go on with four times the side, until the grid covers everything.
 Work per point follows the stops near it, not those of its route.  Ranking follows
 the original service: planar distance in degrees (``metric="degrees"``), ties by
@@ -54,17 +54,17 @@ def nearest_stops(points: DataFrame, stops: DataFrame, k: int = 3, metric: str =
     Adds stop_rank (1..k), stop_id, stop_name, stop_seq, stop_lon, stop_lat,
     distance_raw_m.  Points on a route without stops disappear (inner join).
     """
-    side, extent = cell_degrees(stops)
+    hop, extent = cell_degrees(stops)
+    side = k * hop
     st = stops.select("route_id", F.col("seq").alias("stop_seq"), "stop_id", F.col("name").alias("stop_name"),
                       F.col("lon").alias("stop_lon"), F.col("lat").alias("stop_lat"))
     open_ = materialise(points.withColumn("_row", F.monotonically_increasing_id()), "nearest-points")
-    far = open_.agg(F.max(F.abs("lon")), F.max(F.abs("lat"))).first()
     done = None
     while True:
         last = side > 2 * extent
         found = materialise(_within(open_, st, side, k, metric, points.columns, last), "nearest-found")
         done = found if done is None else done.unionByName(found)
-        if last or far[0] is None:
+        if last:
             break
         open_ = materialise(open_.join(found.select("_row").distinct(), "_row", "left_anti"), "nearest-open")
         if open_.isEmpty():

@@ -23,11 +23,19 @@ Exact and distributed instead, in bounded pieces:
   through the tables from the longest jump down.  Pointers lead forward in time,
   so the tables run empty after log2 of the longest burst.
 
+Small inputs take shorter ways to the same result: while no session has more than
+``WINDOW_ROWS`` valid attempts, plain windows by session look up the neighbours, and
+up to ``LOCAL_NODES`` pointers are followed by one task.
+
 Only (session, id, instant, flags) takes part; rows meet the decision once, by id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +44,9 @@ from pingpath.session import materialise
 
 #: Widths of the time tree's levels in microseconds; each holds 1,000 of the one before.
 LEVELS = (10**6, 10**9, 10**12)
+#: Valid attempts of one session that a window may hold, and pointers that a task may follow.
+WINDOW_ROWS = 100_000
+LOCAL_NODES = 500_000
 
 
 def epoch_micros(df: DataFrame, col: str):
@@ -53,7 +64,7 @@ def _around(rows: DataFrame, keys: list[str], order: list[str], first: str, last
     return rows.withColumn("before", F.max(last).over(up)).withColumn("after", F.min(first).over(down))
 
 
-def neighbours(points: DataFrame) -> DataFrame:
+def neighbours(points: DataFrame, tree: bool = True) -> DataFrame:
     """Adds ``before`` and ``after`` (struct us, id): the valid attempts next to each point.
 
     ``points`` has sid, us, kind (0 a query, 1 a valid attempt), id.  A query at an
@@ -61,6 +72,8 @@ def neighbours(points: DataFrame) -> DataFrame:
     """
     found = F.when(F.col("kind") == 1, F.struct("us", "id"))
     rows = points.withColumn("first", found).withColumn("last", found)
+    if not tree:
+        return _around(rows, ["sid"], ["us", "kind", "id"], "first", "last").drop("first", "last")
     bucket = [F.floor(F.col("us") / w).alias(f"b{i}") for i, w in enumerate(LEVELS)]
     rows = rows.select("*", *bucket)
     tables, keys = [], ["sid"] + [f"b{i}" for i in reversed(range(len(LEVELS)))]
@@ -82,7 +95,48 @@ def _inherit(rows: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
             .withColumn("after", F.coalesce("after", "_after")).drop("_before", "_after"))
 
 
-def decide(attempts: DataFrame, window_s: float) -> DataFrame:
+def _follow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ids reached from the starts along the pointers (id, next, start), starts included."""
+    parts = [p for p in parts if len(p)]
+    if not parts:
+        return
+    n = pd.concat(parts).sort_values("id")
+    ids, start = n["id"].to_numpy(), n["start"].to_numpy()
+    to = np.searchsorted(ids, n["next"].fillna(-1).to_numpy().astype(np.int64))
+    to[n["next"].isna()] = -1
+    reached = start.copy()
+    front = np.flatnonzero(start)
+    while len(front):
+        front = to[front]
+        front = front[front >= 0]
+        front = np.unique(front[~reached[front]])
+        reached[front] = True
+    yield pd.DataFrame({"id": ids[reached]})
+
+
+def _expand(nodes: DataFrame) -> DataFrame:
+    """Ids reached from the starts, by pointer doubling."""
+    starts = nodes.where("start").select("id")
+    # next pointers inside a burst (a pointer to a burst start is dropped)
+    jump = (nodes.where(F.col("next").isNotNull()).select("id", F.col("next").alias("to"))
+            .join(starts.withColumnRenamed("id", "to"), "to", "left_anti").select("id", "to"))
+    tables = []
+    while True:
+        jump = materialise(jump, "rate-jump")
+        if jump.isEmpty():
+            break
+        tables.append(jump)
+        jump = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select(
+            "id", F.col("to2").alias("to"))
+    accepted = starts
+    for table in reversed(tables):
+        accepted = materialise(accepted.unionByName(
+            accepted.join(table, "id").select(F.col("to").alias("id"))).distinct(), "rate-accepted")
+    return accepted
+
+
+def decide(attempts: DataFrame, window_s: float, window_rows: int = WINDOW_ROWS,
+           local_nodes: int = LOCAL_NODES) -> DataFrame:
     """(id, accepted, rate_limited) of attempts (sid, id, us, payload_ok, valid).
 
     ``valid``: the attempt passes every check except the rate limit; ``payload_ok``:
@@ -95,30 +149,17 @@ def decide(attempts: DataFrame, window_s: float) -> DataFrame:
     v = materialise(v, "rate-valid")
     points = v.select("sid", "us", F.lit(1).alias("kind"), "id").unionByName(
         v.select("sid", (F.col("us") + wait).alias("us"), F.lit(0).alias("kind"), "id"))
-    near = neighbours(points)
+    size = v.groupBy("sid").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    near = neighbours(points, tree=(size["most"] or 0) > window_rows)
     nodes = near.groupBy("id").agg(
         F.max(F.when(F.col("kind") == 1, F.col("before")["us"])).alias("prev_us"),
         F.max(F.when(F.col("kind") == 1, F.col("us"))).alias("us"),
         F.max(F.when(F.col("kind") == 0, F.col("after")["id"])).alias("next"))
-    nodes = materialise(nodes.select(
-        "id", "next", F.coalesce(F.col("us") - F.col("prev_us") >= wait, F.lit(True)).alias("start")), "rate-nodes")
-
-    # next pointers inside a burst (a pointer to a burst start is dropped)
-    starts = nodes.where("start").select("id")
-    jump = (nodes.where(F.col("next").isNotNull()).select("id", F.col("next").alias("to"))
-            .join(starts.withColumnRenamed("id", "to"), "to", "left_anti").select("id", "to"))
-    tables = []
-    while True:
-        jump = materialise(jump, "rate-jump")
-        if jump.isEmpty():
-            break
-        tables.append(jump)
-        jump = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select(
-            "id", F.col("to2").alias("to"))
-    accepted = starts
-    for table in reversed(tables):
-        accepted = materialise(accepted.unionByName(
-            accepted.join(table, "id").select(F.col("to").alias("id"))).distinct(), "rate-accepted")
+    nodes = nodes.select("id", "next", F.coalesce(F.col("us") - F.col("prev_us") >= wait, F.lit(True)).alias("start"))
+    if (size["all"] or 0) <= local_nodes:
+        accepted = nodes.coalesce(1).mapInPandas(_follow, "id long")
+    else:
+        accepted = _expand(materialise(nodes, "rate-nodes"))
     accepted = materialise(v.join(accepted, "id"), "rate-stored")
 
     # rate limited: an accepted attempt of the session, not after this one, less than W ago;
