@@ -73,8 +73,6 @@ def as_strings(col: pa.Array) -> pa.Array:
         col = col.combine_chunks()
     if pa.types.is_null(col.type):
         return pa.array([""] * len(col), pa.string())
-    if pa.types.is_large_string(col.type):
-        return col.fill_null("")
     return col.fill_null("")
 
 
@@ -151,15 +149,3 @@ def words(col: pa.Array, is_word: np.ndarray) -> Words:
     start = np.flatnonzero(begins)
     doc = np.searchsorted(offsets, start, side="right") - 1
     return Words(buf, offsets, start, np.flatnonzero(finish) + 1, doc)
-
-
-def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, doc) of every run of ``n`` consecutive words of one text, in order."""
-    if len(h) < n:
-        return np.zeros(0, U64), np.zeros(0, doc.dtype)
-    k = len(h) - n + 1
-    out = np.zeros(k, dtype=U64)
-    for i in range(n):
-        out = mix(out + h[i:i + k])
-    whole = doc[:k] == doc[n - 1:]
-    return out[whole], doc[:k][whole]
