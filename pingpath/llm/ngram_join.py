@@ -292,7 +292,7 @@ def _join_regions(regions: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "id long, root long, links long")
 
 
-def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, region_items: int = 2_000_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, region_items: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, one row per document row."""
     signed = _signed(docs, n, num, den)
     classes = staged(signed.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
