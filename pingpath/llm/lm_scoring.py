@@ -1,11 +1,14 @@
 """Language-model scoring: masked pseudo-likelihood of a bidirectional window network.
 
 Every token of a text is predicted from the ``WINDOW`` tokens on either side of it,
-itself left out; the sum of the conditional log-probabilities scores the text.
+itself left out; the sum of the conditional log-probabilities scores the text.  The
+network predicts a token's class, the corpus counts its word within the class:
+log P(token) = log P(class | context) + log P(word | class).
 
 1. **Vocabulary.**  Words (A-Z lowered) of all texts are counted; the most frequent
-   get a class each, all others one of ``N_HASHED`` hash classes, so that every token
-   has a class and a probability.  Counting merges inside the tasks first; the shuffle
+   get a class each, all others one of ``N_HASHED`` hash classes.  With N tokens of V
+   words in a hash class, P(word | class) is (n + 1) / (N + V + 1) for a word counted
+   n times; the words never counted share 1 / (N + V + 1).  Counting merges inside the tasks first; the shuffle
    holds a row for each distinct word of a task.
 2. **Training** in numpy: embeddings of the context are joined, pass a tanh layer and
    a softmax over the classes.  Each round gives every task the current weights; a task
@@ -13,7 +16,10 @@ itself left out; the sum of the conditional log-probabilities scores the text.
    weighted by tokens, starts the next round.  The rounds share out the texts by a hash
    of the id, and together read the whole corpus once.  Weights are averaged by a
    grouped sum per parameter, so the driver sees one number a parameter.
-3. **Scoring** reads every whole text.
+3. **Scoring** reads every whole text.  Tasks hold the counts of the ``N_KNOWN`` most
+   frequent words, so no word of the join is a large share of its rows; the other
+   words of a text, each once with its count there, meet all other counts in a join by
+   word hash.  Its sums are whole numbers (``_UNIT`` a nat), the same in any order.
 
 Defined cases: null and empty texts have no token, a sum of 0 and a null mean;
 repeated rows are trained on and scored each; extra columns are not read; an empty
@@ -30,13 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingpath.llm.common import SLICE_BYTES, staged
-from pingpath.llm.wordtable import NOT_SPACE, U64, slices, words
+from pingpath.llm.wordtable import NOT_SPACE, U64, Words, slices, words
 
 WINDOW = 2
 #: Classes: the mark at a text's ends, frequent words, hash classes.
 N_FREQUENT, N_HASHED = 95, 32
 N_CLASSES = 1 + N_FREQUENT + N_HASHED
 EMBEDDING, HIDDEN = 8, 16
+#: Words whose counts every scoring task holds.
+N_KNOWN = 1 << 16
+_UNIT = 1 << 30
 _CHUNK = 2048
 _SHAPES = [(N_CLASSES, EMBEDDING), (2 * WINDOW * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN, N_CLASSES), (N_CLASSES,)]
 
@@ -88,12 +97,16 @@ class Vocabulary:
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(targets, contexts, text of each token, texts)."""
         w = words(texts, NOT_SPACE)
+        return *self.encode(w, w.hashes(lower=True)), w.doc, w.n_docs
+
+    def encode(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(targets, contexts) of words with hashes ``h``."""
         n, gap = len(w.start), WINDOW
         at = np.arange(n) + gap * (w.doc + 1)  # marks between texts
         line = np.zeros(n + gap * (w.n_docs + 1), dtype=np.int16)
-        line[at] = self.classes(w.hashes(lower=True))
+        line[at] = self.classes(h)
         around = [at + k for k in range(-gap, gap + 1) if k]
-        return line[at], np.stack([line[a] for a in around], axis=1), w.doc, w.n_docs
+        return line[at], np.stack([line[a] for a in around], axis=1)
 
 
 def initial(unigram: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -189,7 +202,8 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, p: list[np.ndarray], r
     return shaped(v)
 
 
-def train(docs: DataFrame, rounds: int = 2, rate: float = 0.005, seed: int = 11) -> tuple[Vocabulary, list[np.ndarray]]:
+def train(docs: DataFrame, rounds: int = 2, rate: float = 0.005, seed: int = 11) -> tuple[Vocabulary, list[np.ndarray], DataFrame]:
+    """Vocabulary, weights and the count of every word that has no class of its own."""
     counts = staged(_count_words(docs), "lm-words")
     top = counts.orderBy(F.desc("n"), "word").limit(N_FREQUENT).collect()
     vocabulary = Vocabulary([r["word"] for r in top])
@@ -201,23 +215,81 @@ def train(docs: DataFrame, rounds: int = 2, rate: float = 0.005, seed: int = 11)
     for r in range(rounds):
         part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
         p = _train_round(part, vocabulary, p, rate / (1 + r))
-    return vocabulary, p
+    return vocabulary, p, counts.where(~F.col("word").isin([r["word"] for r in top]))
+
+
+class Shares:
+    """log P(word | class) of the known words; for others what their counts are still to be added to."""
+
+    def __init__(self, counts: DataFrame):
+        top = counts.orderBy(F.desc("n"), "word").limit(N_KNOWN).collect()
+        self.least = (top[-1]["n"], top[-1]["word"]) if len(top) == N_KNOWN else None
+        h = np.array([r["word"] for r in top], dtype=np.int64).view(U64)
+        order = np.argsort(h)
+        self.hashes, self.logs = h[order], np.log1p(np.array([r["n"] for r in top], dtype=float))[order]
+        self.totals = np.zeros(N_HASHED)
+        classes = counts.groupBy(F.col("word").bitwiseAND(N_HASHED - 1).alias("at"))  # h % N_HASHED
+        for r in classes.agg((F.sum("n") + F.count("*") + 1).alias("total")).collect():
+            self.totals[r["at"]] = np.log(r["total"])
+
+    def rest(self, counts: DataFrame) -> DataFrame:
+        """The counts that tasks do not hold."""
+        if self.least is None:
+            return counts.limit(0)
+        n, word = self.least
+        return counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log share without what the join adds, known) of words in hash classes."""
+        known, logs = np.zeros(len(h), dtype=bool), -self.totals[(h % U64(N_HASHED)).astype(np.int64)]
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[at] == h
+            logs[known] += self.logs[at[known]]
+        return logs, known
+
+
+def _counted(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[pa.Array, pa.Array]:
+    """The distinct words of each text and how often it has them."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+    cuts = pa.array(np.searchsorted(doc[first], np.arange(n_docs + 1)), pa.int32())
+    times = np.diff(np.append(first, len(h)))
+    return (pa.ListArray.from_arrays(cuts, pa.array(h[first].view(np.int64))),
+            pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())))
 
 
-def score(docs: DataFrame, model: tuple[Vocabulary, list[np.ndarray]]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Vocabulary, list[np.ndarray], DataFrame]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and its mean, one row per document row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    vocabulary, p, counts = model
+    shares = Shares(counts)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, p, shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, p = shared.value
+        vocabulary, p, shares = shared.value
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                target, context, doc, n = vocabulary.read(part.column("text"))
+                w = words(part.column("text"), NOT_SPACE)
+                h, doc, n = w.hashes(lower=True), w.doc, w.n_docs
+                target, context = vocabulary.encode(w, h)
                 logs = log_probabilities(p, target, context)
+                hashed = np.flatnonzero(target > N_FREQUENT)
+                share, known = shares.of(h[hashed])
+                logs[hashed] += share
+                rest = hashed[~known]
+                found, times = _counted(h[rest], doc[rest], n)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "n_tokens": pa.array(np.bincount(doc, minlength=n), pa.int64()),
-                    "log_likelihood": np.bincount(doc, logs, minlength=n).astype(float)})
+                    "logs": np.bincount(doc, logs, minlength=n).astype(float), "words": found, "times": times})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return (docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double")
+    read = staged(docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, logs double, words array<long>, times array<int>")
+        .withColumn("at", F.monotonically_increasing_id()), "lm-read")
+    pairs = read.select("at", F.explode(F.arrays_zip("words", "times")).alias("w")).select("at", "w.times", F.col("w.words").alias("word"))
+    unit = F.round(F.log1p("n") * _UNIT).cast("long")
+    added = pairs.join(shares.rest(counts), "word").groupBy("at").agg(F.sum(F.col("times") * unit).alias("added"))
+    return (read.select("at", "doc_id", "n_tokens", "logs").join(added, "at", "left")
+            .select("doc_id", "n_tokens", (F.col("logs") + F.coalesce("added", F.lit(0)) / _UNIT).alias("log_likelihood"))
             .withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))))
