@@ -15,13 +15,16 @@ from pingpath.llm import (
     decontamination,
     line_dedup,
     lm_scoring,
+    merkle,
     mixing,
     ngram_join,
     quality_rules,
     sharding,
+    token_align,
     token_counts,
     toxicity,
     url_filters,
+    zstd_quality,
 )
 from pingpath.llm.common import table
 
@@ -79,6 +82,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verify(docs, merkle.altered(F.col("doc_id"), F.col("text")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
@@ -90,6 +106,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLE = {
@@ -97,4 +116,5 @@ ORACLE = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }

@@ -20,12 +20,15 @@ COLUMNS = {
     "op7_toxicity": "doc_id held_out score predicted",
     "op8_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9_ngram_join": "doc_id n_shingles component_id",
+    "op11_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_quality_classifier": "doc_id held_out score predicted",
 }
 
 
 def test_one_query_for_each_operator_and_the_pipeline():
     found = __spark_entry__.queries()
-    assert [sum(q.startswith(f"op{n}_") for q in found) for n in range(1, 11)] == [1] * 10 and "pipeline" in found
+    assert [sum(q.startswith(f"op{n}_") for q in found) for n in range(1, 14)] == [1] * 13 and "pipeline" in found
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "sharding"]
