@@ -19,7 +19,9 @@ linked.
    block and pair, so a pair found everywhere has no more rows than there are blocks) and
    sums them for its documents.
 
-Vocabularies are read on the driver and shared as broadcasts, whose size the files fix.
+A's tokens come from its .json in the engine that takes ids as merge ranks, where the file's
+merges allow it, else (and for texts with 1,000 white spaces in a row) in the .json's own
+library; both give the same ids.  Vocabularies are read on the driver and shared as broadcasts, whose size the files fix.
 
 Defined cases: null and empty texts, and texts that either tokenizer does not give back
 byte by byte, have no tokens: zeros and an empty ``groups_sha256``; repeated rows each
@@ -32,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -43,12 +46,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingpath.llm.common import staged
-from pingpath.llm.token_counts import _printable_bytes
+from pingpath.llm.token_counts import PATTERN, _printable_bytes
 from pingpath.llm.wordtable import as_strings, slices
 
 #: Text that one block holds; its temporaries are some 60 times that.
 BLOCK_BYTES = 2 << 20
 
+#: Pre-tokenizer of the byte-level vocabularies (fixed value), which PATTERN stands for.
+LEVEL_OF_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: White space that the rank engine's split cannot walk; such texts go to the other engine.
+LONG_GAP = re.compile(r"\s{1000}")
+
 
 class Sides:
     """Both tokenizers of a worker, their tokens as bytes, and the decimal texts of their ids."""
@@ -56,6 +64,7 @@ class Sides:
     def __init__(self, a_json: str, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         self.a = tokenizers.Tokenizer.from_str(a_json)
@@ -70,6 +79,11 @@ class Sides:
             self.a_bytes[i] = bytes(byte[c] for c in piece)
         for piece, i in special.items():
             self.a_bytes[i] = piece.encode("utf-8")
+        # merges in the order of their tokens' ids: the ids are ranks, and a faster engine gives the same tokens
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == LEVEL_OF_BYTES and made == sorted(set(made))
+        self.a_ranks = tiktoken.Encoding("a", pat_str=PATTERN, special_tokens={}, mergeable_ranks={
+            self.a_bytes[i]: i for i in vocab.values()}) if plain else None
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode("utf-8") for i, p in pieces]
         self.a_size, self.b_size = (np.array(list(map(len, t)), dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
@@ -80,7 +94,10 @@ class Sides:
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Token ids of each text by A and B, both empty where either is not the text's own bytes."""
         spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
+        if self.a_ranks:
+            a = [self.a_ranks.encode_ordinary(t) if not LONG_GAP.search(t) else self.a.encode(t, add_special_tokens=False).ids for t in spaced]
+        else:
+            a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
         for i, t in enumerate(spaced):
             whole = t.encode("utf-8")

@@ -71,7 +71,8 @@ def test_against_brute_force(spark, sides, block):
 
 
 def test_encoding_is_the_libraries(sides):
-    t = texts()
+    assert sides.a_ranks
+    t = [*texts(), "x" + " " * 300_000 + "y\n" * 2_000, "a" * 200_000, "\n \t" * 50_000, "é." * 50_000]
     plain = tokenizers.Tokenizer.from_file(A)
     plain.encode_special_tokens = True
     pieces = sentencepiece.SentencePieceProcessor(model_file=B)
