@@ -17,8 +17,8 @@ def shingles(text, n=3):
     return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows, num=90, den=100):
-    sets = [shingles(r[1]) for r in rows]
+def brute(rows, num=90, den=100, n=3):
+    sets = [shingles(r[1], n) for r in rows]
     reach = list(range(len(rows)))
 
     def find(i):

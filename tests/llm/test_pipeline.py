@@ -65,7 +65,7 @@ def test_stage_by_stage_against_brute_force(spark, case):
     assert one.columns == docs.columns and plain(one) == sorted(left, key=str) and len(bad) > 100
 
     two = stages["n-gram Jaccard join"](spark, one, folder)
-    keep = {c for _, _, c, _ in brute_join(left)}
+    keep = {c for _, _, c, _ in brute_join(left, 80, 100, 5)}
     after = [r for r in left if r[0] in keep]
     assert two.columns == docs.columns and plain(two) == sorted(after, key=str) and len(after) < len(left)
 
