@@ -28,20 +28,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more; whatever was made from them must be staged itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Ids that may be broadcast (about 120 bytes each once hashed, 30 MB); more are joined by shuffling both sides.
 MAX_BROADCAST_IDS = 250_000
 
 
-def by_id(ids: DataFrame, name: str) -> DataFrame:
-    """A one-column table of ids, staged, marked for broadcast if its counted size allows.
+def few(rows: DataFrame, name: str, weight: Column | None = None) -> DataFrame:
+    """``rows`` staged, marked for broadcast if their counted weight (rows, or the sum of ``weight``) allows."""
+    kept = staged(rows, name)
+    total = kept.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    if total > MAX_BROADCAST_IDS:
+        return kept
+    marked = F.broadcast(kept)
+    marked.staged_path = kept.staged_path
+    return marked
 
-    Picking documents by few ids then moves no text.
-    """
-    kept = staged(ids, name)
-    return F.broadcast(kept) if kept.count() <= MAX_BROADCAST_IDS else kept
+
+def by_id(ids: DataFrame, name: str) -> DataFrame:
+    """A table of ids to pick documents by: while it is few, picking moves no text."""
+    return few(ids, name)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -25,17 +25,21 @@ class Members:
     def of(self, i: int) -> np.ndarray:
         return self.items[self.first[i]:self.first[i + 1]]
 
-    def distances(self, pivots: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-        """Jaccard distance of each row to each pivot set."""
+    def common(self, pivots: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """Shingles that each row has in common with each pivot set."""
         pick = np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in rows])
         items, owner = self.items[pick], np.repeat(np.arange(len(rows)), self.size[rows])
-        out = np.empty((len(rows), len(pivots)))
+        out = np.empty((len(rows), len(pivots)), dtype=np.int64)
         for k, p in enumerate(pivots):
             at = np.minimum(np.searchsorted(p, items), len(p) - 1)
-            common = np.bincount(owner[p[at] == items], minlength=len(rows))
-            out[:, k] = 1 - common / (self.size[rows] + len(p) - common)
+            out[:, k] = np.bincount(owner[p[at] == items], minlength=len(rows))
         return out
 
+    def distances(self, pivots: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """Jaccard distance of each row to each pivot set."""
+        common = self.common(pivots, rows)
+        return 1 - common / (self.size[rows][:, None] + np.array([len(p) for p in pivots]) - common)
+
 
 def cells(distance: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
     """Nearest pivot of each row, and the cells whose window holds it.

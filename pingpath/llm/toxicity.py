@@ -124,7 +124,7 @@ def _count_features(train: DataFrame) -> DataFrame:
     """(feature, n1, n0): toxic and other texts with each feature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 w = words(part.column("text"), ALNUM)
                 h, doc = _features(w, None)
                 order = np.lexsort((h, doc))
@@ -146,7 +146,7 @@ def _rows(train: DataFrame, hashes: np.ndarray) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, swap = Lookup(hashes), _swaps()
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 w = words(part.column("text"), ALNUM)
                 sides = []
                 for s in (None, swap):
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         lookup = Lookup(m.hashes)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], pa.array(m.score(part.column("text"), lookup))], [*keep, "score"])
 
@@ -243,7 +243,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
         m = shared.value
         lookup = Lookup(m.hashes)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 yield part.filter(pa.array(m.score(part.column("text"), lookup) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -161,3 +161,30 @@ def test_one_document_of_each_component_stays(spark):
     want = brute(rows)
     assert left.columns == frame(spark, rows).columns
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted({r[2] for r in want}, key=str)
+
+
+@pytest.mark.parametrize("region_items", [3_000, 20_000])
+def test_components_without_counts(spark, region_items):
+    """One dense group and groups at the edge of the threshold, cut far below their size."""
+    rows = near_copies(13, 1, 200, words=110, edits=5) + [(10_000 + r[0], r[1], "en", "a", 0) for r in near_copies(14, 3, 40, edits=9)]
+    got = run(frame(spark, rows), region_items=region_items, count=False, n=5, num=80)
+    assert got == sorted(((*r[:3], None) for r in brute(rows, 80, 100, 5)), key=str)
+
+
+def test_what_links_to_a_pivot_is_not_compared_again(spark, monkeypatch):
+    """Ten times the members of a dense group: about ten times the rows that meet in regions."""
+    met = []
+    join_regions = ngram_join._join_regions
+
+    def counted(regions, sets, num, den):
+        met.append(regions.count())
+        return join_regions(regions, sets, num, den)
+
+    monkeypatch.setattr(ngram_join, "_join_regions", counted)
+    for members in (200, 2_000):
+        rng = random.Random(15)
+        base = sentence(rng, 200, 10**5)
+        rows = [(i, edited(rng, base, 1 + i % 3), "en", "a", 0) for i in range(members)]
+        out = ngram_join.join(frame(spark, rows), n=5, num=80, region_items=10_000, count=False)
+        assert {r["component_id"] for r in out.select("component_id").distinct().collect()} == {0}
+    assert met[1] < 20 * max(met[0], 200)
