@@ -47,9 +47,9 @@ def _tag(text: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, min_chars: int = 10, bands: int = 64) -> DataFrame:
     """(doc_id, at): lines that go; ``at`` is the text's tag plus the line's position."""
-    lines = (docs.where(F.col("doc_id").isNotNull())
-             .select("doc_id", _tag(F.col("text")).alias("tag"),
-                     F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    # The tag is computed below the explode, once a text; no line carries its text.
+    lines = (docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _tag(F.col("text")).alias("tag"))
+             .select("doc_id", "tag", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
              .select("doc_id", F.col("tag").bitwiseOR(F.col("pos")).alias("at"),
                      lower_ascii(F.btrim("line", F.lit(BLANKS))).alias("key"))
              .where(F.length("key") >= min_chars)
@@ -87,11 +87,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Columns of ``docs`` with the dropped lines cut from ``text``, n_lines and n_dropped."""
     b = bitmaps.select(F.col("doc_id").alias("_doc_id"), F.col("tag").alias("_tag"), F.col("keep").alias("_keep"))
     joined = docs.join(b, (docs["doc_id"] == b["_doc_id"]) & (_tag(docs["text"]) == b["_tag"]), "left")
-    words = F.transform(F.sequence(F.lit(0), F.element_at("_keep", -1)["word"]),
-                        lambda w: F.coalesce(F.element_at(F.map_from_entries("_keep"), w), F.lit(-1).cast("long")))
+    # Runs of words that all stay fill the gaps between the kept ones, in order: linear in the text.
+    full = F.lit(-1).cast("long")
+    words = F.flatten(F.transform("_keep", lambda k, i: F.concat(
+        F.array_repeat(full, k["word"] - F.when(i == 0, 0).otherwise(F.get("_keep", i - 1)["word"] + 1)), F.array(k["bits"]))))
     cut = F.expr("""array_join(filter(split(coalesce(text, ''), '\n', -1), (line, i) ->
-        i >= 64 * size(_words) OR getbit(_words[shiftright(i, 6)], i & 63) = 1), '\n')""")
-    return (joined.withColumn("_words", F.when(F.col("_keep").isNotNull(), words))
+        i >= 64 * size(`_words of text`) OR getbit(`_words of text`[shiftright(i, 6)], i & 63) = 1), '\n')""")
+    return (joined.withColumn("_words of text", F.when(F.col("_keep").isNotNull(), words))
             .select(*[docs[c] for c in docs.columns if c != "text"],
                     F.when(F.col("_keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(cut).alias("text"),
                     F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),

@@ -62,3 +62,20 @@ def test_no_python_on_the_main_path(spark):
     docs = odd_documents(spark)
     plan = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+
+
+def test_time_is_linear_in_the_lines_of_a_text(spark):
+    """Two equal texts of many lines: twice the lines, well under three times the time."""
+    import time
+
+    def took(n):
+        text = "\n".join(f"line number {i} of a very long text" for i in range(n))
+        docs = frame(spark, [(1, text, "en", "a", 0), (2, text, "en", "a", 0)], extras=False)
+        start = time.time()
+        got = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).select("doc_id", "n_lines", "n_dropped", "text").collect()
+        assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], len(r["text"])) for r in got) == [(1, n, 0, len(text)), (2, n, n, 0)]
+        return time.time() - start
+
+    took(1_000)
+    short, long = took(64_000), took(200_000)
+    assert long < 20 and long < 3 * 200 / 64 * max(short, 1)
