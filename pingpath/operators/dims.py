@@ -7,11 +7,12 @@ per-row subqueries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pingpath.operators import traces as tr
 from pingpath.operators.live import _instant
+from pingpath.sources.tables import overwrite_routes, read_stops
 
 
 def resolve_codes(rows: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,3 +101,16 @@ def reload_stops(routes: DataFrame, stops: DataFrame, new_stops_by_code: DataFra
               .join(tr.trace_length(new_stops), "route_id", "left")
               .select("route_id", "code", "n_stops", "first_stop", "last_stop", "length_km"))
     return new_routes, new_stops, report, unresolved
+
+
+def reload_stored_stops(spark: SparkSession, path: str, routes: DataFrame, new_stops_by_code: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace the stops of the named routes in the store at ``path`` (C6); returns (report, unresolved rows).
+
+    Only the folders of those routes are written again.
+    """
+    resolved, unresolved = resolve_codes(new_stops_by_code, routes)
+    overwrite_routes(resolved, path)
+    stops = read_stops(spark, path)
+    report = (tr.stops_per_route(stops, routes).join(tr.trace_length(stops), "route_id", "left")
+              .select("route_id", "code", "n_stops", "first_stop", "last_stop", "length_km"))
+    return report, unresolved

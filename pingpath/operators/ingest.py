@@ -12,6 +12,7 @@ Checks run in the service's order and the first failing one names the reason:
    routes without a line accept every position;
 5. envelope: outside the strict service envelope (``envelope``).
 
+Rows that repeat a ping_id are one attempt (``once``), so a sender may try again.
 Only accepted attempts hold a rate-limit slot.  The device id is replaced by
 ``sha256("<uuid>:<salt>")`` before anything is stored, in both outputs.
 """
@@ -61,6 +62,17 @@ def payload_reason():
             .when(F.col("ts").isNull(), "payload_ts"))
 
 
+def once(raw: DataFrame) -> DataFrame:
+    """One row for each ping_id: an attempt that was sent again is the same attempt.
+
+    Of different attempts under one id the least (instant, device, code, position) is it.
+    """
+    rest = [c for c in ("ts", "uuid", "code", "lon", "lat") if c in raw.columns]
+    rest += [c for c in raw.columns if c not in (*rest, "ping_id")]
+    return (raw.groupBy("ping_id").agg(F.min(F.struct(*rest)).alias("_least"))
+            .select(*[F.col(c) if c == "ping_id" else F.col(f"_least.{c}").alias(c) for c in raw.columns]))
+
+
 def check(raw: DataFrame, routes: DataFrame, stops: DataFrame, params: Params,
           salts: DataFrame | None = None) -> DataFrame:
     """Every attempt with the outcome of all checks that look at one row (``CHECKED`` + reasons).
@@ -104,7 +116,7 @@ def classify(raw: DataFrame, routes: DataFrame, stops: DataFrame, params: Params
     The checks of single rows are written once, columnar; the rate limit reads four
     narrow columns of them, and its decisions join back once.
     """
-    checked = materialise(check(raw, routes, stops, params, salts), "ingest-checked")
+    checked = materialise(check(once(raw), routes, stops, params, salts), "ingest-checked")
     decisions = materialise(decide(attempts_of(checked), params.rate_limit_s), "ingest-decisions")
     return with_reason(checked, decisions)
 

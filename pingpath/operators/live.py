@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pingpath.config import DEMO_PATTERN, PURGE_MESSAGE
 from pingpath.functions import geo
-from pingpath.session import materialise
-from pingpath.sources.tables import STORE, read_pings, with_xy, write_pings
+from pingpath.sources.rewrite import remove_rows
+from pingpath.sources.tables import with_xy
 
 
 def _instant(as_of):
@@ -71,30 +71,22 @@ def purge(pings: DataFrame, as_of, hours: int = 24) -> tuple[DataFrame, DataFram
 def purge_store(spark: SparkSession, path: str, as_of, hours: int = 24) -> DataFrame:
     """Delete expired pings from the month-partitioned store at ``path`` (IO7); returns the report.
 
-    Months wholly before the cut are dropped as folders; of the month of the cut only
-    the kept rows are written again; later months are not touched.  The kept rows are
-    written beside the store first, so a job that ends midway loses nothing and can
-    run again.
+    Files that hold only expired pings go, files that hold both are written again, all
+    others are not touched.  A job that ends midway loses nothing and can run again
+    (``sources.rewrite``); the number purged comes from the scan that finds the files.
     """
-    boundary = spark.range(1).select(F.date_format(_purge_cut(as_of, hours), "yyyy-MM")).first()[0]
-    stored = read_pings(spark, path)
-    report = materialise(purge_report(stored, as_of, hours), "purge-report")
-    kept = materialise(purge(stored.where(F.col("month") == boundary), as_of, hours)[0], "purge-kept", STORE)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("month=") and name[6:] <= boundary:
-            fs.delete(status.getPath(), True)
-    if not kept.isEmpty():
-        write_pings(kept.drop("month"), path)
-    return report
+    cut = _purge_cut(as_of, hours)
+    n = remove_rows(spark, path, F.col("ts") < cut, F.col("month") <= F.date_format(cut, "yyyy-MM"))
+    return _report(spark.range(1).select(F.lit(n).cast("long").alias("purged")), hours)
 
 
 def purge_report(pings: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """One row: number purged and the service's message text (IO7)."""
     _, purged = purge(pings, as_of, hours)
-    n = purged.agg(F.count(F.lit(1)).alias("purged"))
+    return _report(purged.agg(F.count(F.lit(1)).alias("purged")), hours)
+
+
+def _report(n: DataFrame, hours: int) -> DataFrame:
     return n.select("purged", F.format_string(PURGE_MESSAGE, F.col("purged"), F.lit(int(hours))).alias("message"))
 
 
@@ -103,6 +95,14 @@ def delete_sessions_like(pings: DataFrame, pattern: str = DEMO_PATTERN) -> DataF
     return pings.where(~F.col("session_hash").like(pattern))
 
 
+def delete_stored_sessions_like(spark: SparkSession, path: str, pattern: str = DEMO_PATTERN) -> int:
+    """``DELETE ... WHERE session_hash LIKE pattern`` on the store at ``path`` (IO8); returns the number deleted.
+
+    Only files with a match are written again.
+    """
+    return remove_rows(spark, path, F.col("session_hash").like(pattern))
+
+
 def within_radius(pings: DataFrame, lon0: float, lat0: float, radius_m: float) -> DataFrame:
     """Pings within ``radius_m`` metres of a point (PF10).
 

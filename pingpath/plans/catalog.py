@@ -22,7 +22,7 @@ from pingpath.plans import oracle as O
 from pingpath.plans import service
 from pingpath.session import ensure_checkpoint_dir, materialise
 from pingpath.sources import driver
-from pingpath.sources.tables import PING_COLUMNS, STORE, read_pings, write_pings
+from pingpath.sources.tables import PING_COLUMNS, STORE, read_pings, read_stops, write_pings, write_stops
 from pingpath.streaming import live_stream as stream
 
 P = driver.DRIVER_PARAMS
@@ -173,12 +173,14 @@ def q_purge_kept(spark, sf_dir):
 
 
 def q_stream_ingested(spark, sf_dir):
-    """The events as a stream, triggered until all are read: the newest decision of every attempt."""
+    """The events as a stream of eight files, dealt by hash so that every trigger has late rows: the newest decision of every attempt."""
     d = dimensions(spark, sf_dir)
     root = new_folder(spark, "stream")
     events = driver._table(spark, sf_dir, "events")
     body = stream.ingest_body(spark, root, d.routes, d.stops, P)
-    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    files = f"{root}/events"
+    events.repartition(8, "event_id").write.parquet(files)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(files)
     _drain(source, lambda batch, n: body(driver.attempts_from_events(batch, d.stops), n), f"{root}/progress", "append")
     return stream.current(spark, root).select("ping_id", "session_hash", "code", "lon", "lat", "ts", "reject_reason")
 
@@ -274,6 +276,33 @@ def q_sessions_like(spark, sf_dir):
     return live.delete_sessions_like(i.pings, PATTERN).select("ping_id", "session_hash")
 
 
+def q_sessions_deleted(spark, sf_dir):
+    """What a delete by pattern leaves in a copy of the store."""
+    i = inputs(spark, sf_dir)
+    store = new_folder(spark, "deleted")
+    write_pings(i.pings.drop("month"), store)
+    live.delete_stored_sessions_like(spark, store, PATTERN)
+    return read_pings(spark, store).select(*PING_COLUMNS)
+
+
+def q_stops_overwritten(spark, sf_dir):
+    """The stop store after the routes of a stop file were overwritten in it."""
+    d = dimensions(spark, sf_dir)
+    store = new_folder(spark, "stops")
+    write_stops(d.stops, store)
+    dims.reload_stored_stops(spark, store, d.routes, new_stop_file(spark, sf_dir))
+    return read_stops(spark, store).select("stop_id", "route_id", "name", "seq", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
+
+
+def q_ingested_once(spark, sf_dir):
+    """Attempts of which a third is sent a second time: each comes out once."""
+    d = dimensions(spark, sf_dir)
+    raw = driver.raw_pings(spark, sf_dir, d.stops)
+    accepted, rejected = ing.ingest(raw.unionByName(raw.where("ping_id % 3 = 0")), d.routes, d.stops, P)
+    return (accepted.select("ping_id", F.lit(None).cast("string").alias("reject_reason"))
+            .unionByName(rejected.select("ping_id", "reject_reason")))
+
+
 def q_quality_report(spark, sf_dir):
     """The checks on the tables with defects mixed in, so that every one of them has rows."""
     i = inputs(spark, sf_dir)
@@ -414,6 +443,9 @@ QUERIES = {
     "within_radius": q_within_radius,
     "purge_report": q_purge_report,
     "sessions_like": q_sessions_like,
+    "sessions_deleted": q_sessions_deleted,
+    "stops_overwritten": q_stops_overwritten,
+    "ingested_once": q_ingested_once,
     "quality_report": q_quality_report,
     "unit_labels": q_unit_labels,
     "route_bbox": q_route_bbox,
@@ -686,6 +718,12 @@ FROM stops_d ORDER BY {O.degdist_sql(O.d(POINT[0]), O.d(POINT[1]), 'lon', 'lat')
 SELECT ping_id, session_hash, route_id, lon, lat, ts FROM pings_d WHERE NOT (ts < {O.AS_OF} - to_hours(24))""",
     "reload_unresolved": O.with_ctes(O.DERIVED, _NEW_STOPS) + """
 SELECT stop_id, code, name FROM nstops_0 WHERE code NOT IN (SELECT code FROM routes_d)""",
+    "sessions_deleted": O.with_ctes(*_BASE) + f"""
+SELECT ping_id, session_hash, route_id, lon, lat, ts FROM pings_d WHERE NOT (session_hash LIKE '{PATTERN}')""",
+    "stops_overwritten": O.with_ctes(O.DERIVED, _NEW_STOPS) + f"""
+SELECT stop_id, route_id, name, seq, {O.R6('lon')} AS lon, {O.R6('lat')} AS lat FROM stops_r""",
+    "ingested_once": O.with_ctes(*_BASE) + """
+SELECT ping_id, reject_reason FROM cls""",
     "stream_ingested": O.with_ctes(*_BASE) + """
 SELECT ping_id, session_hash, code, lon, lat, ts, reject_reason FROM cls""",
     "stream_counts": O.with_ctes(*_BASE) + """

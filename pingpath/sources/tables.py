@@ -82,3 +82,18 @@ def with_xy(pings: DataFrame) -> DataFrame:
 
 def read_pings(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, STORE)
+
+
+def write_stops(stops: DataFrame, path: str) -> None:
+    """Route-partitioned stop store: a folder a route, so a route is replaced without touching the others."""
+    stops.repartition("route_id").sortWithinPartitions("route_id", "seq", "stop_id").write.mode("overwrite").partitionBy("route_id").parquet(path)
+
+
+def read_stops(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, STOPS).select(*STOPS.fieldNames())
+
+
+def overwrite_routes(new: DataFrame, path: str) -> None:
+    """Replace the stops of every route that ``new`` names; files of other routes stay as they are (IO6)."""
+    (new.select(*STOPS.fieldNames()).repartition("route_id").sortWithinPartitions("route_id", "seq", "stop_id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("route_id").parquet(path))

@@ -9,33 +9,46 @@
   before it.  In order, that is the new rows alone; a late row brings its session's
   later attempts back.  Nothing is dropped for being late, and no watermark, timeout
   or in-memory state is involved.
+* Stored rows lie by class of session and hour, and a trigger reads only the classes it
+  has sessions of, from its earliest hour there on: in order that is the running hour,
+  however long the stream has run.  A late row brings back the hours since.
 * Each trigger writes its rows under its batch id, replacing what an earlier try of
   the same batch left, so a retried batch stores nothing twice.  A row decided again
-  has a newer version; ``current`` takes the newest of each ping.
+  has a newer version; ``current`` takes the newest of each ping.  An attempt sent again
+  is the attempt stored before.
 * ``live_counts`` (ST2): pings per route in 2-minute windows sliding by 30 s, with a
   watermark; rows later than it leave these counts only.  ``counts_body`` keeps the
   newest count of each window, by batch id too.
 * ``refresh_units`` (ST2): a ``foreachBatch`` body that clusters the live window of the
   stored pings again into a new snapshot.  Its clock is the newest instant seen so
   far, so a late batch does not turn it back.
-* Expiry (ST5) is ``operators.live.purge_store`` on the published store.
+* Expiry (ST5): ``expire`` removes whole hours of the stream's own tables, ``expire_units``
+  old snapshots; ``operators.live.purge_store`` purges the published store.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pingpath.config import Params
 from pingpath.operators import cluster, live
-from pingpath.operators.ingest import accepted_rows, attempts_of, check, rejected_rows, with_reason
+from pingpath.operators.ingest import accepted_rows, attempts_of, check, once, rejected_rows, with_reason
 from pingpath.operators.ratelimit import decide, epoch_micros
 from pingpath.session import materialise
 from pingpath.sources.tables import RAW_PINGS, read_pings, write_pings
 
+#: Classes of sessions by hash, and the hours of a class, that stored attempts lie in.
+CLASSES = 16
+HOUR_US = 3_600_000_000
+
+
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
@@ -62,15 +75,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All rows under ``path`` with the batch that wrote them; none if nothing was written yet."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    full = T.StructType([*schema.fields, T.StructField("class", T.IntegerType()), T.StructField("hour", T.LongType()),
+                         T.StructField("batch", T.LongType())])
     if not _exists(spark, path):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(path)
 
 
-def _put(rows: DataFrame, path: str, batch_id: int, schema: T.StructType) -> None:
-    """Write the rows of one batch in the place of an earlier try."""
-    rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def _hour(rows: DataFrame, instant: str) -> Column:
+    return F.floor(epoch_micros(rows, instant) / HOUR_US)
+
+
+def _put(rows: DataFrame, path: str, batch_id: int, schema: T.StructType, instant: str, owner: str) -> None:
+    """Write the rows of one batch, by class of owner and hour, in the place of an earlier try."""
+    kept = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    (kept.withColumn("class", F.pmod(F.xxhash64(owner), F.lit(CLASSES)).cast("int")).withColumn("hour", _hour(kept, instant))
+     .withColumn("batch", F.lit(batch_id).cast("long")).repartition("class", "hour")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("class", "hour", "batch").parquet(path))
+
+
+def _touched(rows: DataFrame, hours_before: int = 0) -> Column | None:
+    """The classes, and from which hour on, that can hold what ``rows`` meet; None if nothing can."""
+    since = (rows.where(F.col("hour").isNotNull() & F.col("session_hash").isNotNull())
+             .groupBy("class").agg(F.min("hour").alias("hour")).collect())  # at most CLASSES rows
+    found = [(F.col("class") == r["class"]) & (F.col("hour") >= r["hour"] - hours_before) for r in since]
+    return reduce(or_, found) if found else None
 
 
 def _newest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -102,27 +131,62 @@ def ingest_body(spark: SparkSession, root: str, routes: DataFrame, stops: DataFr
     wait = int(round(params.rate_limit_s * 1_000_000))
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        _put(check(batch, routes, stops, params, salts), f"{root}/checked", batch_id, CHECKED)
-        stored = _versions(spark, f"{root}/checked", CHECKED).where(F.col("batch") <= batch_id)
-        us = epoch_micros(stored, "ts")
+        checked, classified = f"{root}/checked", f"{root}/classified"
+        _put(check(once(batch), routes, stops, params, salts), checked, batch_id, CHECKED, "ts", "session_hash")
+        stored = _versions(spark, checked, CHECKED)
         new = stored.where(F.col("batch") == batch_id)
+        nothing = F.lit(False)
+        history = stored.where(_touched(new) if _touched(new) is not None else nothing)
+        earlier = _touched(new, -(-wait // HOUR_US))
+        before = _versions(spark, classified, CLASSIFIED).where(earlier if earlier is not None else nothing)
+        us = epoch_micros(new, "ts")
         since = (new.where(F.col("ts").isNotNull() & F.col("session_hash").isNotNull())
                  .groupBy(F.col("session_hash").alias("_s")).agg(F.min(us).alias("_from")))
-        before = stored.where(F.col("batch") < batch_id)
-        again = before.join(since, (before["session_hash"] == F.col("_s")) & (us >= F.col("_from"))).drop("_s", "_from")
-        rows = materialise(new.unionByName(again).drop("batch"), "stream-rows")
-        decided = _newest(_versions(spark, f"{root}/classified", CLASSIFIED).where(F.col("batch") < batch_id),
-                          ["ping_id"], CLASSIFIED.fieldNames()).where(F.col("reject_reason").isNull())
+        older = history.where(F.col("batch") < batch_id)
+        again = older.join(since, (older["session_hash"] == F.col("_s")) & (epoch_micros(older, "ts") >= F.col("_from"))).drop("_s", "_from")
+        rows = materialise(once(new.unionByName(again).drop("batch", "class", "hour")), "stream-rows")
+        decided = _newest(before.where(F.col("batch") < batch_id), ["ping_id"], CLASSIFIED.fieldNames()).where(F.col("reject_reason").isNull())
         at = epoch_micros(decided, "ts")
         seeds = (decided.join(since, (decided["session_hash"] == F.col("_s")) & (at < F.col("_from")) & (at > F.col("_from") - wait))
                  .select(F.col("session_hash").alias("sid"), F.col("ping_id").alias("id"), at.alias("us"),
                          F.lit(True).alias("payload_ok"), F.lit(True).alias("valid")))
         decisions = materialise(decide(attempts_of(rows).unionByName(seeds), params.rate_limit_s), "stream-decisions")
-        _put(with_reason(rows, decisions), f"{root}/classified", batch_id, CLASSIFIED)
+        _put(with_reason(rows, decisions), classified, batch_id, CLASSIFIED, "ts", "session_hash")
 
     return body
 
 
+def expire(spark: SparkSession, root: str, before: dt.datetime, tables: tuple[str, ...] = ("checked", "classified", "counts")) -> int:
+    """Remove the stored hours that end at or before ``before`` (ST5); returns the number of folders removed.
+
+    An hour is a folder in each class, so no row is read.  What stays answers as the batch
+    job on the kept range does.  ``before`` has to lie the rate limit's wait and the longest
+    lateness behind the stream's clock: a row that comes for an hour already gone is
+    decided without it.
+    """
+    limit, gone = (before - dt.datetime(1970, 1, 1)) // dt.timedelta(hours=1), 0
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for owner in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/class=*")) or []:
+            for hour in fs.listStatus(owner.getPath()):
+                name = hour.getPath().getName()
+                if name[5:].lstrip("-").isdigit() and int(name[5:]) < limit:
+                    fs.delete(hour.getPath(), True)
+                    gone += 1
+    return gone
+
+
+def expire_units(spark: SparkSession, units_path: str, keep: int = 2) -> int:
+    """Remove all but the newest ``keep`` snapshots of the units (ST5); returns how many went."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(units_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((int(s.getPath().getName()[6:]), s.getPath()) for s in fs.listStatus(path) if s.getPath().getName().startswith("batch="))
+    for _, snapshot in found[:-keep]:
+        fs.delete(snapshot, True)
+    return len(found[:-keep])
+
+
 def live_counts(pings: DataFrame, window: str = "2 minutes", slide: str = "30 seconds",
                 watermark: str = "2 minutes") -> DataFrame:
     """Pings per route per sliding window (ST2); event time must be TIMESTAMP."""
@@ -137,7 +201,7 @@ def live_counts(pings: DataFrame, window: str = "2 minutes", slide: str = "30 se
 def counts_body(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch body for ``live_counts`` in update mode."""
     def body(batch: DataFrame, batch_id: int) -> None:
-        _put(batch, f"{root}/counts", batch_id, COUNTS)
+        _put(batch, f"{root}/counts", batch_id, COUNTS, "window_start", "route_id")
     return body
 
 

@@ -121,3 +121,71 @@ def test_refreshed_units_equal_the_batch_and_the_clock_never_goes_back(spark, tm
     body(pings.where("session_hash = 'demo_noise'"), 1)  # a late batch
     again = ls.current_units(spark, units)
     assert key(again) == key(want) and {r.as_of for r in again.collect()} == {as_of}
+
+
+def test_attempts_sent_again_come_out_once_in_batch_and_stream(spark, tmp_path):
+    rows = _attempts()
+    again = rows[::3]
+    got = classify(_raw(spark, rows + again), fx.routes_df(spark), fx.stops_df(spark), P).collect()
+    want = _batch(spark, rows)
+    assert len(got) == len(rows) and {r.ping_id: r.reject_reason for r in got} == want
+    root, _ = _stream(spark, tmp_path, [rows[:12] + again[:2], rows[12:] + again, again])
+    assert _now(spark, root) == want
+
+
+def _hourly(n, step):
+    return [(10 * k + j, f"device-{j:02d}", "L1", *JUAREZ, k * step + s) for k in range(n) for j, s in enumerate([0, 4, 700])]
+
+
+def test_what_a_trigger_reads_does_not_grow(spark, tmp_path, monkeypatch):
+    """Batches an hour apart: the stored rows that a trigger picks stay as many, however many are stored."""
+    read, versions = [], ls._versions
+
+    class Counted:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def where(self, condition):
+            out = self.rows.where(condition)
+            read[-1] += 0 if "batch" in str(condition) else out.count()
+            return out
+
+    def counted(spark, path, schema):
+        return Counted(versions(spark, path, schema))
+
+    root = str(tmp_path / "store")
+    body = ls.ingest_body(spark, root, fx.routes_df(spark), fx.stops_df(spark), P)
+    rows = _hourly(8, 3_600)
+    with monkeypatch.context() as m:
+        m.setattr(ls, "_versions", counted)
+        for k in range(8):
+            read.append(0)
+            body(_raw(spark, rows[3 * k:3 * k + 3]), k)
+    assert read[1:] == [read[1]] * 7 and 0 < read[1] <= 12
+    assert _now(spark, root) == _batch(spark, rows)
+
+
+def test_expiry_leaves_the_batch_answer_on_the_kept_range(spark, tmp_path):
+    rows = _hourly(6, 3_600)
+    root, body = _stream(spark, tmp_path, [rows[:9], rows[9:]])
+    before = T0 + dt.timedelta(hours=3)
+    assert ls.expire(spark, root, before, ("checked", "classified")) > 0
+    kept = [r for r in rows if T0 + dt.timedelta(seconds=r[5]) >= before]
+    want = {i: reason for i, reason in _batch(spark, rows).items() if i in {r[0] for r in kept}}
+    assert _now(spark, root) == want == _batch(spark, kept)
+    assert ls.expire(spark, root, before, ("checked", "classified")) == 0
+    body(_raw(spark, rows[9:]), 1)  # a retry after expiry
+    assert {i: r for i, r in _now(spark, root).items() if i in want} == want
+    late = [(900, "device-00", "L1", *JUAREZ, 5 * 3_600 + 3)]
+    body(_raw(spark, late), 2)
+    assert {i: r for i, r in _now(spark, root).items() if i in want or i == 900} == _batch(spark, kept + late)
+
+
+def test_old_snapshots_of_units_expire(spark, tmp_path):
+    store, units = str(tmp_path / "pings"), str(tmp_path / "units")
+    write_pings(fx.demo_pings_df(spark), store)
+    body = ls.refresh_units(spark, store, fx.routes_df(spark), units, P)
+    for k in range(3):
+        body(fx.demo_pings_df(spark), k)
+    want = ls.current_units(spark, units).count()
+    assert ls.expire_units(spark, units, keep=1) == 2 and ls.current_units(spark, units).count() == want > 0
