@@ -152,10 +152,20 @@ def signatures(value: np.ndarray, cuts: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(sig), np.concatenate(text)
 
 
-def _bins(value: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """How many shingles of each text fall into each of 64 hash bins."""
-    counts = np.bincount(owner * 64 + (value & U64(63)).astype(np.int64), minlength=rows * 64)
-    return np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(rows, 64)
+def _bins(value: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """How many shingles of each text fall into each hash bin; some 4 to 8 a bin, at least 64 and at most 4,096 bins."""
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        n = 1 << min(12, max(6, int(b - a).bit_length() - 3))
+        out.append(np.minimum(np.bincount((value[a:b] & U64(n - 1)).astype(np.int64), minlength=n), 0xFFFF).astype(np.uint16).tobytes())
+    return out
+
+
+def _folded(bins: list[bytes]) -> np.ndarray:
+    """The counts of several texts in the bins of the one with the fewest."""
+    rows = [np.frombuffer(x, dtype=np.uint16) for x in bins]
+    n = min(map(len, rows))
+    return np.stack([r.reshape(-1, n).sum(axis=0, dtype=np.int32) for r in rows])
 
 
 def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -186,7 +196,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 "f1": pa.array(_sums(mix(value + U64(7)), owner, rows).view(np.int64)),
                 "f2": pa.array(_sums(mix(value + U64(11)), owner, rows).view(np.int64)),
                 "block": pa.array(np.full(rows, block)), "at": pa.array(np.arange(done, done + rows), pa.int32()),
-                "bins": pa.array([x.tobytes() for x in _bins(value, owner, rows)], pa.binary()), "sigs": none, "owners": none})
+                "bins": pa.array(_bins(value, cuts), pa.binary()), "sigs": none, "owners": none})
             done += rows
         sig, owner = np.concatenate(sigs), np.concatenate(owners)
         order = np.argsort(sig, kind="stable")
@@ -271,7 +281,7 @@ def _plausible(near: DataFrame, faces: DataFrame, num: int, den: int) -> DataFra
     def parts(ids: np.ndarray, size: np.ndarray, bins: np.ndarray) -> np.ndarray:
         """Least id of each member's group of plausible links; -1 without any."""
         x, y = [], []
-        step = max(1, (1 << 20) // (64 * len(size)))
+        step = max(1, (1 << 20) // bins.size)
         for i in range(0, len(size), step):
             apart = np.abs(bins[i:i + step, None] - bins[None]).sum(axis=2)
             may = apart * (den + num) <= (den - num) * (size[i:i + step, None] + size[None])
@@ -292,10 +302,10 @@ def _plausible(near: DataFrame, faces: DataFrame, num: int, den: int) -> DataFra
         def judged(rows: pa.Table) -> pa.RecordBatch:
             leader = rows.column("leader").to_numpy()
             size = rows.column("size").to_numpy()
-            bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), dtype=np.uint16).reshape(-1, 64).astype(np.int32)
+            bins = rows.column("bins").to_pylist()
             cuts = np.concatenate([[0], np.flatnonzero(leader[1:] != leader[:-1]) + 1, [len(leader)]])
             ids = rows.column("id").to_numpy()
-            group = np.concatenate([parts(ids[a:b], size[a:b], bins[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+            group = np.concatenate([parts(ids[a:b], size[a:b], _folded(bins[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
             may = group != -1
             return pa.RecordBatch.from_pydict({"leader": pa.array(group[may]), "id": pa.array(ids[may])})
 
