@@ -1,13 +1,19 @@
 """Nearest stops per vehicle with distance and ETA.
 
-Stops and points meet in the cells of a grid per route: a point looks at the nine
-cells around it and is done when ``k`` stops lie within one cell side, the radius
-those cells cover for certain.  The first side is ``k`` times the median hop between stops; the
-few points left go on with four times the side, until the grid covers everything.
-Work per point follows the stops near it, not those of its route.  Ranking follows
-the original service: planar distance in degrees (``metric="degrees"``), ties by
-stop order; ``metric="metres"`` ranks by ellipsoidal metres instead.  Reported
-distances are always metres.
+Stops are counted in square cells per route at several levels, each level's cells
+twice as wide as those below.  A point looks up the lowest level at which the nine
+cells around it hold ``k`` stops: its ``k`` nearest then lie within 2 sqrt(2) cell
+sides, so the nine cells around it two levels higher hold them for certain, and one
+join on those cells finds them.  A point in a dense place starts with small cells, a
+lone one with large cells; work per point follows the stops near it, not those of its
+route, and the only written table is that of the points.  Ranking follows the
+original service: planar distance in degrees (``metric="degrees"``), ties by stop
+order; ``metric="metres"`` ranks by ellipsoidal metres instead, with as many levels
+more as the parallels shrink.  Reported distances are always metres.
+
+Defined cases: points on a route without stops, and points without coordinates, have
+no nearest stops and give no row; stops without coordinates are nobody's; a route of
+fewer than ``k`` stops gives them all; points repeated each give their rows.
 """
 
 from __future__ import annotations
@@ -31,21 +37,54 @@ def speed_of(kind_col, speeds: dict | None = None, default: float = DEFAULT_SPEE
     return F.lit(float(default)) if expr is None else expr.otherwise(F.lit(float(default)))
 
 
-def _degrees_apart(metric: str, lat):
-    """Degrees that a metric's unit of distance spans at most."""
-    if metric == "metres":  # metres per degree are least along a parallel
-        return F.lit(1.0) / (F.lit(110_000.0) * F.cos(F.radians(F.abs(lat) + 1.0)))
-    return F.lit(1.0)
+#: How far the k stops in the nine cells around a point can be, in cell sides.
+_REACH = 2 * math.sqrt(2)
+#: Metres a degree spans: at most anywhere, and at least along a meridian or (times the cosine) a parallel.
+_DEGREE_MOST, _DEGREE_LEAST = 111_700.0, 110_000.0
 
 
-def cell_degrees(stops: DataFrame) -> tuple[float, float]:
-    """(first cell side, extent) in degrees: the median hop between stops, and the spread of all."""
+def ladder(points: DataFrame, stops: DataFrame) -> tuple[float, int]:
+    """(side of the lowest cells, top level): a quarter of the median hop between stops, up to cells that span all."""
     w = Window.partitionBy("route_id").orderBy("seq", "stop_id")
     hop = geo.degree_distance(F.col("lon"), F.col("lat"), F.lead("lon").over(w), F.lead("lat").over(w))
-    r = stops.select("lon", "lat", hop.alias("hop")).agg(
-        F.percentile_approx("hop", 0.5), F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).first()
-    extent = math.hypot(r[1] or 0.0, r[2] or 0.0)
-    return max(r[0] or 0.0, extent / 1024, 1e-6), extent
+    places = stops.select("lon", "lat", hop.alias("hop")).unionByName(
+        points.select("lon", "lat", F.lit(None).cast("double").alias("hop")))
+    r = places.agg(F.percentile_approx("hop", 0.5), F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).first()
+    extent = max(r[1] or 0.0, r[2] or 0.0)
+    side = max((r[0] or 0.0) / 4, extent / 2 ** 20, 1e-6)
+    return side, max(math.ceil(math.log2(max(extent, side) / side)), 0) + 1
+
+
+def _cell(c: str, side: float, level) -> F.Column:
+    return F.floor(F.col(c) / (F.lit(side) * F.pow(F.lit(2.0), level)))
+
+
+def _around(df: DataFrame, x, y) -> DataFrame:
+    """Each row once for each of the nine cells around (x, y), as ``_gx`` and ``_gy``."""
+    nine = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    return df.select("*", nine.alias("_o")).select("*", (x + F.col("_o.i")).alias("_gx"), (y + F.col("_o.j")).alias("_gy")).drop("_o")
+
+
+def _levels_up(metric: str):
+    """Levels from the one with k stops around to the one whose neighbouring cells hold the k nearest."""
+    if metric == "metres":
+        shrink = F.greatest(F.cos(F.radians(F.least(F.abs("lat") + 1.0, F.lit(90.0)))), F.lit(1e-6))
+        return F.ceil(F.log2(F.lit(_REACH * _DEGREE_MOST / _DEGREE_LEAST) / shrink)).cast("int")
+    return F.lit(math.ceil(math.log2(_REACH)))
+
+
+def start_levels(points: DataFrame, cells: DataFrame, side: float, top: int, k: int) -> DataFrame:
+    """(_row, _start): the lowest level at which the nine cells around a point hold k stops; none if no level does.
+
+    ``cells`` has one row for each stop and level.  Full neighbourhoods are summed on the
+    side of the stops, so a point meets at most one row a level.
+    """
+    counts = cells.groupBy("route_id", "_level", "_gx", "_gy").agg(F.count(F.lit(1)).alias("n"))
+    full = (_around(counts.withColumnRenamed("_gx", "_x").withColumnRenamed("_gy", "_y"), F.col("_x"), F.col("_y"))
+            .groupBy("route_id", "_level", "_gx", "_gy").agg(F.sum("n").alias("n")).where(F.col("n") >= k).drop("n"))
+    tries = points.select("_row", "route_id", "lon", "lat", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_level"))
+    tries = tries.withColumn("_gx", _cell("lon", side, F.col("_level"))).withColumn("_gy", _cell("lat", side, F.col("_level")))
+    return tries.join(full, ["route_id", "_level", "_gx", "_gy"]).groupBy("_row").agg(F.min("_level").alias("_start"))
 
 
 def nearest_stops(points: DataFrame, stops: DataFrame, k: int = 3, metric: str = "degrees") -> DataFrame:
@@ -54,53 +93,32 @@ def nearest_stops(points: DataFrame, stops: DataFrame, k: int = 3, metric: str =
     Adds stop_rank (1..k), stop_id, stop_name, stop_seq, stop_lon, stop_lat,
     distance_raw_m.  Points on a route without stops disappear (inner join).
     """
-    hop, extent = cell_degrees(stops)
-    side = k * hop
-    st = stops.select("route_id", F.col("seq").alias("stop_seq"), "stop_id", F.col("name").alias("stop_name"),
-                      F.col("lon").alias("stop_lon"), F.col("lat").alias("stop_lat"))
-    open_ = materialise(points.withColumn("_row", F.monotonically_increasing_id()), "nearest-points")
-    done = None
-    while True:
-        last = side > 2 * extent
-        found = materialise(_within(open_, st, side, k, metric, points.columns, last), "nearest-found")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            break
-        open_ = materialise(open_.join(found.select("_row").distinct(), "_row", "left_anti"), "nearest-open")
-        if open_.isEmpty():
-            break
-        side *= 4
-    a = geo.add_utm(geo.add_utm(done, "lon", "lat", "_ux", "_uy"), "stop_lon", "stop_lat", "_sx", "_sy")
-    distance = geo.geodesic_m(F.col("_ux"), F.col("_uy"), F.col("lat"), F.col("_sx"), F.col("_sy"), F.col("stop_lat"))
-    return a.select(*points.columns, "stop_rank", "stop_id", "stop_name", "stop_seq", "stop_lon", "stop_lat",
-                    distance.alias("distance_raw_m"))
-
-
-def _within(points: DataFrame, st: DataFrame, side: float, k: int, metric: str, columns: list[str], last: bool) -> DataFrame:
-    """The k nearest stops of the points that have k within one cell side (of all points if ``last``)."""
-    cell = lambda c: F.floor(F.col(c) / side)
-    if last:
-        pairs = points.join(st, "route_id")
-    else:
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        p = points.select("*", around.alias("_o")).select(
-            *points.columns, (cell("lon") + F.col("_o.i")).alias("_gx"), (cell("lat") + F.col("_o.j")).alias("_gy"))
-        pairs = p.join(st.withColumn("_gx", cell("stop_lon")).withColumn("_gy", cell("stop_lat")), ["route_id", "_gx", "_gy"])
+    located = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    at = materialise(points.where(located).withColumn("_row", F.monotonically_increasing_id()), "nearest-points")
+    stops = stops.where(located)
+    side, top = ladder(at, stops)
+    level = F.col("_level")
+    cells = (stops.select("route_id", F.col("seq").alias("stop_seq"), "stop_id", F.col("name").alias("stop_name"),
+                          F.col("lon").alias("stop_lon"), F.col("lat").alias("stop_lat"),
+                          F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_level"))
+             .withColumn("_gx", _cell("stop_lon", side, level)).withColumn("_gy", _cell("stop_lat", side, level)))
+    begun = at.join(start_levels(at, cells, side, top, k), "_row", "left")
+    begun = begun.withColumn("_level", F.least(F.coalesce(F.col("_start") + _levels_up(metric), F.lit(top)), F.lit(top)))
+    near = _around(begun, _cell("lon", side, level), _cell("lat", side, level))
+    pairs = near.join(cells, ["route_id", "_level", "_gx", "_gy"])
     if metric == "metres":
         ux, uy = geo.to_utm(F.col("lon"), F.col("lat"))
         sx, sy = geo.to_utm(F.col("stop_lon"), F.col("stop_lat"))
         d = geo.geodesic_m(ux, uy, F.col("lat"), sx, sy, F.col("stop_lat"))
     else:
         d = geo.degree_distance(F.col("lon"), F.col("lat"), F.col("stop_lon"), F.col("stop_lat"))
-    pairs = pairs.withColumn("_d", d)
-    if not last:
-        pairs = pairs.where(F.col("_d") * _degrees_apart(metric, F.col("lat")) <= side)
     order = Window.partitionBy("_row").orderBy("_d", "stop_seq", "stop_id")
-    ranked = pairs.withColumn("stop_rank", F.row_number().over(order)).where(F.col("stop_rank") <= k)
-    if not last:
-        ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_row"))).where(F.col("_n") >= k)
-    return ranked.select("_row", *columns, F.col("stop_rank").cast("int").alias("stop_rank"),
-                         "stop_id", "stop_name", "stop_seq", "stop_lon", "stop_lat")
+    ranked = (pairs.withColumn("_d", d).withColumn("stop_rank", F.row_number().over(order).cast("int"))
+              .where(F.col("stop_rank") <= k))
+    a = geo.add_utm(geo.add_utm(ranked, "lon", "lat", "_ux", "_uy"), "stop_lon", "stop_lat", "_sx", "_sy")
+    distance = geo.geodesic_m(F.col("_ux"), F.col("_uy"), F.col("lat"), F.col("_sx"), F.col("_sy"), F.col("stop_lat"))
+    return a.select(*points.columns, "stop_rank", "stop_id", "stop_name", "stop_seq", "stop_lon", "stop_lat",
+                    distance.alias("distance_raw_m"))
 
 
 def nearest_of_point(stops: DataFrame, lon0: float, lat0: float, k: int = 5) -> DataFrame:
