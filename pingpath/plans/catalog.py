@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pingpath.functions import geo
-from pingpath.operators import cluster, dims, live, nearest, quality, stats
+from pingpath.operators import cluster, dims, live, nearest, quality, sessions, stats
 from pingpath.operators import ingest as ing
 from pingpath.operators import traces as tr
 from pingpath.plans import oracle as O
@@ -411,7 +411,18 @@ def q_audit_stamps(spark, sf_dir):
     return stamped.unionByName(untouched).select("code", "name", "created_at", "updated_at")
 
 
+def q_sessions_by_route(spark, sf_dir):
+    """Distinct sessions a route from its daily sketches, held against the exact count."""
+    pings = inputs(spark, sf_dir).pings
+    daily = materialise(sessions.daily_sketches(pings), "session-sketches")
+    merged = sessions.distinct_sessions(sessions.merge(daily, "route_id"))
+    exact = pings.groupBy("route_id").agg(F.countDistinct("session_hash").alias("exact_sessions"))
+    near = F.abs(F.col("sessions") - F.col("exact_sessions")) <= 0.03 * F.col("exact_sessions")
+    return merged.join(exact, "route_id").select("route_id", "pings", "exact_sessions", near.alias("within_3_percent"))
+
+
 QUERIES = {
+    "sessions_by_route": q_sessions_by_route,
     "route_status": q_route_status,
     "units": q_units,
     "noise": q_noise,
@@ -726,6 +737,9 @@ SELECT stop_id, route_id, name, seq, {O.R6('lon')} AS lon, {O.R6('lat')} AS lat
 SELECT ping_id, reject_reason FROM cls""",
     "stream_ingested": O.with_ctes(*_BASE) + """
 SELECT ping_id, session_hash, code, lon, lat, ts, reject_reason FROM cls""",
+    "sessions_by_route": O.with_ctes(*_BASE) + """
+SELECT route_id, count(*) AS pings, count(DISTINCT session_hash) AS exact_sessions, true AS within_3_percent
+FROM pings_d GROUP BY route_id""",
     "stream_counts": O.with_ctes(*_BASE) + """
 SELECT s AS window_start_s, route_id, count(*) AS pings FROM (
   SELECT route_id, unnest(range((CAST(epoch_us(ts) AS BIGINT) // 30000000) * 30 - 90, (CAST(epoch_us(ts) AS BIGINT) // 30000000) * 30 + 30, 30)) AS s FROM pings_d)
