@@ -8,13 +8,17 @@
    wide.  Sketches are plain counts: they merge by addition, exactly and in any
    order, and a group has some 400 buckets a measure however many rows it has.
    Only documents that pass the base rules enter.
-3. Sketches of (language, source) merge into sketches of the language and of
-   everything.  A group of fewer than ``min_docs`` documents takes the fences of
-   its language, or of everything.
-4. A fence is the upper quartile plus ``reach`` interquartile ranges, or plus the
-   rate's ``slack`` where that is more (a rate that is zero for most documents has
-   no range); the mean word length also has a lower one.  The fences are joined to
-   the measures; a document beyond a fence is not kept.
+3. Every (language, source) blends its own sketch with those of its language and of
+   everything, which weigh as much as ``prior`` documents together, half each: a
+   small group mostly follows the wider ones, a large one follows itself, and no
+   group size switches between them.  Weights are whole millionths of a document.
+4. A fence is the blend's upper quartile plus the widest of ``reach`` interquartile
+   ranges, twice the way from there to the 90th percentile (what a rate has that is
+   zero for most documents) and the rate's ``slack`` (what it has where even that is
+   zero); the mean word length also has a lower one.  The two rates of repetition
+   leave out what a text of any length may repeat (``SPARED``), so that one passage
+   told twice in a short text is no repetition.  The fences are joined to the
+   measures; a document beyond a fence is not kept.
 
 The join is on (language, source): the plan broadcasts the fences while they are
 small and otherwise splits the skewed source, both by measured size.
@@ -37,15 +41,21 @@ from pingpath.llm.common import SLICE_BYTES, staged
 from pingpath.llm.text_measures import NAMES, measures
 from pingpath.llm.wordtable import slices
 
+#: Words in repeated windows, and repeated lines, that any text may hold (a passage of 50 words told twice; four lines).
+SPARED = {"n_repeat_words": 100, "n_dup_lines": 4}
+
 #: rate: (numerator, denominator, factor, slack, has a lower fence)
 RATES = {
     "symbols": ("n_symbols", "word_chars", 10_000, 200, False),
     "marks": ("n_marks", "word_chars", 10_000, 200, False),
     "word_length": ("word_chars", "n_words", 100, 100, True),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 4_000, False),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 4_800, False),
+    "dup_lines": (f"greatest(n_dup_lines - {SPARED['n_dup_lines']}, 0)", "n_lines", 10_000, 1_000, False),
+    "repeats": (f"greatest(n_repeat_words - {SPARED['n_repeat_words']}, 0)", "n_words", 10_000, 1_000, False),
 }
 
+#: Weight of one document in a blend.
+UNIT = 1_000_000
+
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the measures of each text, staged."""
@@ -86,41 +96,48 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], reach: int, name: str) -> DataFrame:
-    """One row per group: documents and the fences of every rate, prefixed by ``name``."""
-    group = Window.partitionBy(*keys, "rate")
-    q = (sketch.withColumn("total", F.sum("n").over(group))
-         .withColumn("upto", F.sum("n").over(group.orderBy("bucket")))
-         .groupBy(*keys, "rate").agg(
-             F.max("total").alias("total"),
-             F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
-             F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3")))
+def blended(own: DataFrame, prior: int) -> DataFrame:
+    """(lang, source, rate, bucket, weight): each group's sketch plus ``prior`` documents' worth of the wider ones."""
+    half = prior * UNIT // 2
+    groups = own.select("lang", "source", "rate").distinct()
+
+    def shares(keys: list[str]) -> DataFrame:
+        total = F.sum("n").over(Window.partitionBy(*keys, "rate"))
+        return (merge(own, keys).withColumn("total", total)
+                .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("rate").alias("_rate"), "bucket",
+                        F.expr(f"({half} * n) div total").alias("weight")))
+
+    of_lang, of_all = shares(["lang"]), F.broadcast(shares([]))  # at most some thousand buckets a rate, whatever the rows
+    cols = ["lang", "source", "rate", "bucket", "weight"]
+    parts = [own.withColumn("weight", F.col("n") * UNIT),
+             groups.join(of_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rate") == F.col("_rate"))),
+             groups.join(of_all, F.col("rate") == F.col("_rate"))]
+    return (reduce(DataFrame.unionByName, [p.select(*cols) for p in parts])
+            .groupBy("lang", "source", "rate", "bucket").agg(F.sum("weight").alias("weight")))
+
+
+def fences(blend: DataFrame, reach: int) -> DataFrame:
+    """One row per (lang, source), as ``_lang`` and ``_source``: the fences of every rate."""
+    group = Window.partitionBy("lang", "source", "rate")
+    at = lambda part, of: F.min(F.when(of * F.col("upto") >= part * F.col("total"), F.col("bucket")))
+    q = (blend.withColumn("total", F.sum("weight").over(group))
+         .withColumn("upto", F.sum("weight").over(group.orderBy("bucket")))
+         .groupBy("lang", "source", "rate").agg(at(1, 4).alias("q1"), at(3, 4).alias("q3"), at(9, 10).alias("q90")))
     out = []
     for r, (_, _, _, slack, low) in RATES.items():
-        width = F.greatest(reach * (F.col("q3") - F.col("q1")), F.lit(slack))
-        out.append(F.max(F.when(F.col("rate") == r, F.col("q3") + width)).alias(f"{name}_{r}_high"))
+        spread = reach * (F.col("q3") - F.col("q1"))
+        high = F.col("q3") + F.greatest(spread, 2 * (F.col("q90") - F.col("q3")), F.lit(slack))
+        out.append(F.max(F.when(F.col("rate") == r, high)).alias(f"{r}_high"))
         if low:
-            out.append(F.max(F.when(F.col("rate") == r, F.col("q1") - width)).alias(f"{name}_{r}_low"))
-    return q.groupBy(*keys).agg(F.max("total").alias(f"{name}_docs"), *out)
+            out.append(F.max(F.when(F.col("rate") == r, F.col("q1") - F.greatest(spread, F.lit(slack)))).alias(f"{r}_low"))
+    return q.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*out)
 
 
-def judge(docs: DataFrame, reach: int = 8, min_docs: int = 200) -> DataFrame:
+def judge(docs: DataFrame, reach: int = 8, prior: int = 50) -> DataFrame:
     """doc_id, the measures, base_failed and kept, one row per document row."""
     m = measured(docs)
-    own = sketches(m)
-    groups = fences(own, ["lang", "source"], reach, "own")
-    by_lang = fences(merge(own, ["lang"]), ["lang"], reach, "lang").withColumnRenamed("lang", "_lang")
-    overall = fences(merge(own.withColumn("_all", F.lit(1)), ["_all"]), ["_all"], reach, "all")
-    wide = (groups.join(by_lang, groups["lang"].eqNullSafe(by_lang["_lang"]), "left")
-            .withColumn("_all", F.lit(1)).join(overall, "_all", "left"))
-
-    def fence(r: str, end: str) -> Column:
-        return (F.when(F.col("own_docs") >= min_docs, F.col(f"own_{r}_{end}"))
-                .when(F.col("lang_docs") >= min_docs, F.col(f"lang_{r}_{end}"))
-                .otherwise(F.col(f"all_{r}_{end}")).alias(f"{r}_{end}"))
-
-    limits = wide.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-                         *[fence(r, "high") for r in RATES], *[fence(r, "low") for r in RATES if RATES[r][4]])
+    own = staged(sketches(m), "sketches")
+    limits = fences(blended(own, prior), reach)
     joined = m.join(limits, m["lang"].eqNullSafe(limits["_lang"]) & m["source"].eqNullSafe(limits["_source"]), "left")
     beyond = [_rate(r) > F.col(f"{r}_high") for r in RATES] + [_rate(r) < F.col(f"{r}_low") for r in RATES if RATES[r][4]]
     verdict = ~reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in beyond])
@@ -128,31 +145,26 @@ def judge(docs: DataFrame, reach: int = 8, min_docs: int = 200) -> DataFrame:
                          (~F.col("base_failed") & verdict).alias("kept"))
 
 
-def _oracle(reach: int = 8, min_docs: int = 200) -> str:
+def _oracle(reach: int = 8, prior: int = 50) -> str:
     rates = {r: f"(({v[2]} * {v[0]}) // greatest({v[1]}, 1))" for r, v in RATES.items()}
     buckets = " UNION ALL ".join(
         f"SELECT lang, source, '{r}' AS rate, ((v >> s) << s) AS bucket FROM (SELECT lang, source, {e} AS v, "
         f"CAST(greatest(length(bin({e})) - 7, 0) AS BIGINT) AS s FROM m WHERE NOT base_failed)" for r, e in rates.items())
 
     def fence(r: str, end: str) -> str:
-        width = f"greatest({reach} * (q3 - q1), {RATES[r][3]})"
-        value = f"q3 + {width}" if end == "high" else f"q1 - {width}"
+        spread, slack = f"{reach} * (q3 - q1)", RATES[r][3]
+        value = f"q3 + greatest({spread}, 2 * (q90 - q3), {slack})" if end == "high" else f"q1 - greatest({spread}, {slack})"
         return f"max({value}) FILTER (rate = '{r}') AS {r}_{end}"
 
     ends = [(r, "high") for r in RATES] + [(r, "low") for r in RATES if RATES[r][4]]
     cols = ", ".join(fence(r, e) for r, e in ends)
+    half = prior * UNIT // 2
+
+    def shares(keys: str) -> str:
+        return (f"SELECT {keys} rate, bucket, ({half} * n) // sum(n) OVER (PARTITION BY {keys} rate) AS weight "
+                f"FROM (SELECT {keys} rate, bucket, count(*) AS n FROM b GROUP BY ALL)")
 
-    def level(keys: str) -> str:
-        k = f"{keys}, " if keys else ""
-        by = f"GROUP BY {keys}" if keys else ""
-        return (f"SELECT {k} max(total) AS docs, {cols} FROM (SELECT {k} rate, max(total) AS total, "
-                f"min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM "
-                f"(SELECT {k} rate, bucket, sum(n) OVER (PARTITION BY {k} rate) AS total, "
-                f"sum(n) OVER (PARTITION BY {k} rate ORDER BY bucket) AS upto FROM "
-                f"(SELECT {k} rate, bucket, count(*) AS n FROM b GROUP BY ALL)) GROUP BY {k} rate) {by}")
-
-    pick = {(r, e): f"CASE WHEN o.docs >= {min_docs} THEN o.{r}_{e} WHEN l.docs >= {min_docs} THEN l.{r}_{e} ELSE a.{r}_{e} END"
-            for r, e in ends}
+    pick = {(r, e): f"o.{r}_{e}" for r, e in ends}
     beyond = " OR ".join(f"coalesce({rates[r]} {'>' if e == 'high' else '<'} {pick[r, e]}, false)" for r, e in ends)
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
@@ -174,11 +186,20 @@ m0 AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
        FROM d LEFT JOIN rw ON d.doc_id = rw.doc_id LEFT JOIN ln ON d.doc_id = ln.doc_id),
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m0),
 b AS ({buckets}),
-o AS ({level('lang, source')}), l AS ({level('lang')}), a AS ({level('')})
+g AS (SELECT DISTINCT lang, source, rate FROM b),
+bl AS (SELECT lang, source, rate, bucket, sum(weight) AS weight FROM (
+         SELECT lang, source, rate, bucket, count(*) * {UNIT} AS weight FROM b GROUP BY ALL
+         UNION ALL SELECT g.lang, g.source, g.rate, l.bucket, l.weight FROM g JOIN ({shares('lang,')}) l
+                   ON g.lang IS NOT DISTINCT FROM l.lang AND g.rate = l.rate
+         UNION ALL SELECT g.lang, g.source, g.rate, a.bucket, a.weight FROM g JOIN ({shares('')}) a ON g.rate = a.rate) GROUP BY ALL),
+q AS (SELECT lang, source, rate, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3,
+             min(bucket) FILTER (10 * upto >= 9 * total) AS q90
+      FROM (SELECT *, sum(weight) OVER (PARTITION BY lang, source, rate) AS total,
+                   sum(weight) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS upto FROM bl) GROUP BY ALL),
+o AS (SELECT lang, source, {cols} FROM q GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT ({beyond}) AS kept
 FROM m LEFT JOIN o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source
-LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang LEFT JOIN a ON true
 """
 
 
