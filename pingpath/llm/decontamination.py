@@ -8,14 +8,15 @@ words and a block is two words (one, for one-word patterns):
   search may move when it ends on that block; a block in no pattern moves it by
   m - 1, so most positions of a clean document are never looked at;
 * where the shift is zero the last block selects a bucket of patterns (its
-  suffix bucket);
+  suffix bucket), in which those with the hash of the words seen are looked up;
 * a direct comparison of the words confirms each occurrence.
 
 Patterns of one length share a machine, so short items do not shorten the shifts
-of the long windows.
+of the long windows.  A pattern is the number of its first word in the words of all
+items, the tables are arrays: some 40 bytes a benchmark word.
 
 The benchmark is read in blocks of at most ``block_words`` words, each compiled
-in the tasks from a broadcast of that bounded size; every block searches all
+once in a Python worker from a broadcast of that bounded size; every block searches all
 documents, and the per-document results of the blocks are merged by position,
 so the benchmark may be of any size.
 
@@ -29,8 +30,8 @@ columns cannot clash.  With an empty benchmark nothing is hit.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,61 +50,160 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+#: Multiplier of word hashes; all hash arithmetic is modulo 2**64.
+_MULT = 0x9E3779B97F4A7C15
+_ALL = 2**64 - 1
+#: Least and most slots of a shift table, as powers of two.
+_SLOTS = (18, 24)
+
+
+class Words:
+    """The words of many items: one byte string, where each word begins, and the hash of each (this process's ``hash``)."""
+
+    def __init__(self, items: Iterable[list[bytes]]):
+        texts, sizes, hashes = [], [], []
+        for words in items:
+            texts.append(b" ".join(words) + b" ")
+            sizes.append(np.fromiter((len(w) + 1 for w in words), np.int32, len(words)))
+            hashes.append(np.fromiter((hash(w) for w in words), np.int64, len(words)))
+        self.text = b"".join(texts)
+        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
+        self.first = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=self.first[1:])
+        self.hashes = np.concatenate(hashes).view(np.uint64) if hashes else np.zeros(0, np.uint64)
+
+    def joined(self, start: int, m: int) -> bytes:
+        return self.text[self.first[start]:self.first[start + m] - 1]
+
+
 class WuManber:
     """Search for word patterns that all have the same length m."""
 
     def __init__(self, patterns: Iterable[tuple[bytes, ...]], m: int):
-        self.m, self.block = m, 2 if m > 1 else 1
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, list[tuple]] = defaultdict(list)
-        for p in patterns:
-            for end in range(self.block, m + 1):
-                key = p[end - self.block:end]
-                self.shift[key] = min(self.shift.get(key, m), m - end)
-            self.bucket[p[m - self.block:]].append(p)
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple]]:
-        """(start, pattern) of every occurrence."""
-        m, block, shift, skip = self.m, self.block, self.shift.get, self.m - self.block + 1
+        patterns = list(patterns)
+        self._compile(Words(patterns), np.arange(len(patterns), dtype=np.int64) * m, m)
+
+    @classmethod
+    def over(cls, words: Words, starts: np.ndarray, m: int) -> WuManber:
+        """The patterns are the m words from each of ``starts`` on."""
+        machine = cls.__new__(cls)
+        machine._compile(words, starts, m)
+        return machine
+
+    def _compile(self, words: Words, starts: np.ndarray, m: int) -> None:
+        self.words, self.m, self.block = words, m, 2 if m > 1 else 1
+        low, high = _SLOTS
+        self.mask = 2 ** min(max((8 * len(starts)).bit_length(), low), high) - 1
+        shift = np.full(self.mask + 1, m - self.block + 1, np.uint8 if m < 256 else np.uint32)
+        for end in range(self.block, m + 1):  # later ends mean shorter shifts, so the last one written is the least
+            shift[self._slots(starts + end)] = m - end
+        self._shift = memoryview(shift)
+        key = np.zeros(len(starts), np.uint64)
+        for i in range(m):
+            key = key * np.uint64(_MULT) + words.hashes[starts + i]
+        slot = self._slots(starts + m)
+        order = np.lexsort((key, slot))
+        self.bucket, self.keys, self.starts = slot[order], key[order], starts[order].astype(np.int32)
+
+    def _slots(self, ends: np.ndarray) -> np.ndarray:
+        h = self.words.hashes
+        value = h[ends - 1] if self.block == 1 else h[ends - 2] * np.uint64(_MULT) + h[ends - 1]
+        return (value & np.uint64(self.mask)).astype(np.int32)
+
+    @property
+    def shift(self) -> dict[tuple, int]:
+        """The shift of every block of the patterns (the least one, where blocks share a slot)."""
+        out = {}
+        for start in self.starts.tolist():
+            for end in range(self.block, self.m + 1):
+                block = tuple(self.words.joined(start + end - self.block, self.block).split(b" "))
+                out[block] = self._shift[self._slots(np.array([start + end]))[0]]
+        return out
+
+    def hits(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+        """(position, first words of the patterns that occur there)."""
+        m, two, shift, mask = self.m, self.block == 2, self._shift, self.mask
         at, n = m, len(words)
         while at <= n:
-            key = tuple(words[at - block:at])
-            s = shift(key, skip)
+            value = hash(words[at - 1])
+            if two:
+                value += _MULT * hash(words[at - 2])
+            slot = value & mask
+            s = shift[slot]
             if s:
                 at += s
                 continue
-            seen = tuple(words[at - m:at])
-            for p in self.bucket[key]:
-                if p == seen:
-                    yield at - m, p
+            found = self._select(slot, words[at - m:at])
+            if found:
+                yield at - m, found
             at += 1
 
+    def _select(self, slot: int, seen: list[bytes]) -> list[int]:
+        a, b = np.searchsorted(self.bucket, (slot, slot + 1))
+        if a == b:
+            return []
+        key = 0
+        for w in seen:
+            key = (key * _MULT + hash(w)) & _ALL
+        bucket = self.keys[a:b]
+        key = np.uint64(key)
+        c, d = np.searchsorted(bucket, key), np.searchsorted(bucket, key, "right")
+        joined = b" ".join(seen)
+        return [s for s in self.starts[a + c:a + d].tolist() if self.words.joined(s, self.m) == joined]
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple]]:
+        """(start, pattern) of every occurrence."""
+        for at, starts in self.hits(words):
+            for _ in starts:
+                yield at, tuple(words[at:at + self.m])
+
 
 class Benchmark:
-    """Machines, one per pattern length, and the items that hold each pattern."""
+    """Machines, one per pattern length, and the item of each benchmark word."""
 
     def __init__(self, items: Iterable[tuple[object, bytes]], window: int):
-        self.items: dict[tuple, set] = defaultdict(set)
-        for item_id, text in items:
-            w = split_words(text)
-            if len(w) >= window:
-                for i in range(len(w) - window + 1):
-                    self.items[tuple(w[i:i + window])].add(item_id)
-            elif w:
-                self.items[tuple(w)].add(item_id)
-        by_length = defaultdict(list)
-        for p in self.items:
-            by_length[len(p)].append(p)
-        self.machines = [WuManber(ps, m) for m, ps in sorted(by_length.items())]
+        self.ids: list = []
+        sizes: list[int] = []
+
+        def split() -> Iterator[list[bytes]]:
+            for item_id, text in items:
+                w = split_words(text)
+                if w:
+                    self.ids.append(item_id)
+                    sizes.append(len(w))
+                    yield w
+
+        words = Words(split())
+        size = np.array(sizes, np.int64)
+        begins = np.cumsum(size) - size
+        self.item = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.machines = []
+        for m in sorted({min(n, window) for n in sizes}):
+            of_length = np.minimum(size, window) == m
+            count = size[of_length] - m + 1  # windows of each item
+            starts = np.repeat(begins[of_length] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            self.machines.append(WuManber.over(words, starts, m))
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Hit intervals [from, to) and the ids of the items that occur."""
         spans, found = [], set()
         for machine in self.machines:
-            for start, p in machine.find(words):
-                spans.append((start, start + machine.m))
-                found |= self.items[p]
-        return merge(spans), found
+            for at, starts in machine.hits(words):
+                spans.append((at, at + machine.m))
+                found.update(self.item[starts].tolist())
+        return merge(spans), {self.ids[i] for i in found}
+
+
+#: The machine of the block that this worker searches.
+_BUILT: dict[str, Benchmark] = {}
+
+
+def _machine(block: str, items: Callable[[], list[tuple]], window: int) -> Benchmark:
+    """The compiled block, built once in a worker whatever number of tasks it runs."""
+    if block not in _BUILT:
+        _BUILT.clear()
+        _BUILT[block] = Benchmark(items(), window)
+    return _BUILT[block]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -136,10 +236,10 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple]]:
 
 
 def _search_block(docs: DataFrame, block: list[tuple], window: int, spans: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Benchmark(shared.value, window)
+        machine = _machine(name, lambda: shared.value, window)
         for batch in batches:
             texts = as_strings(batch.column("text")).cast(pa.binary())
             rows = []
@@ -209,10 +309,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def _without_hits(docs: DataFrame, block: list[tuple], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Benchmark(shared.value, window)
+        machine = _machine(name, lambda: shared.value, window)
         for batch in batches:
             texts = as_strings(batch.column("text")).cast(pa.binary())
             yield batch.filter(pa.array([not machine.search(split_words(t.as_py()))[0] for t in texts], pa.bool_()))

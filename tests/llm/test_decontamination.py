@@ -78,3 +78,37 @@ def test_wu_manber_finds_all_and_skips():
     assert found == sorted((i, tuple(text[i:i + 4])) for i in range(len(text) - 3) if tuple(text[i:i + 4]) in patterns)
     machine = WuManber([tuple(b"p%d" % i for i in range(10))], 10)
     assert machine.shift == {(b"p%d" % i, b"p%d" % (i + 1)): 8 - i for i in range(9)}
+
+
+def test_shared_tables_and_sparse_slots(monkeypatch):
+    """A table of four slots, where nearly every block collides, changes no result."""
+    monkeypatch.setattr(decontamination, "_SLOTS", (2, 2))
+    rng = random.Random(17)
+    word = lambda: rng.choice([b"a", b"b", b"c", b"dd"])
+    for m in (1, 2, 3, 7):
+        patterns = {tuple(word() for _ in range(m)) for _ in range(9)}
+        text = [word() for _ in range(800)]
+        assert sorted(WuManber(patterns, m).find(text)) == [
+            (i, tuple(text[i:i + m])) for i in range(len(text) - m + 1) if tuple(text[i:i + m]) in patterns]
+
+
+def test_a_worker_compiles_a_block_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(decontamination, "_BUILT", {})
+    for name in ("a", "a", "b", "b"):
+        decontamination._machine(name, lambda: built.append(1) or [(1, b"some words")], 10)
+    assert len(built) == 2 and list(decontamination._BUILT) == ["b"]
+
+
+def test_a_full_block_stays_small():
+    """A million benchmark words take under 100 MB and are all found again."""
+    import tracemalloc
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(500)).encode()) for i in range(2_000)]
+    tracemalloc.start()
+    machine = decontamination.Benchmark(items, 10)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size < 100e6
+    spans, found = machine.search(b"x y z".split() + decontamination.split_words(items[77][1])[100:130] + [b"x"] * 50)
+    assert spans == [(3, 33)] and found == {77}
