@@ -18,10 +18,11 @@ one task.
 All steps are DataFrame operations.  Texts are read to count words and not shuffled.
 
 Defined cases: null domains, languages and sources are leaves like any other; null
-and empty texts have no tokens and are taken where their order comes; rows that
+and empty texts have no tokens and are taken where their order comes, but a leaf with
+no token at all supplies nothing and is never taken, whatever the budget; rows that
 repeat a doc_id are counted and taken each; documents with a null id come first of
 their range; a weight that is missing is 1, one of 0 or less gets no share; a budget
-over the supply takes all; an empty table gives an empty result; extra columns are
+over the supply takes every leaf with tokens whole; an empty table gives an empty result; extra columns are
 not read.
 """
 

@@ -110,3 +110,10 @@ def test_kept_documents_keep_their_columns(spark):
     kept = mixing.keep_mixed(docs, budget_share=0.8)
     want, _ = brute(rows, domain_map(spark, rows), 0.8, 1, 17, mixing.WEIGHTS)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in want)
+
+
+def test_a_leaf_without_tokens_is_never_taken(spark):
+    """Empty texts come with their leaf's others; a leaf of empty texts alone supplies nothing."""
+    rows = [(1, "a b c", "en", "s", 5), (2, "", "en", "s", 0), (3, None, "en", "s", 0), (4, "", "en", "only empty", 0)]
+    taken = {r["doc_id"] for r in mixing.mix(frame(spark, rows), budget_share=5.0, epochs=1).collect()}
+    assert taken == {1, 2, 3}
