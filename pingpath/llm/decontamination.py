@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -50,11 +51,11 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-#: Multiplier of word hashes; all hash arithmetic is modulo 2**64.
+#: Multiplier of the hash of a pattern's words, modulo 2**64.
 _MULT = 0x9E3779B97F4A7C15
 _ALL = 2**64 - 1
 #: Least and most slots of a shift table, as powers of two.
-_SLOTS = (18, 24)
+_SLOTS = (20, 24)
 
 
 class Words:
@@ -103,12 +104,13 @@ class WuManber:
             key = key * np.uint64(_MULT) + words.hashes[starts + i]
         slot = self._slots(starts + m)
         order = np.lexsort((key, slot))
-        self.bucket, self.keys, self.starts = slot[order], key[order], starts[order].astype(np.int32)
+        self.bucket, self.keys = memoryview(slot[order]), memoryview(key[order])
+        self.starts = starts[order].astype(np.int32)
 
     def _slots(self, ends: np.ndarray) -> np.ndarray:
-        h = self.words.hashes
-        value = h[ends - 1] if self.block == 1 else h[ends - 2] * np.uint64(_MULT) + h[ends - 1]
-        return (value & np.uint64(self.mask)).astype(np.int32)
+        h = self.words.hashes.view(np.int64)  # Python's own hash, so that >> keeps the sign on both sides
+        value = h[ends - 1] if self.block == 1 else (h[ends - 2] >> 20) ^ h[ends - 1]
+        return (value & self.mask).astype(np.int32)
 
     @property
     def shift(self) -> dict[tuple, int]:
@@ -125,10 +127,7 @@ class WuManber:
         m, two, shift, mask = self.m, self.block == 2, self._shift, self.mask
         at, n = m, len(words)
         while at <= n:
-            value = hash(words[at - 1])
-            if two:
-                value += _MULT * hash(words[at - 2])
-            slot = value & mask
+            slot = ((hash(words[at - 2]) >> 20) ^ hash(words[at - 1]) if two else hash(words[at - 1])) & mask
             s = shift[slot]
             if s:
                 at += s
@@ -139,17 +138,19 @@ class WuManber:
             at += 1
 
     def _select(self, slot: int, seen: list[bytes]) -> list[int]:
-        a, b = np.searchsorted(self.bucket, (slot, slot + 1))
+        a = bisect_left(self.bucket, slot)
+        b = bisect_right(self.bucket, slot, a)
         if a == b:
             return []
         key = 0
         for w in seen:
             key = (key * _MULT + hash(w)) & _ALL
-        bucket = self.keys[a:b]
-        key = np.uint64(key)
-        c, d = np.searchsorted(bucket, key), np.searchsorted(bucket, key, "right")
+        a = bisect_left(self.keys, key, a, b)
+        b = bisect_right(self.keys, key, a, b)
+        if a == b:
+            return []
         joined = b" ".join(seen)
-        return [s for s in self.starts[a + c:a + d].tolist() if self.words.joined(s, self.m) == joined]
+        return [s for s in self.starts[a:b].tolist() if self.words.joined(s, self.m) == joined]
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple]]:
         """(start, pattern) of every occurrence."""
