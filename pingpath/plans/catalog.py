@@ -24,6 +24,7 @@ from pingpath.session import ensure_checkpoint_dir, materialise
 from pingpath.sources import driver
 from pingpath.sources.tables import PING_COLUMNS, STORE, read_pings, read_stops, write_pings, write_stops
 from pingpath.streaming import live_stream as stream
+from pingpath.streaming import unit_refresh
 
 P = driver.DRIVER_PARAMS
 
@@ -195,6 +196,22 @@ def q_stream_counts(spark, sf_dir):
         F.unix_seconds("window_start").alias("window_start_s"), "route_id", "pings")
 
 
+def q_stream_units(spark, sf_dir):
+    """The stored pings as a stream of four triggers, the last three of four hours each: the units after the last of them."""
+    i = inputs(spark, sf_dir)
+    root = new_folder(spark, "live-units")
+    body = unit_refresh.refresh_changed_units(spark, f"{root}/state", i.routes, P)
+    newest = i.pings.agg(F.max("ts")).first()[0]
+    age = F.timestamp_diff("SECOND", F.col("ts"), F.lit(newest)) if newest else F.lit(0)
+    pings = i.pings.select(*STORE.fieldNames())
+    for k in range(4):  # slice 0 is all that is older than twelve hours
+        part = pings.where(F.greatest(F.lit(0), 3 - F.floor(age / 14_400)) == k)
+        part.write.mode("append").parquet(f"{root}/pings")
+        _drain(spark.readStream.schema(STORE).parquet(f"{root}/pings"), body, f"{root}/progress", "append")
+    return unit_refresh.live_units(spark, f"{root}/state").select(
+        "route_id", "cluster_id", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), "report_count", "session_count", "last_ts")
+
+
 def _drain(df, body, progress: str, mode: str) -> None:
     q = (df.writeStream.outputMode(mode).foreachBatch(body).option("checkpointLocation", progress)
          .trigger(availableNow=True).start())
@@ -440,6 +457,7 @@ QUERIES = {
     "reload_unresolved": q_reload_unresolved,
     "stream_ingested": q_stream_ingested,
     "stream_counts": q_stream_counts,
+    "stream_units": q_stream_units,
     "dashboard": q_dashboard,
     "active_routes": q_active_routes,
     "routes_by_kind": q_routes_by_kind,
@@ -740,6 +758,9 @@ SELECT ping_id, session_hash, code, lon, lat, ts, reject_reason FROM cls""",
     "sessions_by_route": O.with_ctes(*_BASE) + """
 SELECT route_id, count(*) AS pings, count(DISTINCT session_hash) AS exact_sessions, true AS within_3_percent
 FROM pings_d GROUP BY route_id""",
+    "stream_units": O.with_ctes(O.DERIVED, O.SEGMENTS, O.INGEST, O.LIVE.replace(O.AS_OF, "(SELECT max(ts) FROM pings_d)"), _UNITS) + f"""
+SELECT route_id, cluster_id, {O.R6('lon')} AS lon, {O.R6('lat')} AS lat, report_count, session_count, last_ts
+FROM lv_units""",
     "stream_counts": O.with_ctes(*_BASE) + """
 SELECT s AS window_start_s, route_id, count(*) AS pings FROM (
   SELECT route_id, unnest(range((CAST(epoch_us(ts) AS BIGINT) // 30000000) * 30 - 90, (CAST(epoch_us(ts) AS BIGINT) // 30000000) * 30 + 30, 30)) AS s FROM pings_d)

@@ -95,7 +95,7 @@ def refresh_changed_units(spark: SparkSession, root: str, routes: DataFrame, par
         cells, units = _snapshot(spark, root, "cells", last, CELLS), _snapshot(spark, root, "units", last, UNITS)
         clock = None if last is None else units.agg(F.max("as_of")).first()[0]
         as_of = max((t for t in (clock, batch.agg(F.max("ts")).first()[0]) if t is not None), default=None)
-        if as_of is None:
+        if as_of is None or (as_of == clock and batch.isEmpty()):
             return
         lower = as_of - span
         rows = batch.where(F.col("ts") >= F.lit(lower)).dropna(subset=["ping_id", "lon", "lat"])

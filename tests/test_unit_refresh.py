@@ -67,7 +67,7 @@ def _got(spark, root):
     return sorted((r.route_id, r.cluster_id, r.report_count, r.session_count, r.label) for r in ur.live_units(spark, root).collect())
 
 
-@pytest.mark.parametrize("min_points,triggers", [(2, 20), (4, 6)])
+@pytest.mark.parametrize("min_points,triggers", [(2, 20), (4, 3)])
 def test_every_trigger_equals_the_whole_window(spark, tmp_path, min_points, triggers):
     rows = _walk(540, min_points)
     xy = {r.ping_id: (r.x, r.y) for r in geo.add_utm(_pings(spark, rows), "lon", "lat", "x", "y").collect()}
