@@ -125,33 +125,36 @@ def publish(spark: SparkSession, root: str, path: str) -> None:
     write_pings(stored_pings(spark, root), path, mode="overwrite")
 
 
+def decided_again(spark: SparkSession, root: str, new: DataFrame, batch_id: int, params: Params) -> DataFrame:
+    """The stored rows ``new`` of a batch and the older rows whose decision they can change, with their decisions."""
+    wait = int(round(params.rate_limit_s * 1_000_000))
+    stored = _versions(spark, f"{root}/checked", CHECKED)
+    nothing = F.lit(False)
+    touched, earlier = _touched(new), _touched(new, -(-wait // HOUR_US))
+    older = stored.where(touched if touched is not None else nothing).where(F.col("batch") < batch_id)
+    before = _versions(spark, f"{root}/classified", CLASSIFIED).where(earlier if earlier is not None else nothing)
+    us = epoch_micros(new, "ts")
+    since = (new.where(F.col("ts").isNotNull() & F.col("session_hash").isNotNull())
+             .groupBy(F.col("session_hash").alias("_s")).agg(F.min(us).alias("_from")))
+    again = older.join(since, (older["session_hash"] == F.col("_s")) & (epoch_micros(older, "ts") >= F.col("_from"))).drop("_s", "_from")
+    rows = materialise(once(new.unionByName(again).drop("batch", "class", "hour")), "stream-rows")
+    decided = _newest(before.where(F.col("batch") < batch_id), ["ping_id"], CLASSIFIED.fieldNames()).where(F.col("reject_reason").isNull())
+    at = epoch_micros(decided, "ts")
+    seeds = (decided.join(since, (decided["session_hash"] == F.col("_s")) & (at < F.col("_from")) & (at > F.col("_from") - wait))
+             .select(F.col("session_hash").alias("sid"), F.col("ping_id").alias("id"), at.alias("us"),
+                     F.lit(True).alias("payload_ok"), F.lit(True).alias("valid")))
+    decisions = materialise(decide(attempts_of(rows).unionByName(seeds), params.rate_limit_s), "stream-decisions")
+    return with_reason(rows, decisions)
+
+
 def ingest_body(spark: SparkSession, root: str, routes: DataFrame, stops: DataFrame, params: Params,
                 salts: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: store the attempts of a batch and every decision it changes."""
-    wait = int(round(params.rate_limit_s * 1_000_000))
-
     def body(batch: DataFrame, batch_id: int) -> None:
         checked, classified = f"{root}/checked", f"{root}/classified"
         _put(check(once(batch), routes, stops, params, salts), checked, batch_id, CHECKED, "ts", "session_hash")
-        stored = _versions(spark, checked, CHECKED)
-        new = stored.where(F.col("batch") == batch_id)
-        nothing = F.lit(False)
-        history = stored.where(_touched(new) if _touched(new) is not None else nothing)
-        earlier = _touched(new, -(-wait // HOUR_US))
-        before = _versions(spark, classified, CLASSIFIED).where(earlier if earlier is not None else nothing)
-        us = epoch_micros(new, "ts")
-        since = (new.where(F.col("ts").isNotNull() & F.col("session_hash").isNotNull())
-                 .groupBy(F.col("session_hash").alias("_s")).agg(F.min(us).alias("_from")))
-        older = history.where(F.col("batch") < batch_id)
-        again = older.join(since, (older["session_hash"] == F.col("_s")) & (epoch_micros(older, "ts") >= F.col("_from"))).drop("_s", "_from")
-        rows = materialise(once(new.unionByName(again).drop("batch", "class", "hour")), "stream-rows")
-        decided = _newest(before.where(F.col("batch") < batch_id), ["ping_id"], CLASSIFIED.fieldNames()).where(F.col("reject_reason").isNull())
-        at = epoch_micros(decided, "ts")
-        seeds = (decided.join(since, (decided["session_hash"] == F.col("_s")) & (at < F.col("_from")) & (at > F.col("_from") - wait))
-                 .select(F.col("session_hash").alias("sid"), F.col("ping_id").alias("id"), at.alias("us"),
-                         F.lit(True).alias("payload_ok"), F.lit(True).alias("valid")))
-        decisions = materialise(decide(attempts_of(rows).unionByName(seeds), params.rate_limit_s), "stream-decisions")
-        _put(with_reason(rows, decisions), classified, batch_id, CLASSIFIED, "ts", "session_hash")
+        new = _versions(spark, checked, CHECKED).where(F.col("batch") == batch_id)
+        _put(decided_again(spark, root, new, batch_id, params), classified, batch_id, CLASSIFIED, "ts", "session_hash")
 
     return body
 
