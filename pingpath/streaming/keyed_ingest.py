@@ -199,12 +199,18 @@ def start(spark: SparkSession, raw: DataFrame, root: str, routes: DataFrame, sto
     if max_files:
         source = source.option("maxFilesPerTrigger", max_files)
     found = session_decisions(source.parquet(f"{root}/arrived"), params, ttl, trigger_rows)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)  # a query takes the setting when it starts
+    # a query takes its settings when it starts; with ``ttl`` triggers without data, which forget
+    # old state, would keep an availableNow run from ending
+    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER}
+    if trigger.get("availableNow"):
+        settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         second = (found.writeStream.foreachBatch(decided_body(spark, root, params, undecided))
                   .option("checkpointLocation", f"{progress}/decisions").trigger(**trigger).start())
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     return first, second
