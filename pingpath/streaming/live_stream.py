@@ -9,9 +9,11 @@
   before it.  In order, that is the new rows alone; a late row brings its session's
   later attempts back.  Nothing is dropped for being late, and no watermark, timeout
   or in-memory state is involved.
-* Stored rows lie by class of session and hour, and a trigger reads only the classes it
-  has sessions of, from its earliest hour there on: in order that is the running hour,
-  however long the stream has run.  A late row brings back the hours since.
+* Stored rows lie by hour, a folder each, and by class of session in its files, and a
+  trigger picks only the classes it has sessions of, from its earliest hour there on: in
+  order that is the running hour, however long the stream has run.  A late row brings back
+  the hours since.  A trigger writes about a file for each hour and task, so sparse rows of
+  many hours do not become a file each, and the rows of one busy hour come from many tasks.
 * Each trigger writes its rows under its batch id, replacing what an earlier try of
   the same batch left, so a retried batch stores nothing twice.  A row decided again
   has a newer version; ``current`` takes the newest of each ping.  An attempt sent again
@@ -44,7 +46,7 @@ from pingpath.operators.ratelimit import decide, epoch_micros
 from pingpath.session import materialise
 from pingpath.sources.tables import RAW_PINGS, read_pings, write_pings
 
-#: Classes of sessions by hash, and the hours of a class, that stored attempts lie in.
+#: Classes of sessions by hash, and the hours, that stored attempts lie in.
 CLASSES = 16
 HOUR_US = 3_600_000_000
 
@@ -87,11 +89,14 @@ def _hour(rows: DataFrame, instant: str) -> Column:
 
 
 def _put(rows: DataFrame, path: str, batch_id: int, schema: T.StructType, instant: str, owner: str) -> None:
-    """Write the rows of one batch, by class of owner and hour, in the place of an earlier try."""
+    """Write the rows of one batch, by hour and class of owner, in the place of an earlier try."""
     kept = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    # a number given is not brought down for small rows: it is files, not bytes, that the tasks share
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (kept.withColumn("class", F.pmod(F.xxhash64(owner), F.lit(CLASSES)).cast("int")).withColumn("hour", _hour(kept, instant))
-     .withColumn("batch", F.lit(batch_id).cast("long")).repartition("class", "hour")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("class", "hour", "batch").parquet(path))
+     .withColumn("batch", F.lit(batch_id).cast("long")).repartitionByRange(tasks, "hour", "class", instant)
+     .sortWithinPartitions("hour", "batch", "class")  # the order lets scans skip the classes they do not ask for
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path))
 
 
 def _touched(rows: DataFrame, hours_before: int = 0) -> Column | None:
@@ -162,7 +167,7 @@ def ingest_body(spark: SparkSession, root: str, routes: DataFrame, stops: DataFr
 def expire(spark: SparkSession, root: str, before: dt.datetime, tables: tuple[str, ...] = ("checked", "classified", "counts")) -> int:
     """Remove the stored hours that end at or before ``before`` (ST5); returns the number of folders removed.
 
-    An hour is a folder in each class, so no row is read.  What stays answers as the batch
+    An hour is a folder, so no row is read.  What stays answers as the batch
     job on the kept range does.  ``before`` has to lie the rate limit's wait and the longest
     lateness behind the stream's clock: a row that comes for an hour already gone is
     decided without it.
@@ -171,12 +176,11 @@ def expire(spark: SparkSession, root: str, before: dt.datetime, tables: tuple[st
     for table in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        for owner in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/class=*")) or []:
-            for hour in fs.listStatus(owner.getPath()):
-                name = hour.getPath().getName()
-                if name[5:].lstrip("-").isdigit() and int(name[5:]) < limit:
-                    fs.delete(hour.getPath(), True)
-                    gone += 1
+        for hour in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/hour=*")) or []:
+            name = hour.getPath().getName()
+            if name[5:].lstrip("-").isdigit() and int(name[5:]) < limit:
+                fs.delete(hour.getPath(), True)
+                gone += 1
     return gone
 
 

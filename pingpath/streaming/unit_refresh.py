@@ -11,7 +11,7 @@ next to, clusters the live pings of these alone and joins the result to the unit
 all other islands, which keep their labels.  Cluster numbers are ranks of labels in
 the route and are given again, over the units only.
 
-Kept under ``root``: ``window`` (the live pings, by class of route, hour and batch),
+Kept under ``root``: ``window`` (the live pings, by hour, batch and class of route),
 ``cells`` (route, cell, island) and ``units``, a snapshot of both per trigger that changed
 something.  A trigger reads the snapshot before it and replaces what an earlier try of
 its own batch left.  The clock is the newest instant seen, so it never goes back; a

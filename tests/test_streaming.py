@@ -189,3 +189,13 @@ def test_old_snapshots_of_units_expire(spark, tmp_path):
         body(fx.demo_pings_df(spark), k)
     want = ls.current_units(spark, units).count()
     assert ls.expire_units(spark, units, keep=1) == 2 and ls.current_units(spark, units).count() == want > 0
+
+
+def test_sparse_rows_of_many_hours_are_not_a_file_each(spark, tmp_path):
+    """One trigger over 40 hours of 16 sessions each: a file for an hour and a task, not for each session's class."""
+    rows = [(100 * k + j, f"device-{j:02d}", "L1", *JUAREZ, k * 3_600 + j) for k in range(40) for j in range(16)]
+    root, _ = _stream(spark, tmp_path, [rows])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for table in ("checked", "classified"):
+        assert len(list((tmp_path / "run-store" / table).rglob("*.parquet"))) <= 40 + tasks
+    assert _now(spark, root) == _batch(spark, rows)
