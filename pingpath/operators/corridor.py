@@ -74,7 +74,9 @@ def split_cells(cells: DataFrame, pings: DataFrame, cell_m: float, deepest: int)
         here = (used.where(F.col("depth") >= level)
                 .select("route_id", "depth", *[F.floor(F.col(g) / up).alias(g) for g in ("gx", "gy")]).distinct()
                 .repartition(tasks, *CELL))
-        parent = lists.where(F.col("depth") >= level).withColumnsRenamed({"gx": "ux", "gy": "uy"})
+        # dealt out on both sides: whichever is broadcast, the other one's tasks share the measuring
+        parent = (lists.where(F.col("depth") >= level).withColumnsRenamed({"gx": "ux", "gy": "uy"})
+                  .repartition(tasks, "route_id", "depth", "ux", "uy"))
         part = here.withColumn("ux", F.floor(F.col("gx") / 4)).withColumn("uy", F.floor(F.col("gy") / 4)).join(
             parent, ["route_id", "depth", "ux", "uy"])
         part = part.withColumn("far", F.transform(
@@ -112,7 +114,8 @@ def near_segments(pings: DataFrame, stops: DataFrame, corridor_m: float, cell_m:
         return p.join(cells.drop("depth"), ["route_id", "gx", "gy"], "left").drop("gx", "gy")
     depths = cells.where("depth > 0").select("route_id", "gx", "gy", "depth")
     p = p.join(depths, ["route_id", "gx", "gy"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    p = materialise(p.withColumn("gx", _at_depth("x", cell_m)).withColumn("gy", _at_depth("y", cell_m)), "corridor-pings")
+    tasks = int(pings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many files, for as many tasks to measure
+    p = materialise(p.withColumn("gx", _at_depth("x", cell_m)).withColumn("gy", _at_depth("y", cell_m)).repartition(tasks), "corridor-pings")
     return p.join(split_cells(cells, p, cell_m, deepest), CELL, "left").drop("depth", "gx", "gy")
 
 

@@ -180,7 +180,8 @@ def q_stream_ingested(spark, sf_dir):
     events = driver._table(spark, sf_dir, "events")
     body = stream.ingest_body(spark, root, d.routes, d.stops, P)
     files = f"{root}/events"
-    events.repartition(8, "event_id").write.parquet(files)
+    # several row groups a file, so that more tasks than files share a trigger
+    events.repartition(8, "event_id").write.option("parquet.block.size", str(8 << 20)).parquet(files)
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(files)
     _drain(source, lambda batch, n: body(driver.attempts_from_events(batch, d.stops), n), f"{root}/progress", "append")
     return stream.current(spark, root).select("ping_id", "session_hash", "code", "lon", "lat", "ts", "reject_reason")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -62,6 +65,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STAGED = threading.local()
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """The tables that ``materialise`` writes in this block (and thread) are removed at its end; no result may need them then."""
+    outer, _STAGED.paths = getattr(_STAGED, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _STAGED.paths = _STAGED.paths, outer
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -70,5 +88,7 @@ def materialise(df: DataFrame, name: str, schema: StructType | None = None) -> D
     a dimension exactly while that is below its threshold and shuffles otherwise.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_STAGED, "paths", None) is not None:
+        _STAGED.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)

@@ -14,6 +14,7 @@
   order that is the running hour, however long the stream has run.  A late row brings back
   the hours since.  A trigger writes about a file for each hour and task, so sparse rows of
   many hours do not become a file each, and the rows of one busy hour come from many tasks.
+  Its checks run once a row, and the tables that it stages are removed at its end.
 * Each trigger writes its rows under its batch id, replacing what an earlier try of
   the same batch left, so a retried batch stores nothing twice.  A row decided again
   has a newer version; ``current`` takes the newest of each ping.  An attempt sent again
@@ -43,7 +44,7 @@ from pingpath.config import Params
 from pingpath.operators import cluster, live
 from pingpath.operators.ingest import accepted_rows, attempts_of, check, once, rejected_rows, with_reason
 from pingpath.operators.ratelimit import decide, epoch_micros
-from pingpath.session import materialise
+from pingpath.session import materialise, staged
 from pingpath.sources.tables import RAW_PINGS, read_pings, write_pings
 
 #: Classes of sessions by hash, and the hours, that stored attempts lie in.
@@ -88,23 +89,42 @@ def _hour(rows: DataFrame, instant: str) -> Column:
     return F.floor(epoch_micros(rows, instant) / HOUR_US)
 
 
-def _put(rows: DataFrame, path: str, batch_id: int, schema: T.StructType, instant: str, owner: str) -> None:
-    """Write the rows of one batch, by hour and class of owner, in the place of an earlier try."""
+def _placed(rows: DataFrame, batch_id: int, schema: T.StructType, instant: str, owner: str) -> DataFrame:
+    """The rows of one batch with the class of owner, hour and batch that they are stored under."""
     kept = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    return (kept.withColumn("class", F.pmod(F.xxhash64(owner), F.lit(CLASSES)).cast("int")).withColumn("hour", _hour(kept, instant))
+            .withColumn("batch", F.lit(batch_id).cast("long")))
+
+
+def _put(rows: DataFrame, path: str, batch_id: int, schema: T.StructType, instant: str, owner: str) -> None:
+    """Write the rows of one batch, by hour and class of owner, in the place of an earlier try.
+
+    Ranges are found from a sample, so ``rows`` is computed twice: what is dear is written once before.
+    """
     # a number given is not brought down for small rows: it is files, not bytes, that the tasks share
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (kept.withColumn("class", F.pmod(F.xxhash64(owner), F.lit(CLASSES)).cast("int")).withColumn("hour", _hour(kept, instant))
-     .withColumn("batch", F.lit(batch_id).cast("long")).repartitionByRange(tasks, "hour", "class", instant)
+    (_placed(rows, batch_id, schema, instant, owner).repartitionByRange(tasks, "hour", "class", instant)
      .sortWithinPartitions("hour", "batch", "class")  # the order lets scans skip the classes they do not ask for
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path))
 
 
-def _touched(rows: DataFrame, hours_before: int = 0) -> Column | None:
-    """The classes, and from which hour on, that can hold what ``rows`` meet; None if nothing can."""
+def _touched(rows: DataFrame, hours_before: int = 0) -> tuple[Column, Column]:
+    """The classes, and from which hour on, that can hold what ``rows`` meet; the same from ``hours_before`` earlier on."""
     since = (rows.where(F.col("hour").isNotNull() & F.col("session_hash").isNotNull())
              .groupBy("class").agg(F.min("hour").alias("hour")).collect())  # at most CLASSES rows
-    found = [(F.col("class") == r["class"]) & (F.col("hour") >= r["hour"] - hours_before) for r in since]
-    return reduce(or_, found) if found else None
+
+    def found(before: int) -> Column:
+        return reduce(or_, [(F.col("class") == r["class"]) & (F.col("hour") >= r["hour"] - before) for r in since], F.lit(False))
+    return found(0), found(hours_before)
+
+
+def _once_each(rows: DataFrame) -> DataFrame:
+    """``once`` of written rows where few ids come twice: only those are sorted, the others stay where they are."""
+    twice = materialise(rows.groupBy("ping_id").count().where("count > 1").select(F.col("ping_id").alias("_twice")), "stream-twice")
+    if twice.isEmpty():
+        return rows
+    same = rows["ping_id"].eqNullSafe(F.col("_twice"))
+    return rows.join(twice, same, "left_anti").unionByName(once(rows.join(twice, same, "left_semi")))
 
 
 def _newest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -130,25 +150,39 @@ def publish(spark: SparkSession, root: str, path: str) -> None:
     write_pings(stored_pings(spark, root), path, mode="overwrite")
 
 
+def _seeds(before: DataFrame, since: DataFrame, wait: int) -> DataFrame:
+    """The accepted pings (sid, id, us, payload_ok, valid) less than ``wait`` before the session's instant in ``since``.
+
+    Only attempts with a version that could be one are brought to their newest version.
+    """
+    narrow = before.select("ping_id", "session_hash", "ts", "reject_reason", "batch")
+
+    def accepted(rows: DataFrame) -> DataFrame:
+        at = epoch_micros(rows, "ts")
+        kept = rows.where(F.col("reject_reason").isNull())
+        return (kept.join(since, (kept["session_hash"] == F.col("_s")) & (at < F.col("_from")) & (at > F.col("_from") - wait))
+                .select(F.col("session_hash").alias("sid"), F.col("ping_id").alias("id"), at.alias("us"),
+                        F.lit(True).alias("payload_ok"), F.lit(True).alias("valid")))
+
+    maybe = materialise(accepted(narrow).select(F.col("id").alias("_id")).distinct(), "stream-maybe")
+    versions = narrow.join(maybe, narrow["ping_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return accepted(_newest(versions, ["ping_id"], ["ping_id", "session_hash", "ts", "reject_reason"]))
+
+
 def decided_again(spark: SparkSession, root: str, new: DataFrame, batch_id: int, params: Params) -> DataFrame:
     """The stored rows ``new`` of a batch and the older rows whose decision they can change, with their decisions."""
     wait = int(round(params.rate_limit_s * 1_000_000))
     stored = _versions(spark, f"{root}/checked", CHECKED)
-    nothing = F.lit(False)
-    touched, earlier = _touched(new), _touched(new, -(-wait // HOUR_US))
-    older = stored.where(touched if touched is not None else nothing).where(F.col("batch") < batch_id)
-    before = _versions(spark, f"{root}/classified", CLASSIFIED).where(earlier if earlier is not None else nothing)
+    touched, earlier = _touched(new, -(-wait // HOUR_US))
+    older = stored.where(touched).where(F.col("batch") < batch_id)
+    before = _versions(spark, f"{root}/classified", CLASSIFIED).where(earlier).where(F.col("batch") < batch_id)
     us = epoch_micros(new, "ts")
-    since = (new.where(F.col("ts").isNotNull() & F.col("session_hash").isNotNull())
-             .groupBy(F.col("session_hash").alias("_s")).agg(F.min(us).alias("_from")))
+    since = materialise(new.where(F.col("ts").isNotNull() & F.col("session_hash").isNotNull())
+                        .groupBy(F.col("session_hash").alias("_s")).agg(F.min(us).alias("_from")), "stream-since")
     again = older.join(since, (older["session_hash"] == F.col("_s")) & (epoch_micros(older, "ts") >= F.col("_from"))).drop("_s", "_from")
-    rows = materialise(once(new.unionByName(again).drop("batch", "class", "hour")), "stream-rows")
-    decided = _newest(before.where(F.col("batch") < batch_id), ["ping_id"], CLASSIFIED.fieldNames()).where(F.col("reject_reason").isNull())
-    at = epoch_micros(decided, "ts")
-    seeds = (decided.join(since, (decided["session_hash"] == F.col("_s")) & (at < F.col("_from")) & (at > F.col("_from") - wait))
-             .select(F.col("session_hash").alias("sid"), F.col("ping_id").alias("id"), at.alias("us"),
-                     F.lit(True).alias("payload_ok"), F.lit(True).alias("valid")))
-    decisions = materialise(decide(attempts_of(rows).unionByName(seeds), params.rate_limit_s), "stream-decisions")
+    rows = _once_each(materialise(new.unionByName(again).drop("batch", "class", "hour"), "stream-rows"))
+    attempts = materialise(attempts_of(rows).unionByName(_seeds(before, since, wait)), "stream-attempts")
+    decisions = materialise(decide(attempts, params.rate_limit_s), "stream-decisions")
     return with_reason(rows, decisions)
 
 
@@ -156,10 +190,11 @@ def ingest_body(spark: SparkSession, root: str, routes: DataFrame, stops: DataFr
                 salts: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: store the attempts of a batch and every decision it changes."""
     def body(batch: DataFrame, batch_id: int) -> None:
-        checked, classified = f"{root}/checked", f"{root}/classified"
-        _put(check(once(batch), routes, stops, params, salts), checked, batch_id, CHECKED, "ts", "session_hash")
-        new = _versions(spark, checked, CHECKED).where(F.col("batch") == batch_id)
-        _put(decided_again(spark, root, new, batch_id, params), classified, batch_id, CLASSIFIED, "ts", "session_hash")
+        with staged(spark):
+            new = materialise(_placed(check(once(batch), routes, stops, params, salts), batch_id, CHECKED, "ts", "session_hash"), "stream-new")
+            _put(new, f"{root}/checked", batch_id, CHECKED, "ts", "session_hash")
+            decided = materialise(decided_again(spark, root, new, batch_id, params), "stream-decided")
+            _put(decided, f"{root}/classified", batch_id, CLASSIFIED, "ts", "session_hash")
 
     return body
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pingpath.functions import geo
+from pingpath.operators import corridor
 from pingpath.operators.corridor import distance_to_trace, near_segments
 from pingpath.operators.traces import segments
 from pingpath.sources.tables import STOPS
@@ -47,3 +48,17 @@ def test_a_ping_measures_a_small_part_of_a_dense_cell(spark):
     pings, stops = _pings(spark, 300), _zigzag(spark, 4_000)
     split, whole = [near_segments(pings, stops, CORRIDOR_M, list_segs=size).agg(F.avg(F.size("segs"))).first()[0] for size in (32, 10**6)]
     assert 5 * split < whole
+
+
+def test_lists_of_dense_cells_are_measured_by_several_tasks(spark, monkeypatch):
+    """Few bytes, much to measure: neither the lists nor the pings that meet them come from one task."""
+    files, materialise = {}, corridor.materialise
+
+    def counted(df, name, *a):
+        out = materialise(df, name, *a)
+        files.setdefault(name, []).append(len(out.where("route_id IS NOT NULL").inputFiles()))
+        return out
+
+    monkeypatch.setattr(corridor, "materialise", counted)
+    near_segments(_pings(spark, 300), _zigzag(spark, 4_000), CORRIDOR_M)
+    assert min(files["corridor-lists"] + files["corridor-pings"]) >= 4

@@ -1,5 +1,6 @@
 """Streaming ingest gives the batch answer whatever the order of arrival; counts and units by value."""
 import datetime as dt
+import pathlib
 import random
 
 import fixtures as fx
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pingpath.config import Params
 from pingpath.operators import cluster, live
-from pingpath.operators.ingest import classify
+from pingpath.operators.ingest import classify, once
+from pingpath.session import ensure_checkpoint_dir
 from pingpath.sources.tables import PINGS, RAW_PINGS, read_pings, write_pings
 from pingpath.streaming import live_stream as ls
 
@@ -199,3 +201,33 @@ def test_sparse_rows_of_many_hours_are_not_a_file_each(spark, tmp_path):
     for table in ("checked", "classified"):
         assert len(list((tmp_path / "run-store" / table).rglob("*.parquet"))) <= 40 + tasks
     assert _now(spark, root) == _batch(spark, rows)
+
+
+def test_a_trigger_checks_each_attempt_once_and_leaves_no_staged_table(spark, tmp_path, monkeypatch):
+    """The check of a row is not run again for the ranges that stored rows lie in; what a trigger stages is gone after it."""
+    checked, check = spark.sparkContext.accumulator(0), ls.check
+
+    @F.udf("string")
+    def counted(code):
+        checked.add(1)
+        return code
+
+    folder, rows = pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:")), _attempts()
+    before, root = set(folder.iterdir()), str(tmp_path / "store")
+    body = ls.ingest_body(spark, root, fx.routes_df(spark), fx.stops_df(spark), P)
+    with monkeypatch.context() as m:
+        m.setattr(ls, "check", lambda *a: check(*a).withColumn("code", counted("code")))
+        body(_raw(spark, rows[::2]), 0)
+        body(_raw(spark, rows[1::2]), 1)
+    assert checked.value == len(rows)
+    assert set(folder.iterdir()) == before
+    assert _now(spark, root) == _batch(spark, rows)
+
+
+def test_ids_that_come_again_with_other_rows_are_one_attempt_of_the_least(spark):
+    """Equal copies, other rows under one id, and rows without an id, as ``once`` of all rows has them."""
+    again = [(1, "device-a", "L1", *JUAREZ, 9), (1, "device-a", "L1", *JUAREZ, 3), (2, "device-b", "L1", *JUAREZ, 5),
+             (2, "device-b", "L1", *JUAREZ, 5), (3, "device-c", None, *JUAREZ, None), (4, "device-d", "L1", *JUAREZ, 6)]
+    df = _raw(spark, again).unionByName(_raw(spark, again[:2]).withColumn("ping_id", F.lit(None).cast("long")))
+    assert sorted(map(str, ls._once_each(df).collect())) == sorted(map(str, once(df).collect()))
+    assert sorted(map(str, ls._once_each(df.where("ping_id > 2")).collect())) == sorted(map(str, df.where("ping_id > 2").collect()))
