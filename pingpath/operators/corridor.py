@@ -46,11 +46,14 @@ def segment_cells(stops: DataFrame, corridor_m: float, cell_m: float = 500.0) ->
 
 def _squared(px: Column, py: Column, segs: str = "segs") -> Column:
     """Squared grid distances of point P to the segments, as ``geo.segment_grid_distance`` has them."""
-    def off(s: Column) -> Column:
+    def along(s: Column) -> Column:
         t = F.when(s["len2"] > 0, ((px - s["ax"]) * s["dx"] + (py - s["ay"]) * s["dy"]) / s["len2"]).otherwise(F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        return F.struct((px - (s["ax"] + t * s["dx"])).alias("x"), (py - (s["ay"] + t * s["dy"])).alias("y"))
-    return F.transform(F.transform(segs, off), lambda o: o["x"] * o["x"] + o["y"] * o["y"])
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+
+    def squared(s: Column, t: Column) -> Column:  # a lambda computes what it names anew each time, so t comes as a value
+        x, y = px - (s["ax"] + t * s["dx"]), py - (s["ay"] + t * s["dy"])
+        return x * x + y * y
+    return F.zip_with(segs, F.transform(segs, along), squared)
 
 
 def _at_depth(v: str, cell_m: float) -> Column:

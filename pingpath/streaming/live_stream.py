@@ -128,7 +128,8 @@ def _once_each(rows: DataFrame) -> DataFrame:
 
 
 def _newest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), "batch").alias("_v"))
+    # versions of one key lie in different files: sorting each file's rows before the exchange would bring none together
+    latest = rows.repartition(*keys).groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), "batch").alias("_v"))
     return latest.select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in columns])
 
 
